@@ -46,8 +46,8 @@ SINGLE = 64
 SAMPLE_OF, MIN_SEEN, MAX_FREQUENT = 16, 4, 1 << 17
 #: Pairs with one centre that are verified together.
 CHUNK = 64
-#: Words remembered per task.
-MEMO = 1 << 20
+#: Slots of the table of frequent shingles, bits of the filter for documents to verify: both of fixed size.
+SLOTS, FILTER = 22, 24
 _U = np.uint64
 _MULT = [_U(pow(0x9E3779B97F4A7C15, j + 1, 1 << 64)) for j in range(N)]
 
@@ -60,25 +60,18 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(33))
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def shingles(text: bytes | None, memo: WordHashes) -> np.ndarray:
+def shingles(text: bytes | None) -> np.ndarray:
     """Sorted distinct shingle hashes."""
     words = (text or b"").lower().split()
     if not words:
         return np.empty(0, _U)
-    w = np.fromiter(map(memo.__getitem__, words), _U, len(words))
+    w = np.fromiter(map(xxhash.xxh3_64_intdigest, words), _U, len(words))
     n = max(1, len(w) - N + 1)
-    h = np.zeros(n, _U)
+    h = np.full(n, min(N, len(w)), _U)
     for j in range(min(N, len(w))):
         h += w[j : j + n] * _MULT[j]
-    return np.unique(mix(h + _U(min(N, len(w)))))
+    h = np.sort(mix(h))
+    return h[np.r_[True, h[1:] != h[:-1]]]
 
 
 def digest(s: np.ndarray) -> tuple[int, int]:
@@ -100,11 +93,18 @@ _BANDS = bands(1 << 40)
 _ENDS = np.array([r for _, r in _BANDS])
 
 
+def slot_table(hashes: np.ndarray) -> np.ndarray:
+    """True in the slots that hold a frequent shingle. A rare one in such a slot counts as frequent too, for all documents alike."""
+    out = np.zeros(1 << SLOTS, bool)
+    out[hashes >> _U(64 - SLOTS)] = True
+    return out
+
+
 def signatures(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """64-bit signatures of a set of shingle hashes; frequent: sorted hashes that are common."""
+    """64-bit signatures of a set of shingle hashes; frequent: slot_table() of the common ones."""
     size, out = len(s), []
     own = int(np.searchsorted(_ENDS, size))
-    common = np.isin(s, frequent, assume_unique=True) if len(frequent) else np.zeros(size, bool)
+    common = frequent[s >> _U(64 - SLOTS)]
     for tag in (own, own + 1):
         r = _BANDS[tag][1]
         # linked sets a, b have a symmetric difference of at most (|a| + |b|) / 9
@@ -138,11 +138,10 @@ def digests(docs: DataFrame) -> DataFrame:
     """id, doc_id, n_shingles, a, b of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
         for x in batches:
             n, a, b = [], [], []
             for t in x.column(2).to_pylist():
-                s = shingles(t, memo)
+                s = shingles(t)
                 d = digest(s)
                 n.append(len(s))
                 a.append(d[0])
@@ -156,11 +155,10 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
     """Shingles of many different documents of a sample. A wrong or empty answer costs time, not links."""
 
     def run(batches):
-        memo = WordHashes()
         for x in batches:
             keys, ids = [], []
             for t in x.column(2).to_pylist():
-                s = shingles(t, memo)
+                s = shingles(t)
                 keys.append(s.astype(np.int64))
                 ids.append(np.full(len(s), digest(s)[0]))
             if keys:
@@ -171,15 +169,15 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
     # copies of one set alone don't make its shingles frequent
     top = seen.filter((F.col("n") >= MIN_SEEN) & (F.col("x") != F.col("y"))).orderBy(F.desc("n"), "s").limit(MAX_FREQUENT)
     got = top.select("s").toPandas()["s"].to_numpy(np.int64)
-    return np.sort(got.astype(_U))
+    return slot_table(got.astype(_U))
 
 
 def _packed(docs: DataFrame, frequent: np.ndarray, parts: int) -> DataFrame:
     """(p, blob) rows: the signatures of a batch of documents that go to partition p."""
-    held = ship(docs.sparkSession, frequent.tobytes(), MAX_FREQUENT * 8)
+    held = ship(docs.sparkSession, frequent.tobytes(), 1 << SLOTS)
 
     def run(batches):
-        common, memo = np.frombuffer(held.value, _U), WordHashes()
+        common = np.frombuffer(held.value, bool)
         nodes: dict[tuple[int, int], int] = {}
         sigs, owner, total = [], [], 0
 
@@ -200,7 +198,7 @@ def _packed(docs: DataFrame, frequent: np.ndarray, parts: int) -> DataFrame:
 
         for x in batches:
             for t in x.column(2).to_pylist():
-                s = shingles(t, memo)
+                s = shingles(t)
                 key = digest(s)
                 if not len(s) or key in nodes:
                     continue
@@ -275,6 +273,15 @@ def signature_groups(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     return packed.mapInArrow(run, "g long, a long, b long, ca long, cb long").dropDuplicates(["g", "a", "b"])
 
 
+def _filter(nodes: DataFrame) -> bytes:
+    """A bit for the hash of each id: a Bloom filter of fixed size, so that other documents aren't shuffled."""
+    h = nodes.select(F.pmod(F.xxhash64("id"), F.lit(1 << FILTER)).alias("h"))
+    rows = h.groupBy(F.expr("cast(h div 32 AS int)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 32 AS int))")).alias("x")).toPandas()
+    out = np.zeros(1 << FILTER - 5, np.uint32)
+    out[rows["w"].to_numpy()] = rows["x"].to_numpy().astype(np.uint32)
+    return out.tobytes()
+
+
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """(u, v, shared, total) for distinct pairs (u, v) of class ids: sizes of intersection and union.
 
@@ -285,34 +292,37 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     dealt = pairs.join(count, "u").select("u", "v", F.pmod(F.xxhash64("v"), F.ceil(F.col("n") / CHUNK)).alias("chunk"))
     need = dealt.select("u", "chunk", F.col("v").alias("id"), F.lit(False).alias("centre")).unionByName(dealt.select("u", "chunk", F.col("u").alias("id"), F.lit(True).alias("centre")).distinct())
 
+    held = ship(docs.sparkSession, _filter(need), 1 << FILTER - 3)
+
     def run(batches):
-        memo = WordHashes()
+        bits = np.frombuffer(held.value, np.uint8)
         for x in batches:
-            out = [shingles(t, memo).tobytes() for t in x.column(1).to_pylist()]
-            yield pa.record_batch([x.column(0), pa.array(out, pa.large_binary()).cast(pa.binary())], ["id", "s"])
+            h = x.column(3).to_numpy()
+            y = x.filter(pa.array(bits[h >> 3] >> (h & 7).astype(np.uint8) & 1 == 1))
+            if y.num_rows:
+                yield pa.record_batch([y.column(0), pa.array([shingles(t).tobytes() for t in y.column(2).to_pylist()], pa.binary())], ["id", "s"])
 
-    nodes = need.select("id").distinct()
-    wanted = _ids(docs).select("id", "text").join(nodes, "id", "left_semi")
-    sets = wanted.mapInArrow(run, "id long, s binary").dropDuplicates(["id"])
+    sets = _ids(docs).withColumn("h", F.pmod(F.xxhash64("id"), F.lit(1 << FILTER))).mapInArrow(run, "id long, s binary")
 
     def compare(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, centre, out = [], None, []
+        # an id with several texts is one document: every combination is compared
+        waiting, centres, out = [], [], []
 
-        def pair(v, s):
-            n = int(np.isin(centre, s, assume_unique=True).sum())
-            out.append((v, n, len(centre) + len(s) - n))
+        def pair(c, v, s):
+            n = int(np.isin(c, s, assume_unique=True).sum())
+            out.append((v, n, len(c) + len(s) - n))
 
         for x in batches:
             for v, raw, is_centre in zip(x.column("id").to_pylist(), x.column("s").to_pylist(), x.column("centre").to_pylist(), strict=True):
                 s = np.frombuffer(raw, _U)
                 if is_centre:
-                    centre = s
-                elif centre is None:
-                    waiting.append((v, s))
+                    centres.append(s)
+                    for other in waiting:
+                        pair(s, *other)
                 else:
-                    pair(v, s)
-        for v, s in waiting:
-            pair(v, s)
+                    waiting.append((v, s))
+                    for c in centres:
+                        pair(c, v, s)
         u = key[0].as_py()
         yield pa.record_batch([pa.array([u] * len(out), pa.int64()), *(pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ([], [], [])))], ["u", "v", "shared", "total"])
 
