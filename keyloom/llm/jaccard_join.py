@@ -11,11 +11,12 @@ emits one common signature). The order puts cells made up of frequent shingles l
 shingles count as frequent is a bounded table from a sample, and can't change the result, only its cost.
 In small bands a cell is a single shingle.
 
-Signatures travel as packed blobs per shuffle partition, 32 bits and an index each. Within a group of
-equal signatures only a star is emitted: its most connected node with every other, verified on
-the full sets, in chunks. Groups that this leaves in several components emit the rest of
-their pairs across components, less those that the triangle inequality of the Jaccard distance (from
-the star's centre) or the sizes rule out. All candidates are verified exactly; components come from
+Signatures travel as packed blobs per shuffle partition, 32 bits and an index each. Groups of equal
+signatures are filed under their most connected node, the centre. A centre's family, all that
+share a group with it, is verified at once by matrix products on the full sets. A family above FAMILY
+nodes is verified against its centre in chunks; only members that this leaves outside the centre's
+component are then compared with the others, block by block, less what the triangle inequality of the Jaccard
+distance rules out. Links that are implied by a component aren't listed. Components come from
 min-label propagation with pointer jumping, checkpointed.
 
 Defined results: null or blank text has an empty set and is linked with nothing; texts under 5 words
@@ -44,8 +45,8 @@ SHARE = 80
 SINGLE = 64
 #: Sample for the table of frequent shingles: one document of SAMPLE_OF, at least MIN_SEEN of them; size bound.
 SAMPLE_OF, MIN_SEEN, MAX_FREQUENT = 16, 4, 1 << 17
-#: Pairs with one centre that are verified together.
-CHUNK = 64
+#: Sets that are compared all with all at once.
+FAMILY = 384
 #: Slots of the table of frequent shingles, bits of the filter for documents to verify: both of fixed size.
 SLOTS, FILTER = 22, 24
 _U = np.uint64
@@ -224,11 +225,8 @@ def _unpack(blob: bytes):
     return keys, count, np.frombuffer(blob, np.uint32, int(count.sum()), 8 + 20 * n)
 
 
-def signature_groups(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(g, a, b, ca, cb): node (a, b) is in group g of equal signatures, whose star centre is (ca, cb). Groups of one are left out.
-
-    Groups with the same members (near copies share most signatures) appear once: g is a digest of the members.
-    """
+def families(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """(a, b, ca, cb): node (a, b) shares a signature with others whose centre is (ca, cb). The centre is in its own family."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
@@ -255,22 +253,15 @@ def signature_groups(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
             size = np.diff(np.r_[start, len(sig)])
             popular = np.bincount(own, np.repeat(size, size).astype(float), len(node))
-            h = mix(node["a"].astype(_U) ^ mix(node["b"].astype(_U)))
-            gid = mix(np.add.reduceat(h[own], start) + size.astype(_U))
-            _, first = np.unique(gid, return_index=True)
-            keep = np.zeros(len(start), bool)
-            keep[first] = True
             group = np.repeat(np.arange(len(start)), size)
             order = np.lexsort((own, -popular[own], group))
-            centre = own[order][start][group]
-            rows = np.flatnonzero(keep[group])
-            for i in range(0, len(rows), 100_000):
-                r = rows[i : i + 100_000]
-                m, c = node[own[r]], node[centre[r]]
-                yield pa.record_batch([pa.array(v) for v in (gid[group[r]].astype(np.int64), m["a"], m["b"], c["a"], c["b"])], ["g", "a", "b", "ca", "cb"])
+            pair = np.unique((own[order][start][group] << 32) | own)
+            for i in range(0, len(pair), 100_000):
+                m, c = node[pair[i : i + 100_000] & 0xFFFFFFFF], node[pair[i : i + 100_000] >> 32]
+                yield pa.record_batch([pa.array(v) for v in (m["a"], m["b"], c["a"], c["b"])], ["a", "b", "ca", "cb"])
 
     packed = _packed(docs, frequent, parts).repartition(parts, "p")
-    return packed.mapInArrow(run, "g long, a long, b long, ca long, cb long").dropDuplicates(["g", "a", "b"])
+    return packed.mapInArrow(run, "a long, b long, ca long, cb long").distinct()
 
 
 def _filter(nodes: DataFrame) -> bytes:
@@ -282,16 +273,37 @@ def _filter(nodes: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(u, v, shared, total) for distinct pairs (u, v) of class ids: sizes of intersection and union.
+def _pack(s: np.ndarray) -> bytes:
+    """48 bits of each hash; what is lost can't turn a link (chance collision within a pair: below 1e-8)."""
+    return s.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def _sets_of(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view(_U).ravel()
+
+
+def intersections(rows: list[np.ndarray], cols: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections, by matrix products over the hashes that occur twice, a slice at a time."""
+    sets = [*rows, *cols]
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = n[at] > 1
+    at, owner = (np.cumsum(n > 1) - 1)[at[shared]], owner[shared]
+    order = np.argsort(at, kind="stable")
+    at, owner = at[order], owner[order]
+    out, step = np.zeros((len(rows), len(cols))), 1 << 13
+    for lo in range(0, int(at[-1]) + 1 if len(at) else 0, step):
+        i, j = np.searchsorted(at, [lo, lo + step])
+        x = np.zeros((len(sets), step), np.float32)
+        x[owner[i:j], at[i:j] - lo] = 1
+        out += x[: len(rows)] @ x[len(rows) :].T
+    return out.astype(np.int64)
 
-    Each centre u meets its partners in chunks of about CHUNK, so a popular centre is many tasks.
-    """
-    count = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
-    # the chunk of a pair depends on its partner alone
-    dealt = pairs.join(count, "u").select("u", "v", F.pmod(F.xxhash64("v"), F.ceil(F.col("n") / CHUNK)).alias("chunk"))
-    need = dealt.select("u", "chunk", F.col("v").alias("id"), F.lit(False).alias("centre")).unionByName(dealt.select("u", "chunk", F.col("u").alias("id"), F.lit(True).alias("centre")).distinct())
 
+def _with_sets(need: DataFrame, docs: DataFrame) -> DataFrame:
+    """need with the set s of each id. An id with several texts has a row for each; it is one document."""
     held = ship(docs.sparkSession, _filter(need), 1 << FILTER - 3)
 
     def run(batches):
@@ -300,33 +312,86 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             h = x.column(3).to_numpy()
             y = x.filter(pa.array(bits[h >> 3] >> (h & 7).astype(np.uint8) & 1 == 1))
             if y.num_rows:
-                yield pa.record_batch([y.column(0), pa.array([shingles(t).tobytes() for t in y.column(2).to_pylist()], pa.binary())], ["id", "s"])
+                yield pa.record_batch([y.column(0), pa.array([_pack(shingles(t)) for t in y.column(2).to_pylist()], pa.binary())], ["id", "s"])
 
     sets = _ids(docs).withColumn("h", F.pmod(F.xxhash64("id"), F.lit(1 << FILTER))).mapInArrow(run, "id long, s binary")
+    return need.join(sets, "id")
+
+
+def _read(batches) -> tuple[list[list], list[np.ndarray]]:
+    """Columns but s as lists, and the sets."""
+    cols, sets = None, []
+    for x in batches:
+        got = [x.column(n).to_pylist() for n in x.schema.names if n != "s"]
+        cols = got if cols is None else [p + q for p, q in zip(cols, got, strict=True)]
+        sets += [_sets_of(r) for r in x.column("s").to_pylist()]
+    return cols, sets
+
+
+def _linked(rows, cols) -> np.ndarray:
+    shared = intersections(rows, cols)
+    total = np.array([len(x) for x in rows])[:, None] + np.array([len(x) for x in cols])[None, :] - shared
+    return 100 * shared >= SHARE * total
+
+
+def family_links(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """(u, v) of all links within each centre's family (c, id), for families of at most FAMILY members."""
 
     def compare(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # an id with several texts is one document: every combination is compared
-        waiting, centres, out = [], [], []
+        (_, ids), sets = _read(batches)
+        i, j = np.nonzero(np.triu(_linked(sets, sets), 1))
+        ids = np.array(ids)
+        u, v = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+        yield pa.record_batch([pa.array(u[u != v]), pa.array(v[u != v])], ["u", "v"])
 
-        def pair(c, v, s):
-            n = int(np.isin(c, s, assume_unique=True).sum())
-            out.append((v, n, len(c) + len(s) - n))
+    return _with_sets(members.select("c", "id"), docs).select("c", "id", "s").groupBy("c").applyInArrow(compare, "u long, v long")
 
-        for x in batches:
-            for v, raw, is_centre in zip(x.column("id").to_pylist(), x.column("s").to_pylist(), x.column("centre").to_pylist(), strict=True):
-                s = np.frombuffer(raw, _U)
-                if is_centre:
-                    centres.append(s)
-                    for other in waiting:
-                        pair(s, *other)
-                else:
-                    waiting.append((v, s))
-                    for c in centres:
-                        pair(c, v, s)
-        u = key[0].as_py()
-        yield pa.record_batch([pa.array([u] * len(out), pa.int64()), *(pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ([], [], [])))], ["u", "v", "shared", "total"])
-
-    return need.join(sets, "id").groupBy("u", "chunk").applyInArrow(compare, "u long, v long, shared long, total long")
+
+def star_overlaps(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """(c, id, shared, total): each member against its centre, in chunks, so that a popular centre is many tasks."""
+    dealt = members.filter("id <> c").select("c", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / FAMILY)).alias("chunk"), "id")
+    need = dealt.unionByName(dealt.select("c", "chunk", F.col("c").alias("id")).distinct())
+
+    def compare(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (centre, _, ids), sets = _read(batches)
+        mid = [s for c, i, s in zip(centre, ids, sets, strict=True) if c == i]
+        rest = [(i, s) for c, i, s in zip(centre, ids, sets, strict=True) if c != i]
+        out = [(i, int(len(np.intersect1d(m, s, assume_unique=True))), len(m) + len(s)) for i, s in rest for m in mid]
+        ids, n, sizes = (np.array(x, np.int64) for x in (zip(*out, strict=True) if out else ([], [], [])))
+        yield pa.record_batch([pa.array(np.full(len(ids), key[0].as_py(), np.int64)), pa.array(ids), pa.array(n), pa.array(sizes - n)], ["c", "id", "shared", "total"])
+
+    return _with_sets(need, docs).select("c", "chunk", "id", "s").groupBy("c", "chunk").applyInArrow(compare, "c long, id long, shared long, total long")
+
+
+def outsider_links(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """(u, v): links of members outside their centre's component with any member of another component.
+
+    members: c, id, k (component), d (distance from the centre), out. Members are dealt into blocks; each
+    pair of blocks with outsiders is a task. Pairs whose distances from the centre differ by more than a
+    link's distance can't be links and aren't returned.
+    """
+    n = members.groupBy("c").agg(F.ceil(F.count_if("out") / FAMILY).alias("no"), F.ceil(F.count_if(~F.col("out")) / FAMILY).alias("ni")).filter("no > 0")
+    m = members.join(n, "c").withColumn("b", F.pmod(F.xxhash64("id"), F.when(F.col("out"), F.col("no")).otherwise(F.col("ni"))))
+    to = lambda column: F.explode(F.when(F.col(column) > 0, F.sequence(F.lit(0).cast("long"), F.col(column) - 1)))
+    cols = ["c", "id", "k", "d", "out", "b"]
+    inner = m.filter("not out").select(*cols, to("no").alias("p")).select(*cols, "p", F.col("b").alias("q"), F.lit(False).alias("same"))
+    outer = m.filter("out").select(*cols, "no", to("ni").alias("q")).select(*cols, F.col("b").alias("p"), "q", F.lit(False).alias("same"))
+    twins = m.filter("out").select(*cols, to("no").alias("x")).select(*cols, F.least("b", "x").alias("p"), F.greatest("b", "x").alias("q"), F.lit(True).alias("same"))
+    need = inner.unionByName(outer).unionByName(twins)
+
+    def compare(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (_, ids, k, d, out, *_), sets = _read(batches)
+        ids, k, d, out = np.array(ids), np.array(k), np.array(d), np.array(out)
+        rows = np.flatnonzero(out)
+        cols = rows if key[3].as_py() else np.flatnonzero(~out)
+        if not len(rows) or not len(cols):
+            return
+        ok = _linked([sets[i] for i in rows], [sets[i] for i in cols]) & (k[rows][:, None] != k[cols][None, :])
+        ok &= np.abs(d[rows][:, None] - d[cols][None, :]) <= 1 - SHARE / 100 + 1e-9
+        i, j = np.nonzero(ok)
+        yield pa.record_batch([pa.array(ids[rows[i]]), pa.array(ids[cols[j]])], ["u", "v"])
+
+    return _with_sets(need, docs).select(*cols, "p", "q", "same", "s").groupBy("c", "p", "q", "same").applyInArrow(compare, "u long, v long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -348,23 +413,22 @@ def join(docs: DataFrame) -> DataFrame:
     rows = cut(digests(docs))
     full = rows.filter("n_shingles > 0")
     classes = cut(full.groupBy("a", "b").agg(F.min("id").alias("cls"), F.min("doc_id").alias("least"), F.min("n_shingles").alias("size")))
-    groups = signature_groups(docs, frequent_shingles(docs))
+    groups = families(docs, frequent_shingles(docs))
     name = lambda df, a, b, c, size: df.join(classes.select(F.col("a").alias(a), F.col("b").alias(b), F.col("cls").alias(c), F.col("size").alias(size)), [a, b])
-    groups = cut(name(name(groups, "a", "b", "x", "nx"), "ca", "cb", "c", "nc").select("g", "x", "nx", "c", "nc"))
-    fits = lambda p, q: (100 * F.least(p, q) >= SHARE * F.greatest(p, q))
-    # the star: sizes that can't link are still measured, their distance prunes the rest
-    star = cut(verify(groups.filter("x <> c").select(F.col("c").alias("u"), F.col("x").alias("v")).distinct(), docs))
-    links = star.filter(100 * F.col("shared") >= SHARE * F.col("total")).select("u", "v")
-    comp = components(links)
-    state = groups.join(comp, F.col("x") == F.col("id"), "left").select("g", "x", "nx", "c", F.coalesce("comp", "x").alias("k"))
-    open_ = state.groupBy("g").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.count(F.lit(1)).alias("n")).filter((F.col("lo") != F.col("hi")) & (F.col("n") > 2)).select("g")
-    far = state.join(open_, "g", "left_semi").filter("x <> c").join(star, (F.col("c") == F.col("u")) & (F.col("x") == F.col("v")))
-    far = cut(far.select("g", "x", "nx", "k", (1 - F.col("shared") / F.col("total")).alias("d")))
-    if not far.isEmpty():
-        other = far.select("g", F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("k").alias("ky"), F.col("d").alias("dy"))
-        near = F.abs(F.col("d") - F.col("dy")) <= 1 - SHARE / 100 + 1e-9
-        left = far.join(other, "g").filter((F.col("x") < F.col("y")) & (F.col("k") != F.col("ky")) & fits(F.col("nx"), F.col("ny")) & near)
-        late = cut(verify(left.select(F.col("x").alias("u"), F.col("y").alias("v")).distinct(), docs).filter(100 * F.col("shared") >= SHARE * F.col("total")).select("u", "v"))
+    groups = name(name(groups, "a", "b", "id", "nx"), "ca", "cb", "c", "nc")
+    members = groups.select("c", "id").distinct()  # an id with several texts is one node from here on
+    members = cut(members.join(members.groupBy("c").agg(F.count(F.lit(1)).alias("n")), "c"))
+    big = members.filter(F.col("n") > FAMILY)
+    links = cut(family_links(members.filter(F.col("n") <= FAMILY), docs).distinct())
+    if big.isEmpty():
+        comp = components(links)
+    else:
+        star = cut(star_overlaps(big, docs).groupBy("c", "id").agg(F.max(F.struct(F.col("shared") / F.col("total"), "shared", "total")).alias("m")).select("c", "id", "m.shared", "m.total"))
+        links = cut(links.unionByName(star.filter(100 * F.col("shared") >= SHARE * F.col("total")).select(F.col("c").alias("u"), F.col("id").alias("v"))).distinct())
+        comp = components(links)
+        of = lambda df, i, k: df.join(comp.select(F.col("id").alias(i), F.col("comp").alias(k)), i, "left").withColumn(k, F.coalesce(k, i))
+        placed = of(of(star, "id", "k"), "c", "kc").select("c", "id", "k", (1 - F.col("shared") / F.col("total")).alias("d"), (F.col("k") != F.col("kc")).alias("out"))
+        late = cut(outsider_links(placed, docs).distinct())
         if not late.isEmpty():
             links = cut(links.unionByName(late).distinct())
             comp = components(links)

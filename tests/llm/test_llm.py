@@ -390,9 +390,10 @@ def test_jaccard_components(spark, folder, rows):
     assert got == brute_components(rows)
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_jaccard_chains_and_boilerplate(spark, seed):
+@pytest.mark.parametrize("seed,family", [(1, 384), (2, 8), (3, 4)])
+def test_jaccard_chains_and_boilerplate(spark, monkeypatch, seed, family):
     """Chains of edits whose ends aren't similar, sets of all sizes, a passage that all share."""
+    monkeypatch.setattr(jaccard_join, "FAMILY", family)
     r = random.Random(seed)
     hot = prose(r, 30, 10**6)
     rows = []
