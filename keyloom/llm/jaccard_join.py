@@ -12,11 +12,12 @@ shingles count as frequent is a bounded table from a sample, and can't change th
 In small bands a cell is a single shingle.
 
 Signatures travel as packed blobs per shuffle partition, 32 bits and an index each. Groups of equal
-signatures are filed under their most connected node, the centre. A centre's family, all that
-share a group with it, is verified at once by matrix products on the full sets. A family above FAMILY
-nodes is verified against its centre in chunks; only members that this leaves outside the centre's
-component are then compared with the others, block by block, less what the triangle inequality of the Jaccard
-distance rules out. Links that are implied by a component aren't listed. Components come from
+signatures are filed under a centre, the member with the most frequent shingles (then, the most connected one),
+which is mostly the same for all groups of a family. A centre's family, all that
+share a group with it, is verified at once by matrix products on the full sets, after small profiles have
+proved some members unlinked. A family above FAMILY nodes is verified against its centre in chunks; only
+members that this leaves outside the centre's component are then compared with the others, profiles
+first, block by block, less what the triangle inequality of the Jaccard distance rules out. Links that are implied by a component aren't listed. Components come from
 min-label propagation with pointer jumping, checkpointed.
 
 Defined results: null or blank text has an empty set and is linked with nothing; texts under 5 words
@@ -47,6 +48,8 @@ SINGLE = 64
 SAMPLE_OF, MIN_SEEN, MAX_FREQUENT = 16, 4, 1 << 17
 #: Sets that are compared all with all at once.
 FAMILY = 384
+#: Counts in a profile; profiles that are compared all with all at once.
+BUCKETS, PROFILES = 512, 2048
 #: Slots of the table of frequent shingles, bits of the filter for documents to verify: both of fixed size.
 SLOTS, FILTER = 22, 24
 _U = np.uint64
@@ -180,18 +183,18 @@ def _packed(docs: DataFrame, frequent: np.ndarray, parts: int) -> DataFrame:
     def run(batches):
         common = np.frombuffer(held.value, bool)
         nodes: dict[tuple[int, int], int] = {}
-        sigs, owner, total = [], [], 0
+        sigs, weight, total = [], [], 0
 
         def flush():
             sig, own = np.concatenate(sigs), np.repeat(np.arange(len(sigs), dtype=np.int64), [len(x) for x in sigs])
-            keys = np.array(list(nodes), np.int64)
+            keys, usual = np.array(list(nodes), np.int64), np.array(weight, np.int32)
             part = ((sig >> _U(32)) % _U(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             sig, own, part = sig[order], own[order], part[order]
             cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
             for i, j in pairwise([*cuts.tolist(), len(part)]):
                 used, count = np.unique(own[i:j], return_counts=True)
-                blob = np.int64(len(used)).tobytes() + keys[used].tobytes() + count.astype(np.int32).tobytes() + (sig[i:j] & _U(0xFFFFFFFF)).astype(np.uint32).tobytes()
+                blob = np.int64(len(used)).tobytes() + keys[used].tobytes() + usual[used].tobytes() + count.astype(np.int32).tobytes() + (sig[i:j] & _U(0xFFFFFFFF)).astype(np.uint32).tobytes()
                 yield int(part[i]), blob
 
         def rows(pairs):
@@ -208,10 +211,11 @@ def _packed(docs: DataFrame, frequent: np.ndarray, parts: int) -> DataFrame:
                     continue
                 nodes[key] = len(nodes)
                 sigs.append(sig)
+                weight.append(int(common[s >> _U(64 - SLOTS)].sum()))
                 total += len(sig)
                 if total > 2_000_000:
                     yield rows(list(flush()))
-                    nodes, sigs, total = {}, [], 0
+                    nodes, sigs, weight, total = {}, [], [], 0
         if sigs:
             yield rows(list(flush()))
 
@@ -221,8 +225,9 @@ def _packed(docs: DataFrame, frequent: np.ndarray, parts: int) -> DataFrame:
 def _unpack(blob: bytes):
     n = int(np.frombuffer(blob, np.int64, 1)[0])
     keys = np.frombuffer(blob, np.int64, 2 * n, 8).reshape(n, 2)
-    count = np.frombuffer(blob, np.int32, n, 8 + 16 * n)
-    return keys, count, np.frombuffer(blob, np.uint32, int(count.sum()), 8 + 20 * n)
+    usual = np.frombuffer(blob, np.int32, n, 8 + 16 * n)
+    count = np.frombuffer(blob, np.int32, n, 8 + 20 * n)
+    return keys, usual, count, np.frombuffer(blob, np.uint32, int(count.sum()), 8 + 24 * n)
 
 
 def families(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
@@ -236,12 +241,13 @@ def families(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 by.setdefault(p, []).append(blob)
         for p in list(by):
             parts_of = [_unpack(b) for b in by.pop(p)]
-            keys = np.concatenate([k for k, _, _ in parts_of])
-            node, inverse = np.unique(keys.view([("a", np.int64), ("b", np.int64)]).ravel(), return_inverse=True)
-            base = np.concatenate([[0], np.cumsum([len(k) for k, _, _ in parts_of])])
-            own = np.concatenate([np.repeat(np.arange(base[i], base[i + 1]), c) for i, (_, c, _) in enumerate(parts_of)])
+            keys = np.concatenate([x[0] for x in parts_of])
+            node, first, inverse = np.unique(keys.view([("a", np.int64), ("b", np.int64)]).ravel(), return_index=True, return_inverse=True)
+            usual = np.concatenate([x[1] for x in parts_of])[first]
+            base = np.concatenate([[0], np.cumsum([len(x[0]) for x in parts_of])])
+            own = np.concatenate([np.repeat(np.arange(base[i], base[i + 1]), x[2]) for i, x in enumerate(parts_of)])
             own = inverse[own]
-            sig = np.concatenate([s for _, _, s in parts_of])
+            sig = np.concatenate([x[3] for x in parts_of])
             both = np.unique((sig.astype(_U) << _U(32)) | own.astype(_U))
             sig, own = both >> _U(32), (both & _U(0xFFFFFFFF)).astype(np.int64)
             new = np.r_[True, sig[1:] != sig[:-1]]
@@ -254,7 +260,7 @@ def families(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             size = np.diff(np.r_[start, len(sig)])
             popular = np.bincount(own, np.repeat(size, size).astype(float), len(node))
             group = np.repeat(np.arange(len(start)), size)
-            order = np.lexsort((own, -popular[own], group))
+            order = np.lexsort((own, -popular[own], -usual[own], group))
             pair = np.unique((own[order][start][group] << 32) | own)
             for i in range(0, len(pair), 100_000):
                 m, c = node[pair[i : i + 100_000] & 0xFFFFFFFF], node[pair[i : i + 100_000] >> 32]
@@ -302,8 +308,24 @@ def intersections(rows: list[np.ndarray], cols: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _with_sets(need: DataFrame, docs: DataFrame) -> DataFrame:
-    """need with the set s of each id. An id with several texts has a row for each; it is one document."""
+def profile(s: np.ndarray) -> bytes:
+    """Size, and how many hashes fall into each of BUCKETS ranges (255 at most)."""
+    n = np.bincount((s >> _U(64 - BUCKETS.bit_length() + 1)).astype(np.int64), minlength=BUCKETS)
+    return np.int64(len(s)).tobytes() + np.minimum(n, 255).astype(np.uint8).tobytes()
+
+
+def may_link(rows: list[bytes], cols: list[bytes]) -> np.ndarray:
+    """False only where two profiles prove a pair unlinked: their L1 distance is at most the symmetric difference."""
+    read = lambda x: (np.array([np.frombuffer(r, np.int64, 1)[0] for r in x]), np.stack([np.frombuffer(r, np.uint8, BUCKETS, 8) for r in x]))
+    (n, p), (m, q) = read(rows), read(cols)
+    gap = np.empty((len(n), len(m)), np.int64)
+    for i, x in enumerate(p):
+        gap[i] = (np.maximum(q, x) - np.minimum(q, x)).sum(1, dtype=np.uint32)
+    return gap * (100 + SHARE) <= (n[:, None] + m[None, :]) * (100 - SHARE)
+
+
+def _with_sets(need: DataFrame, docs: DataFrame, pack=_pack) -> DataFrame:
+    """need with the packed set s of each id. An id with several texts has a row for each; it is one document."""
     held = ship(docs.sparkSession, _filter(need), 1 << FILTER - 3)
 
     def run(batches):
@@ -312,19 +334,19 @@ def _with_sets(need: DataFrame, docs: DataFrame) -> DataFrame:
             h = x.column(3).to_numpy()
             y = x.filter(pa.array(bits[h >> 3] >> (h & 7).astype(np.uint8) & 1 == 1))
             if y.num_rows:
-                yield pa.record_batch([y.column(0), pa.array([_pack(shingles(t)) for t in y.column(2).to_pylist()], pa.binary())], ["id", "s"])
+                yield pa.record_batch([y.column(0), pa.array([pack(shingles(t)) for t in y.column(2).to_pylist()], pa.binary())], ["id", "s"])
 
     sets = _ids(docs).withColumn("h", F.pmod(F.xxhash64("id"), F.lit(1 << FILTER))).mapInArrow(run, "id long, s binary")
     return need.join(sets, "id")
 
 
-def _read(batches) -> tuple[list[list], list[np.ndarray]]:
-    """Columns but s as lists, and the sets."""
+def _read(batches, unpack=_sets_of) -> tuple[list[list], list]:
+    """Columns but s as lists, and s unpacked."""
     cols, sets = None, []
     for x in batches:
         got = [x.column(n).to_pylist() for n in x.schema.names if n != "s"]
         cols = got if cols is None else [p + q for p, q in zip(cols, got, strict=True)]
-        sets += [_sets_of(r) for r in x.column("s").to_pylist()]
+        sets += [unpack(r) for r in x.column("s").to_pylist()]
     return cols, sets
 
 
@@ -335,7 +357,17 @@ def _linked(rows, cols) -> np.ndarray:
 
 
 def family_links(members: DataFrame, docs: DataFrame) -> DataFrame:
-    """(u, v) of all links within each centre's family (c, id), for families of at most FAMILY members."""
+    """(u, v) of all links within each centre's family (c, id), for families of at most FAMILY members.
+
+    Profiles, a tenth of the sets' bytes, first leave out the members that can't link with any other.
+    """
+
+    def some(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (_, ids), profiles = _read(batches, bytes)
+        ids = np.array(ids)
+        ok = may_link(profiles, profiles) & (ids[:, None] != ids[None, :])
+        keep = np.unique(ids[ok.any(1)])
+        yield pa.record_batch([pa.array(np.full(len(keep), key[0].as_py(), np.int64)), pa.array(keep)], ["c", "id"])
 
     def compare(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (_, ids), sets = _read(batches)
@@ -344,7 +376,8 @@ def family_links(members: DataFrame, docs: DataFrame) -> DataFrame:
         u, v = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
         yield pa.record_batch([pa.array(u[u != v]), pa.array(v[u != v])], ["u", "v"])
 
-    return _with_sets(members.select("c", "id"), docs).select("c", "id", "s").groupBy("c").applyInArrow(compare, "u long, v long")
+    left = cut(_with_sets(members.select("c", "id"), docs, profile).select("c", "id", "s").groupBy("c").applyInArrow(some, "c long, id long"))
+    return _with_sets(left, docs).select("c", "id", "s").groupBy("c").applyInArrow(compare, "u long, v long")
 
 
 def star_overlaps(members: DataFrame, docs: DataFrame) -> DataFrame:
@@ -363,14 +396,14 @@ def star_overlaps(members: DataFrame, docs: DataFrame) -> DataFrame:
     return _with_sets(need, docs).select("c", "chunk", "id", "s").groupBy("c", "chunk").applyInArrow(compare, "c long, id long, shared long, total long")
 
 
-def outsider_links(members: DataFrame, docs: DataFrame) -> DataFrame:
-    """(u, v): links of members outside their centre's component with any member of another component.
+def outsider_candidates(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """(u, v): members outside their centre's component, each with the members of other components that it may link with.
 
-    members: c, id, k (component), d (distance from the centre), out. Members are dealt into blocks; each
-    pair of blocks with outsiders is a task. Pairs whose distances from the centre differ by more than a
-    link's distance can't be links and aren't returned.
+    members: c, id, k (component), d (distance from the centre), out. Members are dealt into blocks of
+    profiles; each pair of blocks with outsiders is a task. Left out are pairs whose profiles, or whose
+    distances from the centre, prove them unlinked.
     """
-    n = members.groupBy("c").agg(F.ceil(F.count_if("out") / FAMILY).alias("no"), F.ceil(F.count_if(~F.col("out")) / FAMILY).alias("ni")).filter("no > 0")
+    n = members.groupBy("c").agg(F.ceil(F.count_if("out") / PROFILES).alias("no"), F.ceil(F.count_if(~F.col("out")) / PROFILES).alias("ni")).filter("no > 0")
     m = members.join(n, "c").withColumn("b", F.pmod(F.xxhash64("id"), F.when(F.col("out"), F.col("no")).otherwise(F.col("ni"))))
     to = lambda column: F.explode(F.when(F.col(column) > 0, F.sequence(F.lit(0).cast("long"), F.col(column) - 1)))
     cols = ["c", "id", "k", "d", "out", "b"]
@@ -380,18 +413,19 @@ def outsider_links(members: DataFrame, docs: DataFrame) -> DataFrame:
     need = inner.unionByName(outer).unionByName(twins)
 
     def compare(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (_, ids, k, d, out, *_), sets = _read(batches)
+        (_, ids, k, d, out, *_), sets = _read(batches, bytes)
         ids, k, d, out = np.array(ids), np.array(k), np.array(d), np.array(out)
         rows = np.flatnonzero(out)
         cols = rows if key[3].as_py() else np.flatnonzero(~out)
         if not len(rows) or not len(cols):
             return
-        ok = _linked([sets[i] for i in rows], [sets[i] for i in cols]) & (k[rows][:, None] != k[cols][None, :])
+        ok = may_link([sets[i] for i in rows], [sets[i] for i in cols]) & (k[rows][:, None] != k[cols][None, :])
         ok &= np.abs(d[rows][:, None] - d[cols][None, :]) <= 1 - SHARE / 100 + 1e-9
         i, j = np.nonzero(ok)
-        yield pa.record_batch([pa.array(ids[rows[i]]), pa.array(ids[cols[j]])], ["u", "v"])
+        u, v = ids[rows[i]], ids[cols[j]]
+        yield pa.record_batch([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
 
-    return _with_sets(need, docs).select(*cols, "p", "q", "same", "s").groupBy("c", "p", "q", "same").applyInArrow(compare, "u long, v long")
+    return _with_sets(need, docs, profile).select(*cols, "p", "q", "same", "s").groupBy("c", "p", "q", "same").applyInArrow(compare, "u long, v long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -428,7 +462,10 @@ def join(docs: DataFrame) -> DataFrame:
         comp = components(links)
         of = lambda df, i, k: df.join(comp.select(F.col("id").alias(i), F.col("comp").alias(k)), i, "left").withColumn(k, F.coalesce(k, i))
         placed = of(of(star, "id", "k"), "c", "kc").select("c", "id", "k", (1 - F.col("shared") / F.col("total")).alias("d"), (F.col("k") != F.col("kc")).alias("out"))
-        late = cut(outsider_links(placed, docs).distinct())
+        pairs = outsider_candidates(placed, docs).distinct().select(F.col("u").alias("c"), F.col("v").alias("id"))
+        pairs = cut(pairs.join(pairs.groupBy("c").agg(F.count(F.lit(1)).alias("n")), "c"))
+        late = star_overlaps(pairs, docs).filter(100 * F.col("shared") >= SHARE * F.col("total")).select(F.col("c").alias("u"), F.col("id").alias("v")).distinct()
+        late = cut(late)
         if not late.isEmpty():
             links = cut(links.unionByName(late).distinct())
             comp = components(links)

@@ -394,6 +394,7 @@ def test_jaccard_components(spark, folder, rows):
 def test_jaccard_chains_and_boilerplate(spark, monkeypatch, seed, family):
     """Chains of edits whose ends aren't similar, sets of all sizes, a passage that all share."""
     monkeypatch.setattr(jaccard_join, "FAMILY", family)
+    monkeypatch.setattr(jaccard_join, "PROFILES", family)
     r = random.Random(seed)
     hot = prose(r, 30, 10**6)
     rows = []
