@@ -262,6 +262,15 @@ def families(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             group = np.repeat(np.arange(len(start)), size)
             order = np.lexsort((own, -popular[own], -usual[own], group))
             pair = np.unique((own[order][start][group] << 32) | own)
+            # a centre that is in a larger family hands its own over to it
+            c, x = pair >> 32, pair & 0xFFFFFFFF
+            n = np.bincount(c, minlength=len(node))
+            here = np.flatnonzero(n[x] > 0)  # rows whose member is a centre; it is in its own family too
+            best = here[np.lexsort((-c[here], usual[c[here]], n[c[here]], x[here]))]
+            last = np.r_[x[best][1:] != x[best][:-1], True]
+            root = np.zeros(len(node), np.int64)
+            root[x[best][last]] = c[best][last]
+            pair = np.unique((root[c] << 32) | x)
             for i in range(0, len(pair), 100_000):
                 m, c = node[pair[i : i + 100_000] & 0xFFFFFFFF], node[pair[i : i + 100_000] >> 32]
                 yield pa.record_batch([pa.array(v) for v in (m["a"], m["b"], c["a"], c["b"])], ["a", "b", "ca", "cb"])
@@ -279,6 +288,13 @@ def _filter(nodes: DataFrame) -> bytes:
     return out.tobytes()
 
 
+def _merged(members: DataFrame) -> DataFrame:
+    """Families (c, id) after each centre has handed its family over to the largest one that it is in. No pair is lost: families only grow."""
+    sized = members.join(members.groupBy("c").agg(F.count(F.lit(1)).alias("n")), "c")
+    of = sized.join(members.select(F.col("c").alias("id")).distinct(), "id").groupBy("id").agg(F.max_by("c", F.struct("n", "c")).alias("root"))
+    return members.join(of.withColumnRenamed("id", "c"), "c").select(F.col("root").alias("c"), "id").distinct()
+
+
 def _pack(s: np.ndarray) -> bytes:
     """48 bits of each hash; what is lost can't turn a link (chance collision within a pair: below 1e-8)."""
     return s.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
@@ -450,7 +466,8 @@ def join(docs: DataFrame) -> DataFrame:
     groups = families(docs, frequent_shingles(docs))
     name = lambda df, a, b, c, size: df.join(classes.select(F.col("a").alias(a), F.col("b").alias(b), F.col("cls").alias(c), F.col("size").alias(size)), [a, b])
     groups = name(name(groups, "a", "b", "id", "nx"), "ca", "cb", "c", "nc")
-    members = groups.select("c", "id").distinct()  # an id with several texts is one node from here on
+    # an id with several texts is one node from here on
+    members = cut(_merged(cut(groups.select("c", "id").distinct())))
     members = cut(members.join(members.groupBy("c").agg(F.count(F.lit(1)).alias("n")), "c"))
     big = members.filter(F.col("n") > FAMILY)
     links = cut(family_links(members.filter(F.col("n") <= FAMILY), docs).distinct())
