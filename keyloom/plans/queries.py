@@ -158,7 +158,7 @@ MIXED = E + ", m AS (SELECT CAST(seq % 10 AS VARCHAR) AS key, key AS member, seq
 REPLIES = MIXED + ", b AS (SELECT *, lag(op) OVER (PARTITION BY key, member ORDER BY seq) AS p FROM m)"
 
 
-@query(f"WITH {REPLIES} SELECT key, member, seq, CAST(CASE WHEN op = 'PUT' THEN p IS NULL OR p = 'CUT' ELSE p = 'PUT' END AS BIGINT) AS reply FROM b")
+@query(f"WITH {REPLIES} SELECT key, member, seq, CAST(CASE WHEN op = 'PUT' THEN p IS NULL OR p = 'CUT' ELSE coalesce(p, '') = 'PUT' END AS BIGINT) AS reply FROM b")
 def sadd_srem_replies(spark, sf):
     """SADD and SREM (or HSET and HDEL) in one log."""
     return collections.member_replies(_mixed_members(spark, sf)).select("key", "member", "seq", F.col("changed").alias("reply"))
