@@ -46,6 +46,8 @@ SHARE = 80
 SINGLE = 64
 #: Sample for the table of frequent shingles: one document of SAMPLE_OF, at least MIN_SEEN of them; size bound.
 SAMPLE_OF, MIN_SEEN, MAX_FREQUENT = 16, 4, 1 << 17
+#: Signature partitions that a task takes.
+PER_TASK = 4
 #: Sets that are compared all with all at once.
 FAMILY = 384
 #: Counts in a profile; profiles that are compared all with all at once.
@@ -236,7 +238,8 @@ def families(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
 
     def run(batches):
         by: dict[int, list[bytes]] = {}
-        for x in batches:  # a shuffle partition may hold several p
+        found = []
+        for x in batches:  # a task takes several p, one at a time, and names each family once for all of them
             for p, blob in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True):
                 by.setdefault(p, []).append(blob)
         for p in list(by):
@@ -262,23 +265,32 @@ def families(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             group = np.repeat(np.arange(len(start)), size)
             order = np.lexsort((own, -popular[own], -usual[own], group))
             pair = np.unique((own[order][start][group] << 32) | own)
-            # a centre that is in a larger family hands its own over to it
-            c, x = pair >> 32, pair & 0xFFFFFFFF
-            n = np.bincount(c, minlength=len(node))
-            here = np.flatnonzero(n[x] > 0)  # rows whose member is a centre; it is in its own family too
-            best = here[np.lexsort((-c[here], usual[c[here]], n[c[here]], x[here]))]
-            last = np.r_[x[best][1:] != x[best][:-1], True]
-            root = np.zeros(len(node), np.int64)
-            root[x[best][last]] = c[best][last]
-            pair = np.unique((root[c] << 32) | x)
+            pair = _hand_over(pair, len(node))
+            found.append((node[pair & 0xFFFFFFFF], node[pair >> 32]))
+        if found:
+            m, c = (np.concatenate(x) for x in zip(*found, strict=True))
+            node, at = np.unique(np.concatenate([m, c]), return_inverse=True)
+            pair = _hand_over(np.unique((at[len(m) :] << 32) | at[: len(m)]), len(node))
             for i in range(0, len(pair), 100_000):
                 m, c = node[pair[i : i + 100_000] & 0xFFFFFFFF], node[pair[i : i + 100_000] >> 32]
                 yield pa.record_batch([pa.array(v) for v in (m["a"], m["b"], c["a"], c["b"])], ["a", "b", "ca", "cb"])
 
-    packed = _packed(docs, frequent, parts).repartition(parts, "p")
+    packed = _packed(docs, frequent, parts).repartition(max(1, parts // PER_TASK), "p")
     return packed.mapInArrow(run, "a long, b long, ca long, cb long").distinct()
 
 
+def _hand_over(pair: np.ndarray, n_nodes: int) -> np.ndarray:
+    """Pairs (centre << 32 | member) after each centre has handed its family over to the largest one that it is in."""
+    c, x = pair >> 32, pair & 0xFFFFFFFF
+    n = np.bincount(c, minlength=n_nodes)
+    here = np.flatnonzero(n[x] > 0)  # rows whose member is a centre; it is in its own family too
+    best = here[np.lexsort((-c[here], n[c[here]], x[here]))]
+    last = np.r_[x[best][1:] != x[best][:-1], True]
+    root = np.zeros(n_nodes, np.int64)
+    root[x[best][last]] = c[best][last]
+    return np.unique((root[c] << 32) | x)
+
+
 def _filter(nodes: DataFrame) -> bytes:
     """A bit for the hash of each id: a Bloom filter of fixed size, so that other documents aren't shuffled."""
     h = nodes.select(F.pmod(F.xxhash64("id"), F.lit(1 << FILTER)).alias("h"))
