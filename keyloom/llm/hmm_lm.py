@@ -314,12 +314,23 @@ def train(encoded: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> Hmm
     return model
 
 
+def _threshold(counts: DataFrame) -> int:
+    """The lowest power of two that at most KNOWN words reach. Only a histogram of powers comes to the driver, so nothing is sorted."""
+    power = F.floor(F.log2("n")).cast("int")
+    words = {r.p: r.k for r in counts.groupBy(power.alias("p")).agg(F.count(F.lit(1)).alias("k")).collect()}
+    p, total = 63, 0
+    while p >= 0 and total + words.get(p, 0) <= KNOWN:
+        total += words.get(p, 0)
+        p -= 1
+    return 1 << (p + 1)
+
+
 def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
     """The columns of the query for every row of docs."""
     spark = docs.sparkSession
     counts = cut(count_words(docs))
     n_train, vocab = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    top = [(bytes(r.word), r.c) for r in counts.orderBy(F.desc("n"), "word").limit(KNOWN).collect()]
+    top = [(bytes(r.word), r.c) for r in sorted(counts.filter(F.col("n") >= _threshold(counts)).collect(), key=lambda r: (-r.n, r.word))]
     lookup = Lookup(top)
     encoded = cut(encode(docs, lookup))
     model = train(encoded, states, rounds)
