@@ -46,8 +46,8 @@ SHARE = 80
 SINGLE = 64
 #: Sample for the table of frequent shingles: one document of SAMPLE_OF, at least MIN_SEEN of them; size bound.
 SAMPLE_OF, MIN_SEEN, MAX_FREQUENT = 16, 4, 1 << 17
-#: Signature partitions that a task takes.
-PER_TASK = 4
+#: Shuffle partitions that are one partition of signatures: fewer tasks name the same family.
+PER_TASK = 3
 #: Sets that are compared all with all at once.
 FAMILY = 384
 #: Counts in a profile; profiles that are compared all with all at once.
@@ -234,12 +234,12 @@ def _unpack(blob: bytes):
 
 def families(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     """(a, b, ca, cb): node (a, b) shares a signature with others whose centre is (ca, cb). The centre is in its own family."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // PER_TASK)
 
     def run(batches):
         by: dict[int, list[bytes]] = {}
         found = []
-        for x in batches:  # a task takes several p, one at a time, and names each family once for all of them
+        for x in batches:  # a task may hold several p; it takes one at a time, and names each family once for all of them
             for p, blob in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True):
                 by.setdefault(p, []).append(blob)
         for p in list(by):
@@ -275,7 +275,7 @@ def families(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 m, c = node[pair[i : i + 100_000] & 0xFFFFFFFF], node[pair[i : i + 100_000] >> 32]
                 yield pa.record_batch([pa.array(v) for v in (m["a"], m["b"], c["a"], c["b"])], ["a", "b", "ca", "cb"])
 
-    packed = _packed(docs, frequent, parts).repartition(max(1, parts // PER_TASK), "p")
+    packed = _packed(docs, frequent, parts).repartition(parts, "p")
     return packed.mapInArrow(run, "a long, b long, ca long, cb long").distinct()
 
 
