@@ -22,8 +22,9 @@ WRONGTYPE = "WRONGTYPE Operation against a key holding the wrong kind of value"
 NOT_INT = "ERR value is not an integer or out of range"
 NO_KEY = "ERR key is required"
 SYNTAX = "ERR syntax error"
-#: Longest time to live in seconds: what still fits in microseconds.
-MAX_TTL_S = (2**63 - 1) // 1_000_000 // 2
+#: Longest time to live, in microseconds and whole seconds: what fits in 64 bits of nanoseconds. More is out of range.
+MAX_TTL_US = (2**63 - 1) // 1_000
+MAX_TTL_S = MAX_TTL_US // 1_000_000
 
 #: (least, most, step) of arguments per command; most None: no limit; step: what exceeds least comes in such steps.
 ARITY = {
@@ -139,7 +140,7 @@ class Key:
             if unit is None or len(options) < 2:
                 return error(SYNTAX)
             n = parse_int(options[1])
-            if n is None or n <= 0 or n * unit > MAX_TTL_S * 1_000_000:
+            if n is None or n <= 0 or n * unit > MAX_TTL_US:
                 return error(NOT_INT)
             ttl, options = n * unit, options[2:]
         return self._write(name, rest[0], ttl, now)
