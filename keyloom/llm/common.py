@@ -14,6 +14,7 @@ WS_RUN = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Stands for a null doc_id in internal keys; it sorts below every real id.
 NO_ID = -(2**63)
+BATCH_ROWS = 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +37,14 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after lowering the session's Arrow batches to BATCH_ROWS rows: texts are long, and each core holds several copies of a batch."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise a narrow frame in the shared folder of spark.checkpoint.dir (lost executors don't matter).
 

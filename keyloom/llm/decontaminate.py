@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import ship, table
+from keyloom.llm.common import ship, small_batches, table
 
 N = 5
 SHARE = 80
@@ -140,7 +140,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_shared, n_question, n_answer of every document that holds a test item."""
     spark = docs.sparkSession
     out = spark.createDataFrame([], "doc_id long, item_id long, n_shared long, n_question long, n_answer long")
-    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).filter("text is not null")
+    slim = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).filter("text is not null")
     for index in build_indexes(benchmark):
         held = ship(spark, pickle.dumps(index), MAX_BYTES)
 
@@ -158,7 +158,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows whose text holds a test item; row by row, nothing is shuffled."""
-    out = docs
+    out = small_batches(docs)
     for index in build_indexes(benchmark):
         held = ship(docs.sparkSession, pickle.dumps(index), MAX_BYTES)
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import cut, fold_of, ship, table
+from keyloom.llm.common import cut, fold_of, ship, small_batches, table
 
 FOLDS, HELD_OUT = 5, 1
 STATES = 6
@@ -78,7 +78,7 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def _slim(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", (fold_of(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), F.col("text").cast("binary").alias("text"))
+    return small_batches(docs).select("doc_id", (fold_of(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), F.col("text").cast("binary").alias("text"))
 
 
 def shape_class(word: bytes) -> int:

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import cut, ship, table
+from keyloom.llm.common import cut, ship, small_batches, table
 
 N = 5
 #: Similarity as a percentage: linked when 100 * intersection >= SHARE * union.
@@ -137,7 +137,7 @@ def signatures(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 def _ids(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("binary").alias("text")
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text"), F.lit("")))).alias("id"), F.col("doc_id").cast("long").alias("doc_id"), text)
+    return small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text"), F.lit("")))).alias("id"), F.col("doc_id").cast("long").alias("doc_id"), text)
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -215,7 +215,7 @@ def _packed(docs: DataFrame, frequent: np.ndarray, parts: int) -> DataFrame:
                 sigs.append(sig)
                 weight.append(int(common[s >> _U(64 - SLOTS)].sum()))
                 total += len(sig)
-                if total > 2_000_000:
+                if total > 1_000_000:
                     yield rows(list(flush()))
                     nodes, sigs, weight, total = {}, [], [], 0
         if sigs:
@@ -247,18 +247,20 @@ def families(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             keys = np.concatenate([x[0] for x in parts_of])
             node, first, inverse = np.unique(keys.view([("a", np.int64), ("b", np.int64)]).ravel(), return_index=True, return_inverse=True)
             usual = np.concatenate([x[1] for x in parts_of])[first]
-            base = np.concatenate([[0], np.cumsum([len(x[0]) for x in parts_of])])
-            own = np.concatenate([np.repeat(np.arange(base[i], base[i + 1]), x[2]) for i, x in enumerate(parts_of)])
-            own = inverse[own]
-            sig = np.concatenate([x[3] for x in parts_of])
-            both = np.unique((sig.astype(_U) << _U(32)) | own.astype(_U))
-            sig, own = both >> _U(32), (both & _U(0xFFFFFFFF)).astype(np.int64)
-            new = np.r_[True, sig[1:] != sig[:-1]]
-            size = np.diff(np.r_[np.flatnonzero(new), len(sig)])
-            many = np.repeat(size > 1, size)
-            sig, own = sig[many], own[many]
-            if not len(sig):
+            both = np.empty(sum(len(x[3]) for x in parts_of), _U)  # signature and node; the only array of this length but for masks
+            at = base = 0
+            for k, _, count, sig in parts_of:
+                own = np.repeat(inverse[base : base + len(k)], count)
+                both[at : at + len(sig)] = (sig.astype(_U) << _U(32)) | own.astype(_U)
+                at, base = at + len(sig), base + len(k)
+            del parts_of, keys
+            both.sort()
+            both = both[np.r_[True, both[1:] != both[:-1]]]
+            twin = (both[1:] >> _U(32)) == (both[:-1] >> _U(32))
+            both = both[np.r_[False, twin] | np.r_[twin, False]]
+            if not len(both):
                 continue
+            sig, own = both >> _U(32), (both & _U(0xFFFFFFFF)).astype(np.int64)
             start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
             size = np.diff(np.r_[start, len(sig)])
             popular = np.bincount(own, np.repeat(size, size).astype(float), len(node))

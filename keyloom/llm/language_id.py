@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import fold_of, table
+from keyloom.llm.common import fold_of, small_batches, table
 
 FOLDS, HELD_OUT = 3, 1
 SAMPLE_DOCS = 250
@@ -227,7 +227,7 @@ def identify(docs: DataFrame, net: ByteGru | None = None) -> DataFrame:
     net = net or fit(docs)
     own = [c for c in docs.columns if c not in ("lang_pred", "score")]
     # a copy of text as bytes, so that nothing is decoded
-    df = docs.select(*own, F.col("text").cast("binary").alias("__bytes"))
+    df = small_batches(docs).select(*own, F.col("text").cast("binary").alias("__bytes"))
 
     def run(batches):
         for b in batches:
@@ -241,7 +241,7 @@ def identify(docs: DataFrame, net: ByteGru | None = None) -> DataFrame:
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     net = fit(docs)
-    slim = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    slim = small_batches(docs).select("doc_id", F.col("text").cast("binary").alias("text"))
 
     def run(batches):
         for b in batches:

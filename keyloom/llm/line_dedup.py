@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import NO_ID, WS_CHARS, cut, table
+from keyloom.llm.common import NO_ID, WS_CHARS, cut, small_batches, table
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -59,7 +59,7 @@ def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                 k = np.frombuffer(bytes(keys), np.int64).reshape(-1, 2)
                 yield pa.record_batch([pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(doc, pa.int64()), pa.array(row, pa.int64()), pa.array(pos, pa.int32())], names)
 
-    return docs.select(*_row_key(), F.col("text").cast("binary").alias("text")).mapInArrow(run, "k1 long, k2 long, doc long, row long, pos int")
+    return small_batches(docs).select(*_row_key(), F.col("text").cast("binary").alias("text")).mapInArrow(run, "k1 long, k2 long, doc long, row long, pos int")
 
 
 def _row_key():

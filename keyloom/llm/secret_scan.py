@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm.common import table
+from keyloom.llm.common import small_batches, table
 
 KINDS = ("assign", "access", "hex", "lexed")
 #: Base patterns, fixed by the contract; minimum lengths of group 2, of the match, and of the match.
@@ -124,7 +124,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
             yield pa.record_batch([b.column(0), pa.array(spans, kind)], ["doc_id", "spans"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, spans array<struct<kind:string,start:bigint,end:bigint>>")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, spans array<struct<kind:string,start:bigint,end:bigint>>")
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
