@@ -33,11 +33,12 @@ def connections(log: DataFrame) -> DataFrame:
     """The log up to each connection's QUIT, with in_tx, tx (seq of its MULTI), end_cmd, end_seq and end_ts of the batch's end."""
     w = Window.partitionBy("conn_id").orderBy("seq")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    after = w.rowsBetween(1, Window.unboundedFollowing)
+    # what follows, read backwards: a frame up to the end of the partition would be evaluated anew for every row
+    after = Window.partitionBy("conn_id").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
     mark = F.when(F.col("cmd").isin("MULTI", "EXEC", "DISCARD", "QUIT"), F.col("cmd"))
     end = F.when(F.col("cmd").isin("EXEC", "DISCARD", "QUIT"), F.struct("cmd", "seq", "ts_us"))
     x = log.withColumn("cmd", F.upper("cmd")).withColumn("quit", F.coalesce(F.count_if(F.col("cmd") == "QUIT").over(before), F.lit(0))).filter("quit = 0").drop("quit")
-    x = x.withColumns({"in_tx": F.coalesce(F.last(mark, True).over(before) == "MULTI", F.lit(False)), "ends": F.first(end, True).over(after)})
+    x = x.withColumns({"in_tx": F.coalesce(F.last(mark, True).over(before) == "MULTI", F.lit(False)), "ends": F.last(end, True).over(after)})
     start = F.when((F.col("cmd") == "MULTI") & ~F.col("in_tx"), F.col("seq"))
     x = x.withColumn("tx", F.when(F.col("in_tx"), F.last(start, True).over(before)))
     return x.select("*", F.col("ends.cmd").alias("end_cmd"), F.col("ends.seq").alias("end_seq"), F.col("ends.ts_us").alias("end_ts")).drop("ends")
