@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -149,16 +150,19 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     late = edge.join(F.broadcast(ends), ["k1", "k2"]).filter(F.col("doc") != F.col("last")).select("doc", "row", "pos")
     drops = marked.filter("not edge").select("doc", "row", "pos").unionByName(late)
 
-    def bits(pos) -> bytes:
-        keep = np.ones((max(pos) + 8) // 8 * 8, bool)  # whole bytes, else the padding would read as dropped
-        keep[np.asarray(pos)] = False
+    def bits(pos: np.ndarray) -> bytes:
+        keep = np.ones((int(pos.max()) + 8) // 8 * 8, bool)  # whole bytes, else the padding would read as dropped
+        keep[pos] = False
         return zlib.compress(np.packbits(keep, bitorder="little").tobytes(), 1)
 
-    @F.udf("binary")
-    def bitmap(pos):
-        return bits(pos)
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pos = b.column(2)
+            flat, ends = pos.flatten().to_numpy(), np.r_[0, np.cumsum(pos.value_lengths().to_numpy())]
+            maps = [bits(flat[i:j]) for i, j in pairwise(ends.tolist())]
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(np.diff(ends), pa.int64()), pa.array(maps, pa.binary())], ["doc", "row", "n_drop", "bitmap"])
 
-    return drops.groupBy("doc", "row").agg(F.collect_set("pos").alias("pos")).select("doc", "row", F.size("pos").cast("long").alias("n_drop"), bitmap("pos").alias("bitmap"))
+    return drops.groupBy("doc", "row").agg(F.collect_set("pos").alias("pos")).mapInArrow(pack, "doc long, row long, n_drop long, bitmap binary")
 
 
 def kept_lines(text: bytes, bitmap: bytes | None) -> bytes:
