@@ -72,19 +72,14 @@ def sensitive_literals(text: str) -> list[tuple[int, int, float]]:
             uses.append((name, literal))
         else:
             held.setdefault(name, set()).add(i)
-    # what name -> literal sources can a name see: follow uses backwards, each edge once
-    back: dict[str, set[str]] = {}
+    # names whose value flows into a name; they are followed from the most sensitive name on, each once
+    flows: dict[str, set[str]] = {}
     for name, source in uses:
-        back.setdefault(source, set()).add(name)
+        flows.setdefault(name, set()).add(source)
     best: dict[str, float] = {}
     for score, name in sorted(((name_score(n), n) for n in named), reverse=True):
         if score < MIN_SCORE:
             break
-        # names whose value flows into this one
-        flows = {}
-        for source, targets in back.items():
-            for t in targets:
-                flows.setdefault(t, set()).add(source)
         todo = [name]
         while todo:
             n = todo.pop()

@@ -356,6 +356,13 @@ def test_secret_lexing():
     assert [t[a:b] for k, a, b in secret_scan.find_secrets(t) if k == "lexed"] == ["zz99zz99ZZ"]
 
 
+def test_secret_lexing_of_a_long_chain():
+    """Many sensitive names and uses take one walk over the uses."""
+    n = 20_000
+    t = "v0 = 'Qq11Qq11Qq'\n" + "".join(f"secret_{i} = v{i}\nv{i + 1} = secret_{i}\n" for i in range(n))
+    assert [t[a:b] for k, a, b in secret_scan.find_secrets(t) if k == "lexed"] == ["Qq11Qq11Qq"]
+
+
 def brute_sets(t):
     ws = [w for w in WORD.findall(lower(t or ""))]
     return {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
