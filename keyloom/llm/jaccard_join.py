@@ -472,8 +472,11 @@ def components(links: DataFrame) -> DataFrame:
         state = new.select("id", "comp")
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id for every row of docs."""
+def assign(docs: DataFrame) -> DataFrame:
+    """id, doc_id, n_shingles, component_id and keeper for every row of docs.
+
+    id stands for a null doc_id; keeper is the id that stands for the component: its smallest real one, if it has any.
+    """
     rows = cut(digests(docs))
     full = rows.filter("n_shingles > 0")
     classes = cut(full.groupBy("a", "b").agg(F.min("id").alias("cls"), F.min("doc_id").alias("least"), F.min("n_shingles").alias("size")))
@@ -501,17 +504,23 @@ def join(docs: DataFrame) -> DataFrame:
             links = cut(links.unionByName(late).distinct())
             comp = components(links)
     known = classes.join(comp, F.col("cls") == F.col("id"), "left").select("a", "b", "cls", "least", F.coalesce("comp", "cls").alias("comp"))
-    best = known.groupBy("comp").agg(F.min("least").alias("component_id"))
-    named = known.join(best, "comp").select("a", "b", "component_id")
+    best = known.groupBy("comp").agg(F.min("least").alias("component_id"), F.coalesce(F.min("least"), F.min("cls")).alias("keeper"))
+    named = known.join(best, "comp").select("a", "b", "component_id", "keeper")
     # an empty set's digest is no class, so such rows keep their own id
     out = rows.join(named, ["a", "b"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("id", "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("keeper", "id").alias("keeper"))
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id for every row of docs."""
+    return assign(docs).select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one row per component: that of its smallest id. Rows without an id stay if their text is in no component with one."""
-    keep = join(docs.select("doc_id", "text")).filter("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.dropDuplicates(["doc_id"]).join(keep, F.col("doc_id") == F.col("__id"), "left_semi")
+    """docs with one row per component: that of its smallest id. A component whose rows all lack an id keeps one of them."""
+    keep = assign(docs.select("doc_id", "text")).filter("id = keeper").select(F.col("id").alias("__id")).distinct()
+    named = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text"), F.lit("")))))
+    return named.dropDuplicates(["__id"]).join(keep, "__id", "left_semi").select(*docs.columns)
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -397,6 +397,19 @@ def test_jaccard_components(spark, folder, rows):
     assert got == brute_components(rows)
 
 
+def test_one_of_each_without_ids(spark):
+    """A row without id stays unless its text is in a component with an id; of components without any, one row stays."""
+    r = random.Random(3)
+    own, shared, alone = (prose(r, 40, 10**6) for _ in range(3))
+    near = " ".join([*own.split()[:-1], "other"])
+    rows = [(5, shared), (9, shared), (None, shared), (None, own), (None, own), (None, near), (None, alone), (7, None), (None, None), (None, "")]
+    docs = spark.createDataFrame([(*x, "en", None, 0) for x in rows], SCHEMA).withColumn("id", F.lit("x")).repartition(4)
+    got = jaccard_join.one_of_each(docs)
+    assert got.columns == docs.columns
+    got = Counter((x.doc_id, x.text or "") for x in got.collect())
+    assert got in [Counter([(5, shared), (None, t), (None, alone), (7, ""), (None, "")]) for t in (own, near)]
+
+
 @pytest.mark.parametrize("seed,family", [(1, 384), (2, 8), (3, 4)])
 def test_jaccard_chains_and_boilerplate(spark, monkeypatch, seed, family):
     """Chains of edits whose ends aren't similar, sets of all sizes, a passage that all share."""
