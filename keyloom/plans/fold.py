@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from collections import deque
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -79,8 +79,6 @@ class Key:
     """State of one key; step() applies a command at a time and returns its reply."""
 
     entry: Entry | None = None
-    #: (type, from seq, until seq or None, deadline) spans in which the key was there, for INFO.
-    lives: list = field(default_factory=list)
 
     def live(self, now: int) -> Entry | None:
         if self.entry is not None and self.entry.expires is not None and now >= self.entry.expires:
@@ -278,10 +276,10 @@ class Key:
         return self._remove(e, [m for m, s in e.value.items() if low <= s <= high] if e else [], now, lambda x: e.value.pop(x))
 
 
-OUT = f"seq bigint, pos bigint, sub bigint, reply {REPLY}, state struct<key:string,type:string,expires_at_us:bigint,created_at_us:bigint,updated_at_us:bigint,member:string,value:string,idx:bigint,score:double>, life struct<key:string,type:string,from_seq:bigint,to_seq:bigint,deadline:bigint>"
+OUT = f"seq bigint, pos bigint, sub bigint, reply {REPLY}, state struct<key:string,type:string,expires_at_us:bigint,created_at_us:bigint,updated_at_us:bigint,member:string,value:string,idx:bigint,score:double>, life struct<type:string,from_ts:bigint,from_seq:bigint,from_pos:bigint,to_ts:bigint,to_seq:bigint,to_pos:bigint,deadline:bigint>"
 _REPLY = pa.struct([("kind", pa.string()), ("int", pa.int64()), ("str", pa.string()), ("arr", pa.list_(pa.string()))])
 _STATE = pa.struct([("key", pa.string()), ("type", pa.string()), ("expires_at_us", pa.int64()), ("created_at_us", pa.int64()), ("updated_at_us", pa.int64()), ("member", pa.string()), ("value", pa.string()), ("idx", pa.int64()), ("score", pa.float64())])
-_LIFE = pa.struct([("key", pa.string()), ("type", pa.string()), ("from_seq", pa.int64()), ("to_seq", pa.int64()), ("deadline", pa.int64())])
+_LIFE = pa.struct([("type", pa.string())] + [(n, pa.int64()) for n in ("from_ts", "from_seq", "from_pos", "to_ts", "to_seq", "to_pos", "deadline")])
 
 
 def state_rows(name: str, e: Entry) -> Iterator[dict]:
@@ -296,8 +294,8 @@ def state_rows(name: str, e: Entry) -> Iterator[dict]:
 
 
 def fold_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, order, seq, pos, sub, ts_us, cmd, rest) sorted by key and order -> rows of OUT."""
-    name, key, open_life, rows, size = None, None, None, [], 0
+    """Rows (key, seq, pos, sub, ts_us, cmd, rest) sorted by key, seq, pos and sub -> rows of OUT."""
+    name, key, open_life, rows = None, None, None, []  # open_life: type, deadline, (ts, seq, pos) of its start
 
     def flush():
         out = pa.record_batch(
@@ -306,15 +304,19 @@ def fold_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows.clear()
         return out
 
-    def close():
+    def end_life(ts=None, seq=None, pos=None):
         if open_life is not None:
-            rows.append((None, None, None, None, None, dict(zip(("key", "type", "from_seq", "to_seq", "deadline"), (name, open_life[0], open_life[1], None, open_life[2]), strict=True))))
+            kind, deadline, start = open_life
+            rows.append((None, None, None, None, None, dict(zip(("from_ts", "from_seq", "from_pos"), start, strict=True)) | {"type": kind, "to_ts": ts, "to_seq": seq, "to_pos": pos, "deadline": deadline}))
+
+    def close():
+        end_life()
         if key is not None and key.entry is not None:
             for s in state_rows(name, key.entry):
                 rows.append((None, None, None, None, s, None))
 
     for b in batches:
-        for k, at, seq, pos, sub, ts, cmd, rest in zip(*(b.column(c).to_pylist() for c in ("key", "order", "seq", "pos", "sub", "ts_us", "cmd", "rest")), strict=True):
+        for k, seq, pos, sub, ts, cmd, rest in zip(*(b.column(c).to_pylist() for c in ("key", "seq", "pos", "sub", "ts_us", "cmd", "rest")), strict=True):
             if key is None or k != name:
                 close()
                 name, key, open_life = k, Key(), None
@@ -322,10 +324,9 @@ def fold_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows.append((seq, pos, sub, {"kind": kind, "int": n, "str": s, "arr": arr}, None, None))
             e = key.entry
             now = None if e is None else (e.type, e.expires)
-            if now != (None if open_life is None else (open_life[0], open_life[2])):
-                if open_life is not None:
-                    rows.append((None, None, None, None, None, {"key": k, "type": open_life[0], "from_seq": open_life[1], "to_seq": at, "deadline": open_life[2]}))
-                open_life = None if e is None else (e.type, at, e.expires)
+            if now != (None if open_life is None else open_life[:2]):
+                end_life(ts, seq, pos)
+                open_life = None if now is None else (*now, (ts, seq, pos))
             if len(rows) > 20_000:
                 yield flush()
     close()
@@ -334,8 +335,8 @@ def fold_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fold(commands: DataFrame) -> DataFrame:
-    """commands: key, order (unique), seq, pos, sub, ts_us, cmd, rest -> OUT rows: replies, final state elements and lifetimes."""
-    return commands.repartition("key").sortWithinPartitions("key", "order", "sub").mapInArrow(fold_sorted, OUT)
+    """commands: key, seq, pos, sub (together unique), ts_us, cmd, rest -> OUT rows: replies, final state elements and lifetimes."""
+    return commands.repartition("key").sortWithinPartitions("key", "seq", "pos", "sub").mapInArrow(fold_sorted, OUT)
 
 
 def relations(folded: DataFrame, now_us) -> dict[str, DataFrame]:

@@ -2,7 +2,7 @@
 
 All connection state is closed form. In a batch: the last of MULTI, EXEC, DISCARD and QUIT before a row is a
 MULTI. Subscribed: the running number of open channels is above zero. A queued command runs at its
-EXEC's place and time, one batch without others in between.
+EXEC's place and time, one batch without others in between. INFO relies on times that never fall along seq.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyloom.operators.keys import info_text
+from keyloom.operators.keys import info_text, totals_before
 from keyloom.plans.fold import ARITY, fold
 
 CONTROL = ("MULTI", "EXEC", "DISCARD", "QUIT", "SUBSCRIBE", "UNSUBSCRIBE")
@@ -93,6 +93,27 @@ def subscription_intervals(rows: DataFrame, resets: DataFrame) -> DataFrame:
     )
 
 
+#: Microseconds of log, and numbers of the log, whose changes are summed before INFO counts them.
+INFO_US, INFO_SEQ = 60_000_000, 1 << 20
+
+
+def key_edges(folded: DataFrame) -> DataFrame:
+    """Changes of the number of keys by type, in order of (ts_us, rank, seq, pos). A deadline passes before the commands of its moment."""
+    at = lambda d, ts, rank, seq, pos: F.struct(F.lit(d).cast("bigint").alias("d"), ts.alias("ts_us"), F.lit(rank).alias("rank"), seq.cast("bigint").alias("seq"), pos.cast("bigint").alias("pos"))
+    life = folded.filter("life is not null").select("life.*")
+    expires = F.col("deadline").isNotNull() & (F.col("to_ts").isNull() | (F.col("to_ts") >= F.col("deadline")))
+    end = F.when(expires, at(-1, F.col("deadline"), 0, F.lit(0), F.lit(0))).when(F.col("to_ts").isNotNull(), at(-1, F.col("to_ts"), 1, F.col("to_seq"), F.col("to_pos")))
+    edges = life.select("type", F.explode(F.array_compact(F.array(at(1, F.col("from_ts"), 1, F.col("from_seq"), F.col("from_pos")), end))).alias("e")).select("type", "e.*")
+    return edges.select("ts_us", "rank", "seq", "pos", F.expr(f"ts_us div {INFO_US}").alias("bucket"), F.col("d").alias("total"), *[F.when(F.col("type") == t, F.col("d")).otherwise(F.lit(0)).cast("bigint").alias(t) for t in ("string", "hash", "list", "set")])
+
+
+def occupancy(edges: DataFrame, by: str, name: str) -> DataFrame:
+    """seq and +1 or -1 where a channel (or a subscriber) gets its first or loses its last subscription; edges: seq, d, sub, channel."""
+    n = F.sum("d").over(Window.partitionBy(by).orderBy("seq"))
+    turns = edges.groupBy(by, "seq").agg(F.sum("d").alias("d")).select("seq", ((n > 0).cast("bigint") - (n - F.col("d") > 0).cast("bigint")).alias(name))
+    return turns.filter(F.col(name) != 0)
+
+
 def _arity_error() -> Column:
     n = F.size("args")
     bad = F.lit(False)
@@ -153,8 +174,7 @@ def run_log(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     many = F.col("cmd").isin("DEL", "EXISTS")
     keyed = keyed.select("seq", "pos", "ts_us", "cmd", "args", F.posexplode(F.when(many, F.col("args")).otherwise(F.slice("args", 1, 1))).alias("sub", "key"))
     rest = F.when(F.col("cmd").isin("DEL", "EXISTS"), F.array().cast("array<string>")).otherwise(F.slice("args", 2, F.greatest(F.size("args") - 1, F.lit(1))))
-    order = F.col("seq") * 1_000_000 + F.col("pos")
-    folded = fold(keyed.select("key", order.alias("order"), "seq", "pos", F.col("sub").cast("bigint").alias("sub"), "ts_us", "cmd", rest.alias("rest")))
+    folded = fold(keyed.select("key", "seq", "pos", F.col("sub").cast("bigint").alias("sub"), "ts_us", "cmd", rest.alias("rest")))
     got = folded.filter("reply is not null")
     # DEL and EXISTS are summed over their keys; every other command has one part
     data = got.groupBy("seq", "pos").agg(F.sum("reply.int").alias("n"), F.first("reply").alias("r")).select(
@@ -163,17 +183,16 @@ def run_log(log: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     spans = subscription_intervals(steps, resets)
     pubs = runs.filter(F.col("plain").isNull() & (F.col("cmd") == "PUBLISH")).select("seq", "pos", F.col("args")[0].alias("channel"))
-    edge = spans.select("channel", F.col("from_seq").alias("seq"), F.lit(1).alias("d")).unionByName(spans.filter("to_seq is not null").select("channel", F.col("to_seq").alias("seq"), F.lit(-1).alias("d")))
+    edge = spans.select("sub", "channel", F.col("from_seq").alias("seq"), F.lit(1).alias("d")).unionByName(spans.filter("to_seq is not null").select("sub", "channel", F.col("to_seq").alias("seq"), F.lit(-1).alias("d")))
     line = pubs.select("channel", "seq", "pos", F.lit(0).alias("d")).unionByName(edge.select("channel", "seq", F.lit(-2).cast("bigint").alias("pos"), "d"))
     n = F.sum("d").over(Window.partitionBy("channel").orderBy("seq", "pos").rowsBetween(Window.unboundedPreceding, 0))
     published = line.withColumn("n", n).filter("pos >= 0").select("seq", "pos", reply("int", n=F.col("n")).alias("reply"))
 
-    infos = runs.filter(F.col("plain").isNull() & (F.col("cmd") == "INFO")).select("seq", "pos", "ts_us", order.alias("at"))
-    life = folded.filter("life is not null").select("life.*")
-    t = infos.join(life, (life.from_seq < infos.at) & (life.to_seq.isNull() | (life.to_seq > infos.at)) & (life.deadline.isNull() | (life.deadline > infos.ts_us)), "left")
-    count = lambda kind: F.count_if(F.col("type") == kind).alias(kind)
-    t = t.groupBy("seq", "pos").agg(F.count("type").alias("total"), *map(count, ("string", "hash", "list", "set")))
-    h = infos.select("seq", "pos").join(spans, (spans.from_seq < infos.seq) & (spans.to_seq.isNull() | (spans.to_seq > infos.seq)), "left").groupBy("seq", "pos").agg(F.count_distinct("channel").alias("channels"), F.count_distinct("sub").alias("subscribers"))
+    infos = runs.filter(F.col("plain").isNull() & (F.col("cmd") == "INFO")).select("seq", "pos", "ts_us", F.lit(1).alias("rank"))
+    t = totals_before(infos.withColumn("bucket", F.expr(f"ts_us div {INFO_US}")), key_edges(folded), ["ts_us", "rank", "seq", "pos"], ["total", "string", "hash", "list", "set"])
+    hub = occupancy(edge, "channel", "channels").unionByName(occupancy(edge, "sub", "subscribers"), allowMissingColumns=True).fillna(0)
+    by_seq = F.expr(f"seq div {INFO_SEQ}")
+    h = totals_before(infos.select("seq", "pos", by_seq.alias("bucket")), hub.withColumn("bucket", by_seq), ["seq"], ["channels", "subscribers"])
     told = t.join(h, ["seq", "pos"]).select("seq", "pos", reply("bulk", s=info_text(*(F.col(c) for c in ("total", "string", "hash", "list", "set", "channels", "subscribers")))).alias("reply"))
 
     out = direct

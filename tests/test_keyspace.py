@@ -1,4 +1,5 @@
 import random
+import re
 
 import duckdb
 import pytest
@@ -130,6 +131,33 @@ def test_engine_equals_simulation(spark, seed):
     assert {r.seq: tuple(r.reply) for r in out.collect()} == simulate(log)
 
 
+def test_info_equals_simulation(spark):
+    """Counts over buckets of time and of seq, deadlines that pass on and between commands, and seqs near the end of their type."""
+    r, base = random.Random(6), 2**62
+    log, want, keys, subs = [], {}, {}, {}
+    for i, (_, ts, cmd, args) in enumerate(random_log(6)):
+        seq, conn = base + i * 10_000, "c"
+        pick = r.random()
+        if pick < 0.05:
+            live = [e.type for k in keys.values() if (e := k.live(ts)) is not None]
+            held = [c for c in subs.values() if c]
+            want[seq] = tuple(map(str, (len(live), *(live.count(t) for t in ("string", "hash", "list", "set")), len(set().union(*held)), len(held))))
+            cmd, args = "INFO", []
+        elif pick < 0.15:
+            conn, cmd, args = f"s{r.randrange(4)}", r.choice(["SUBSCRIBE", "SUBSCRIBE", "UNSUBSCRIBE"]), [f"ch{r.randrange(4)}" for _ in range(r.randrange(1, 3))]
+            if r.random() < 0.1:
+                cmd, args = "UNSUBSCRIBE", []
+            now = subs.setdefault(conn, set())
+            now.update(args) if cmd == "SUBSCRIBE" else now.difference_update(args or set(now))
+        elif not arity_error(cmd, len(args)):
+            for k in args if cmd in ("DEL", "EXISTS") else args[:1]:
+                keys.setdefault(k, Key()).step(cmd, k, [] if cmd in ("DEL", "EXISTS") else args[1:], ts)
+        log.append((seq, ts, conn, cmd, args))
+    out, _ = run_log(spark.createDataFrame(log, LOG))
+    got = {x.seq: tuple(re.findall(r":(\d+)", x.reply.str)) for x in out.filter("reply.str like '# Server%'").collect()}
+    assert len(want) > 40 and got == want
+
+
 def test_stream_equals_fold(spark, tmp_path):
     from keyloom.model import SESSION
     from keyloom.streaming.keyspace import stream_replies
