@@ -4,7 +4,7 @@ Each word (a run of bytes without ASCII whitespace, lower-cased, with a leading
 bytes) is a sequence; a forward and a backward GRU read its bytes and a softmax over both hidden
 states labels every position. A word's evidence is the mean of its positions' log probabilities, a
 document's the tempered product over all its words. The whole text is labelled; words that
-recur in an Arrow batch are run through the network once and counted as often as they occur.
+recur in a task are run through the network once, as long as KNOWN words suffice, and counted as often as they occur.
 
 The network is trained in numpy on the driver, by backpropagation through time with Adam, on a bounded
 sample: at most SAMPLE_DOCS documents per language and SAMPLE_PIECES pieces of
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from itertools import count
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +40,8 @@ STEPS = 500
 BATCH = 512
 #: Words that the network reads at once.
 BLOCK = 8192
+#: Words whose evidence a task keeps.
+KNOWN = 1 << 18
 TEMPER = 0.5
 UND = "und"
 _LETTER = re.compile(rb"[A-Za-z]")
@@ -184,21 +186,37 @@ class ByteGru:
                 self.w[k] -= (lr * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
         return self
 
+
+class Reader:
+    """Labels texts for one task. Evidence of words is kept for the texts to come; beyond KNOWN words it starts afresh."""
+
+    def __init__(self, net: ByteGru):
+        self.net = net
+        self.forget()
+
+    def forget(self) -> None:
+        self.ids: dict[bytes, int] = defaultdict(count().__next__)
+        self.evidence = np.empty((0, len(self.net.labels)), np.float32)
+
     def documents(self, texts: list[bytes | None]) -> tuple[list[str], list[float]]:
         """Label and probability of each text."""
-        ids: dict[bytes, int] = defaultdict(count().__next__)
-        rows = [np.fromiter(map(ids.__getitem__, segments(t)), np.int64) if t and _has_letter(t) else None for t in texts]
-        evidence = self.word_evidence(list(ids)).astype(np.float64) if ids else None
+        net = self.net
+        if len(self.ids) > KNOWN:
+            self.forget()
+        rows = [np.fromiter(map(self.ids.__getitem__, segments(t)), np.int64) if t and _has_letter(t) else None for t in texts]
+        new = list(islice(self.ids, len(self.evidence), None))
+        if new:
+            self.evidence = np.concatenate([self.evidence, net.word_evidence(new)])
         labels, scores = [], []
         for r in rows:
-            if r is None or not len(self.labels):
+            if r is None or not len(net.labels):
                 labels.append(UND)
                 scores.append(0.0)
                 continue
-            e = evidence[r].sum(0) * TEMPER
+            e = self.evidence[r].sum(0, dtype=np.float64) * TEMPER
             p = np.exp(e - e.max())
             best = int(np.argmax(p))
-            labels.append(self.labels[best])
+            labels.append(net.labels[best])
             scores.append(float(p[best] / p.sum()))
         return labels, scores
 
@@ -230,8 +248,9 @@ def identify(docs: DataFrame, net: ByteGru | None = None) -> DataFrame:
     df = small_batches(docs).select(*own, F.col("text").cast("binary").alias("__bytes"))
 
     def run(batches):
+        reader = Reader(net)
         for b in batches:
-            labels, scores = net.documents(b.column(b.num_columns - 1).to_pylist())
+            labels, scores = reader.documents(b.column(b.num_columns - 1).to_pylist())
             yield pa.record_batch([*b.columns[:-1], pa.array(labels, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names[:-1], "lang_pred", "score"])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[:-1])
@@ -244,8 +263,9 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     slim = small_batches(docs).select("doc_id", F.col("text").cast("binary").alias("text"))
 
     def run(batches):
+        reader = Reader(net)
         for b in batches:
-            labels, scores = net.documents(b.column(1).to_pylist())
+            labels, scores = reader.documents(b.column(1).to_pylist())
             yield pa.record_batch([b.column(0), pa.array(labels, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     out = slim.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")

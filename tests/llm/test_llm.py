@@ -172,6 +172,19 @@ def test_language_id_learns_and_rejects(spark):
     assert {x.lang_pred for x in language_id.identify(one).collect()} == {"aa"}
 
 
+def test_language_evidence_is_kept_and_forgotten(monkeypatch):
+    """Texts get the same result one by one, all at once, and when the kept words overflow."""
+    net = language_id.ByteGru.fresh(["x", "y", "z"])
+    r = random.Random(2)
+    texts = [None, b"", b"12 !", *(prose(r, r.randrange(1, 60)).encode() for _ in range(40))]
+    labels, scores = language_id.Reader(net).documents(texts)
+    for known in (1 << 18, 25):
+        monkeypatch.setattr(language_id, "KNOWN", known)
+        reader = language_id.Reader(net)
+        got = [reader.documents([t]) for t in texts]
+        assert [x for (x,), _ in got] == labels and np.allclose([x for _, (x,) in got], scores, atol=1e-5)
+
+
 def test_mixing_is_near_targets(spark, folder, rows):
     got = mixing.mix(spark.read.parquet(f"{folder}/documents.parquet")).collect()
     sizes = Counter()
