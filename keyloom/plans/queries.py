@@ -72,7 +72,8 @@ SELECT key, CAST(seq AS VARCHAR) AS value, CASE WHEN ttl >= 0 THEN until END AS
 def string_snapshot(spark, sf):
     """SET, SETEX and DEL as the state they leave."""
     now = events(spark, sf).agg(F.max("ts_us").alias("now"))
-    return strings.snapshot_strings(_string_log(spark, sf).crossJoin(F.broadcast(now)), F.lit(0)).join(F.broadcast(now)).filter("expires_at_us is null or now < expires_at_us").select("key", "value", "expires_at_us")
+    # now is one row: an aggregate without keys
+    return strings.snapshot_strings(_string_log(spark, sf), F.lit(0)).join(F.broadcast(now)).filter("expires_at_us is null or now < expires_at_us").select("key", "value", "expires_at_us")
 
 
 @query(f"WITH {E} SELECT key, seq, row_number() OVER (PARTITION BY key ORDER BY seq) AS reply FROM e")
