@@ -134,6 +134,56 @@ def info(spark, sf):
     return keys.info(_some_keys(spark, sf), F.lit(NOW))
 
 
+def _all_keys(spark, sf):
+    """A key of every event; each third has a deadline, half a day after it."""
+    e = events(spark, sf)
+    kind = F.element_at(F.array(*map(F.lit, keys.TYPES)), (F.col("seq") % 5 + 1).cast("int"))
+    return e.select(F.col("seq").cast("string").alias("key"), kind.alias("type"), F.when(F.col("seq") % 3 == 0, F.col("ts_us") + 12 * HOUR).alias("expires_at_us"), F.lit(0).cast("bigint").alias("updated_at_us"))
+
+
+def _mid(spark, sf):
+    """The middle of the events' time: deadlines lie before and after it."""
+    return events(spark, sf).agg(F.expr("(min(ts_us) + max(ts_us)) div 2")).scalar()
+
+
+KA = f"""n AS (SELECT (min(epoch_us(ts)) + max(epoch_us(ts))) // 2 AS now FROM events),
+k AS (SELECT CAST(event_id AS VARCHAR) AS key, ['string', 'hash', 'list', 'set', 'zset'][event_id % 5 + 1] AS type, CASE WHEN event_id % 3 = 0 THEN epoch_us(ts) + {12 * HOUR} END AS x FROM events),
+a AS (SELECT k.*, now FROM k, n WHERE x IS NULL OR now < x)"""
+
+
+@query(f"""WITH {KA}, q AS (SELECT o_custkey AS req, CAST(unnest([o_orderkey, o_custkey, 7]) AS VARCHAR) AS key FROM orders)
+SELECT req, count(a.key) AS exists_reply, count(DISTINCT a.key) AS del_reply FROM q LEFT JOIN a USING (key) GROUP BY req""")
+def exists_and_del_all(spark, sf):
+    """exists_and_del over a key of every event."""
+    o = table(spark, sf, "orders")
+    asked = o.select(F.col("o_custkey").alias("req"), F.explode(F.array(*[x.cast("string") for x in (F.col("o_orderkey"), F.col("o_custkey"), F.lit(7))])).alias("key"))
+    return keys.exists_counts(asked, _all_keys(spark, sf), _mid(spark, sf))
+
+
+@query(f"""WITH {KA}, q AS (SELECT CAST(c_custkey AS VARCHAR) AS key FROM customer UNION SELECT CAST(o_orderkey AS VARCHAR) FROM orders)
+SELECT q.key, coalesce(type, 'none') AS type, CASE WHEN a.key IS NULL THEN -2 WHEN x IS NULL THEN -1 ELSE (x - a.now) // 1000000 END AS ttl FROM q LEFT JOIN a USING (key)""")
+def type_and_ttl_all(spark, sf):
+    """type_and_ttl over a key of every event, asked for every customer's and order's id."""
+    ids = [table(spark, sf, t).select(F.col(c).cast("string").alias("key")) for t, c in (("customer", "c_custkey"), ("orders", "o_orderkey"))]
+    return keys.type_and_ttl(ids[0].unionByName(ids[1]).distinct(), _all_keys(spark, sf), _mid(spark, sf))
+
+
+@query(f"""WITH {KA} SELECT k.key, CASE WHEN (x IS NULL OR now < x) AND CAST(k.key AS BIGINT) % 2 = 0 THEN now + 60000000 ELSE x END AS expires_at_us,
+CAST((x IS NULL OR now < x) AND CAST(k.key AS BIGINT) % 2 = 0 AS BIGINT) AS reply FROM k, n""")
+def expire_all(spark, sf):
+    """expire over a key of every event."""
+    k = _all_keys(spark, sf)
+    asked = k.filter(F.col("key").cast("bigint") % 2 == 0).select("key", F.lit(60).cast("bigint").alias("seconds"))
+    return keys.expire(k, asked, _mid(spark, sf)).select("key", "expires_at_us", "reply")
+
+
+@query(f"""WITH {KA} SELECT count(*) AS total_keys, count(*) FILTER (type = 'string') AS string_keys, count(*) FILTER (type = 'hash') AS hash_keys, count(*) FILTER (type = 'list') AS list_keys,
+count(*) FILTER (type = 'set') AS set_keys, count(*) FILTER (type = 'zset') AS zset_keys FROM a""")
+def info_all(spark, sf):
+    """info over a key of every event."""
+    return keys.info(_all_keys(spark, sf), _mid(spark, sf))
+
+
 @query("SELECT chr(35) || ' Server' || chr(13) || chr(10) || chr(35) || ' Keyspace' || chr(13) || chr(10) || 'total_keys:6' || chr(13) || chr(10) || 'string_keys:1' || chr(13) || chr(10) || 'hash_keys:2' || chr(13) || chr(10) || 'list_keys:0' || chr(13) || chr(10) || 'set_keys:3' || chr(13) || chr(10) || chr(13) || chr(10) || chr(35) || ' PubSub' || chr(13) || chr(10) || 'channels:4' || chr(13) || chr(10) || 'subscribers:5' || chr(13) || chr(10) AS reply")
 def info_text(spark, sf):
     return spark.range(1).select(keys.info_text(*map(F.lit, (6, 1, 2, 0, 3, 4, 5))).alias("reply"))

@@ -51,6 +51,20 @@ def test_query_equals_sql(spark, con, name):
     assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())
 
 
+def test_whole_keyspace(spark):
+    """The _all queries read every event, customer and order, and meet live, expired and missing keys."""
+    n = {t: spark.read.parquet(f"{SF}/{t}.parquet").count() for t in ("events", "customer", "orders")}
+    assert QUERIES["expire_all"](spark, SF).count() == n["events"]
+    ttl = [r.ttl for r in QUERIES["type_and_ttl_all"](spark, SF).collect()]
+    # order ids are dense from 1 and more than the customers'
+    assert len(ttl) == n["orders"] > n["customer"] and {-1, -2} < set(ttl) and max(ttl) > 0
+    info = QUERIES["info_all"](spark, SF).first()
+    # two of three keys have no deadline
+    assert n["events"] * 2 // 3 < info.total_keys < n["events"] and sum(info[1:]) == info.total_keys
+    got = QUERIES["exists_and_del_all"](spark, SF).agg(F.sum("exists_reply").alias("e"), F.sum("del_reply").alias("d")).first()
+    assert 3 * n["orders"] > got.e > got.d > 30
+
+
 def test_strings_and_types(spark):
     log = [
         ("SET", "name", "ember"), ("SET", "name", "cache", "EX", "1"), ("TTL", "name"), ("GET", "name"), ("SADD", "letters", "x"), ("GET", "letters"), ("SET", "", "v"), ("GET", ""), ("DEL", ""),
