@@ -1,7 +1,7 @@
 """Secret scans by assignment-aware lexing (operator 10).
 
 Source and configuration syntax is lexed into (name, literal) pairs: ``name = "x"``, ``name: x``, ``name := x``,
-``"name" => 'x'``, ``--name=x``, ``<name>x</name>``. Names are split into lower-case parts; a literal's score is the highest weight of a
+``"name" => 'x'``, ``--name=x``, ``name: type = "x"``, ``<name>x</name>``. Names are split into lower-case parts; a literal's score is the highest weight of a
 sensitive part or pair of parts in the names it reaches. A name that holds a literal can be assigned on
 (``db = "x"; password = db``): such constants are propagated to a fixed point within the document,
 and the literal is scored by every name it reaches. Literals that score at least MIN_SCORE and look like values are spans of kind
@@ -36,11 +36,17 @@ SENSITIVE = {
 }
 MIN_SCORE = 0.7
 MIN_LITERAL = 8
+#: A run of name characters is matched whole and at its start only, so long names cost no more than short ones.
 _PAIR = re.compile(
-    r"""(?:(?P<q>["'])(?P<qname>[A-Za-z_][\w.\-]{0,80})(?P=q)|(?<![\w.])(?P<name>[A-Za-z_][\w.\-]{0,80}))[ \t]*(?:=>|:=|[:=](?!=))[ \t]*(?:"(?P<d>[^"\n]*)"|'(?P<s>[^'\n]*)'|(?P<bare>[^\s"'`,;(){}\[\]<>]+))"""
-    r"""|<(?P<tag>[A-Za-z_][\w.\-]{0,80})>(?P<body>[^<\n]*)</(?P=tag)>""",
+    r"""(?:(?P<q>["'])(?P<qname>[A-Za-z_][\w.\-]*+)(?P=q)|(?<![\w.\-])(?>[\w.\-]*?(?<![\w.])(?P<name>[A-Za-z_][\w.\-]*+)))[ \t]*"""
+    r"""(?::[ \t]*(?P<type>[&*]*[A-Za-z_][\w.]*+(?:\[[^\n=\[\]]*+(?:\[[^\n=\[\]]*+\][^\n=\[\]]*+)*+\])?\??(?:[ \t]*\|[ \t]*[A-Za-z_][\w.]*+)*+)[ \t]*=(?![=>])|=>|:=|[:=](?!=))[ \t]*"""
+    r"""(?:"(?P<d>[^"\n]*)"|'(?P<s>[^'\n]*)'|(?P<bare>[^\s"'`,;(){}\[\]<>]+))"""
+    r"""|<(?P<tag>[A-Za-z_][\w.\-]*+)>(?P<body>[^<\n]*)</(?P=tag)>""",
     re.ASCII,
 )
+_BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>]+""", re.ASCII)
+#: A name that is assigned to.
+_NEXT = re.compile(r"([A-Za-z_][\w.\-]*+)[ \t]*(?:=>|:=|[:=](?!=))", re.ASCII)
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _IDENT = re.compile(r"[A-Za-z_][\w.\-]*\Z", re.ASCII)
 
@@ -50,13 +56,37 @@ def name_score(name: str) -> float:
     return max((SENSITIVE.get(x, 0.0) for x in [*parts, *(a + b for a, b in zip(parts, parts[1:], strict=False))]), default=0.0)
 
 
-def lex(text: str) -> list[tuple[str, str, int, int, bool]]:
-    """(name, literal, start, end, bare) of every assignment, in order."""
+def lex(text: str) -> list[tuple[str, int, int, str, bool]]:
+    """(name, start, end, kind, inner) of every assignment.
+
+    The literal is text[start:end]. Its kind is "lit", "bare", or "type" or "next" for a bare word that is itself assigned to, as in
+    ``name: type = "x"`` and ``a = b = "x"``. Such a word is a value, a type or a name, so it is read as a name too, then with inner set.
+    """
     out = []
-    for m in _PAIR.finditer(text):
+    pos, inner_at = 0, -1
+    while m := _PAIR.search(text, pos):
+        pos = m.end()
         name = m["name"] or m["qname"] or m["tag"]
+        inner = m.start("name") == inner_at
         group = next(g for g in ("d", "s", "bare", "body") if m[g] is not None)
-        out.append((name, m[group], m.start(group), m.end(group), group == "bare"))
+        start, end = m.span(group)
+        if m["type"] is not None:
+            inner_at = pos = m.start("type")
+            if b := _BARE.match(text, pos):
+                out.append((name, *b.span(), "type", inner))
+            out.append((name, start, end, "bare" if group == "bare" else "lit", inner))
+            continue
+        out.append((name, start, end, "bare" if group == "bare" else "lit", inner))
+        while group == "bare" and (n := _NEXT.match(text, start)):
+            out[-1] = (*out[-1][:3], "next", inner)
+            if n.end() >= end:
+                # the word's own literal stands behind it
+                if n.end(1) < end:
+                    out.append((name, *n.span(1), "next", inner))
+                inner_at = pos = start
+                break
+            start, name, inner = n.end(), n[1], True
+            out.append((name, start, end, "bare", inner))
     return out
 
 
@@ -67,10 +97,14 @@ def sensitive_literals(text: str) -> list[tuple[int, int, float]]:
     scores = [0.0] * len(pairs)
     uses: list[tuple[str, str]] = []
     named = {name for name, *_ in pairs}
-    for i, (name, literal, _, _, bare) in enumerate(pairs):
-        if bare and literal in named and literal != name and _IDENT.match(literal):
+    outer = {name for name, *_, inner in pairs if not inner}
+    longest = max(map(len, named), default=0)
+    for i, (name, start, end, kind, _) in enumerate(pairs):
+        literal = text[start:end] if kind != "lit" and end - start <= longest else None
+        known = literal != name and literal in (outer if kind == "type" else named) and bool(_IDENT.match(literal))
+        if known:
             uses.append((name, literal))
-        else:
+        if not known or kind == "next" and literal not in outer:
             held.setdefault(name, set()).add(i)
     # names whose value flows into a name; they are followed from the most sensitive name on, each once
     flows: dict[str, set[str]] = {}
@@ -90,7 +124,11 @@ def sensitive_literals(text: str) -> list[tuple[int, int, float]]:
     for name, score in best.items():
         for i in held.get(name, ()):
             scores[i] = max(scores[i], score)
-    return [(start, end, s) for (_, literal, start, end, _), s in zip(pairs, scores, strict=True) if s >= MIN_SCORE and len(literal) >= MIN_LITERAL and _looks_like_value(literal)]
+    out: dict[tuple[int, int], float] = {}
+    for (_, start, end, *_), score in zip(pairs, scores, strict=True):
+        if score >= MIN_SCORE and end - start >= MIN_LITERAL and _looks_like_value(text[start:end]):
+            out[start, end] = max(score, out.get((start, end), 0.0))
+    return [(*span, score) for span, score in out.items()]
 
 
 def _looks_like_value(literal: str) -> bool:

@@ -3,6 +3,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -369,6 +370,28 @@ def test_secret_lexing():
     assert [t[a:b] for k, a, b in secret_scan.find_secrets(t) if k == "lexed"] == ["zz99zz99ZZ"]
 
 
+@pytest.mark.parametrize(
+    "text",
+    ['password: str = "{}"', 'const apiSecret: string = "{}"', 'note: db_pwd = "{}"', 'note:db_pwd="{}"', "x = db_pwd = '{}'", "password: Optional[dict[str, str]] = '{}'", "let pwd: &str = '{}'",
+     "P" * 82 + "_PWD = '{}'", "'" + "q" * 90 + "_pwd': '{}'", "at 12:30 pwd={}", "10:pwd={}", "a=db_pwd={}"],
+)
+def test_secret_lexing_of_types_and_long_names(text):
+    t = text.format("Zx81-kQ-997")
+    assert "Zx81-kQ-997" in [t[a:b] for k, a, b in secret_scan.find_secrets(t) if k == "lexed"]
+
+
+def test_secret_lexing_keeps_types_apart():
+    t = 'password: str = "Zx81-kQ-997"\ntitle: str = "Harmless-9"\npassword: Zx81=kQ-997\n'
+    assert [t[a:b] for k, a, b in secret_scan.find_secrets(t) if k == "lexed"] == ["Zx81-kQ-997", "Zx81=kQ-997"]
+
+
+@pytest.mark.parametrize("text", ["a-" * 200_000, "a:" * 200_000, "a: b[" * 80_000, "a: b = " * 60_000, "<a>" * 100_000, "1:" * 200_000])
+def test_secret_lexing_is_linear(text):
+    t = time.process_time()
+    secret_scan.find_secrets(text)
+    assert time.process_time() - t < 10
+
+
 def test_secret_lexing_of_a_long_chain():
     """Many sensitive names and uses take one walk over the uses."""
     n = 20_000
