@@ -7,7 +7,7 @@ document's the tempered product over all its words. The whole text is labelled;
 recur in a task are run through the network once, as long as KNOWN words suffice, and counted as often as they occur.
 
 The network is trained in numpy on the driver, by backpropagation through time with Adam, on a bounded
-sample: at most SAMPLE_DOCS documents per language and SAMPLE_PIECES pieces of
+sample: at most SAMPLE_DOCS different texts per language and SAMPLE_PIECES pieces of
 PIECE_CHARS characters from each, chosen by hash among documents outside the held-out fold.
 
 Defined results: null text or text without a letter gives ``und`` with score 0; with nothing to learn from,
@@ -48,15 +48,18 @@ _LETTER = re.compile(rb"[A-Za-z]")
 
 
 def sample(docs: DataFrame) -> DataFrame:
-    """(lang, pieces) of a bounded sample of the training fold; the top-k by hash is taken per task before the shuffle."""
+    """(lang, pieces) of a bounded sample of the training fold; the top-k by hash is taken per task before the shuffle of a language."""
     train = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold_of(F.col("doc_id"), FOLDS) != HELD_OUT))
     h = F.xxhash64("text")
     n = F.length("text")
     piece = [
         F.substring(F.col("text"), (F.pmod(F.xxhash64("text", F.lit(j)), F.greatest(n - PIECE_CHARS, F.lit(1))) + 1).cast("int"), F.lit(PIECE_CHARS)) for j in range(SAMPLE_PIECES)
     ]
-    chosen = train.select("lang", h.alias("h"), F.array(*piece).alias("pieces"))
-    return chosen.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= SAMPLE_DOCS).select("lang", "h", "pieces").orderBy("h", "lang").limit(SAMPLE_TOTAL)
+    # copies of a text count once; the texts are read again for the chosen ones only
+    ranked = train.select("lang", h.alias("h")).distinct().withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    chosen = ranked.filter(F.col("r") <= SAMPLE_DOCS).select("lang", "h").orderBy("h", "lang").limit(SAMPLE_TOTAL)
+    found = train.withColumn("h", h).join(F.broadcast(chosen), ["lang", "h"]).select("lang", "h", F.array(*piece).alias("pieces"))
+    return found.dropDuplicates(["lang", "h"]).orderBy("h", "lang")
 
 
 def segments(text: bytes) -> list[bytes]:

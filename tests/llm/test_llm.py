@@ -173,6 +173,13 @@ def test_language_id_learns_and_rejects(spark):
     assert {x.lang_pred for x in language_id.identify(one).collect()} == {"aa"}
 
 
+def test_language_sample_takes_a_text_once(spark):
+    n = language_id.SAMPLE_DOCS + 50
+    docs = spark.range(20 * n).selectExpr("id as doc_id", "concat('text ', id % 20) as text", "if(id % 2 = 0, 'a', 'b') as lang")
+    got = language_id.sample(docs).collect()
+    assert len(got) == 20 == len({(r.lang, r.h) for r in got}) and {r.pieces[0] for r in got} == {f"text {i}" for i in range(20)}
+
+
 def test_language_evidence_is_kept_and_forgotten(monkeypatch):
     """Texts get the same result one by one, all at once, and when the kept words overflow."""
     net = language_id.ByteGru.fresh(["x", "y", "z"])
