@@ -65,6 +65,15 @@ def test_whole_keyspace(spark):
     assert 3 * n["orders"] > got.e > got.d > 30
 
 
+def test_batches_of_large_order_keys(spark, tmp_path):
+    keys = [(1, 5), (1, 9_999_998), (1, 9_999_999), (2, 10_000_000), (2, 7), (3, 25_000_000), (7, 30_000_001), (11, 9_999_998)]
+    spark.createDataFrame(keys, "o_custkey bigint, o_orderkey bigint").write.parquet(str(tmp_path / "orders.parquet"))
+    own = duckdb.connect()
+    own.sql(f"create view orders as select * from '{tmp_path}/orders.parquet/*.parquet'")
+    got = QUERIES["multi_exec_discard"](spark, str(tmp_path)).select("seq", "pos", "reply").collect()
+    assert sorted(map(tuple, got)) == sorted(own.sql(f"select seq, pos, reply from ({ORACLES['multi_exec_discard']})").fetchall())
+
+
 def test_strings_and_types(spark):
     log = [
         ("SET", "name", "ember"), ("SET", "name", "cache", "EX", "1"), ("TTL", "name"), ("GET", "name"), ("SADD", "letters", "x"), ("GET", "letters"), ("SET", "", "v"), ("GET", ""), ("DEL", ""),
