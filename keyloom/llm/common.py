@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +18,10 @@ WS_RUN = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Stands for a null doc_id in internal keys; it sorts below every real id.
 NO_ID = -(2**63)
-BATCH_ROWS = 2000
+#: Rows and bytes of texts that a Python operator unpacks at once.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+#: Words of 64 bits in a filter of keys (at most so many rows are broadcast).
+FILTER_WORDS = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,23 +44,60 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """df, after lowering the session's Arrow batches to BATCH_ROWS rows: texts are long, and each core holds several copies of a batch."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
-        conf.set(name, str(BATCH_ROWS))
-    return df
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of at most BATCH_ROWS rows and, but for single rows, about BATCH_BYTES bytes.
+
+    Spark bounds the bytes of a batch (64 MB unless set otherwise) and a slice is no copy, so this bounds what is unpacked into Python
+    objects without a change of the caller's session.
+    """
+    for b in batches:
+        at = 0
+        while at < b.num_rows:
+            n = min(BATCH_ROWS, b.num_rows - at)
+            while n > 1 and (size := b.slice(at, n).nbytes) > BATCH_BYTES:
+                n = max(1, min(n - 1, n * BATCH_BYTES // size))
+            yield b.slice(at, n)
+            at += n
+
+
+@cache
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="keyloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share. Only a local session without it, as in tests, gets one of its own."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return _own_folder()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise a narrow frame in the shared folder of spark.checkpoint.dir (lost executors don't matter).
+    """Materialise a narrow frame in the shared folder (lost executors don't matter)."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
+
 
-    Only where the session names no folder, as in tests, a temporary one is set.
+def part_by_keys(df: DataFrame, hash_of_row: Column, keys: DataFrame, hash_of_key: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be among keys, rows whose key surely isn't), told apart without a shuffle of df.
+
+    A bit per hash: the table of bits has at most FILTER_WORDS rows whatever the number of keys, so it is broadcast. More keys than
+    bits make more rows doubtful, which is no error: the doubtful ones are to be joined. Equal keys need equal hashes.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="keyloom-"))
-    return df.checkpoint(eager=True)
+    h = lambda c: F.pmod(c, F.lit(FILTER_WORDS * 64))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("__filter_b"))
+    bits = keys.select(h(hash_of_key).alias("__filter_k")).select(F.shiftright("__filter_k", 6).alias("__filter_w"), F.col("__filter_k").bitwiseAND(F.lit(63)).cast("int").alias("__filter_b"))
+    bits = bits.groupBy("__filter_w").agg(F.bit_or(bit).alias("__filter_x"))
+    own = df.columns
+    seen = df.withColumn("__filter_k", h(hash_of_row)).withColumn("__filter_w", F.shiftright("__filter_k", 6)).join(F.broadcast(bits), "__filter_w", "left")
+    hit = F.coalesce(F.call_function("shiftrightunsigned", F.col("__filter_x"), F.col("__filter_k").bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1, F.lit(False))
+    return seen.filter(hit).select(*own), seen.filter(~hit).select(*own)
 
 
 def ship(spark: SparkSession, value: bytes, most: int):

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import ship, small_batches, table
+from keyloom.llm.common import pieces, ship, table
 
 N = 5
 SHARE = 80
@@ -140,13 +140,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_shared, n_question, n_answer of every document that holds a test item."""
     spark = docs.sparkSession
     out = spark.createDataFrame([], "doc_id long, item_id long, n_shared long, n_question long, n_answer long")
-    slim = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).filter("text is not null")
+    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).filter("text is not null")
     for index in build_indexes(benchmark):
         held = ship(spark, pickle.dumps(index), MAX_BYTES)
 
         def run(batches, held=held):
             index = pickle.loads(held.value)
-            for b in batches:
+            for b in pieces(batches):
                 rows = [(d, index.items[i].id, *m) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for i, m in index.matches(t).items()]
                 if rows:
                     yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], ["doc_id", "item_id", "n_shared", "n_question", "n_answer"])
@@ -158,13 +158,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows whose text holds a test item; row by row, nothing is shuffled."""
-    out = small_batches(docs)
+    out = docs
     for index in build_indexes(benchmark):
         held = ship(docs.sparkSession, pickle.dumps(index), MAX_BYTES)
 
         def run(batches, held=held):
             index = pickle.loads(held.value)
-            for b in batches:
+            for b in pieces(batches):
                 keep = pa.array([t is None or not index.matches(t) for t in b.column(b.num_columns - 1).to_pylist()], pa.bool_())
                 yield pa.RecordBatch.from_arrays(b.columns[:-1], names=b.schema.names[:-1]).filter(keep)
 

@@ -1,20 +1,24 @@
 """LM scoring by a hidden Markov language model (operator 1).
 
 Words are emitted in two steps: a latent state emits one of a bounded number of word classes, and the class
-emits the word in proportion to its smoothed count. The HEAD most frequent words are classes of their
-own, every other word's class is a hash of its last bytes, and the end token has a class.
-
-1. Words are counted over all documents: one Counter per task, flushed when full, then summed by
-   shuffle on the word. The table of counts grows with the corpus and stays distributed; only the
-   KNOWN most frequent words, a bounded table, are broadcast.
-2. One pass encodes every document as class numbers and looks up the known words; the other words
+emits the word in proportion to its smoothed training count. The HEAD words most frequent in training are
+classes of their own, every other word's class is a hash of its last bytes, and the end token has a class.
+Nothing that decides a score comes from held-out texts.
+
+1. Words are counted over all documents: two Counters per task, flushed when full, then summed by
+   shuffle on the word. The table of counts grows with the corpus and stays distributed; only two
+   bounded tables are broadcast: words frequent in training, which may be classes, and words frequent
+   anywhere, which so can't skew the join of step 2.
+2. One pass encodes every document as class numbers and looks up the broadcast words; the other words
    leave it as (document, word, occurrences) rows and meet their counts in a shuffle join.
 3. Baum-Welch: every task runs scaled forward-backward over the encoded training documents and returns
-   one row of expected counts; these are summed, and the next round starts from them.
+   one row of expected counts; these are summed, and the next round starts from them, until a round
+   raises the log likelihood of a token by less than TOLERANCE.
 4. The scaled forward recursion gives each document's exact likelihood under the trained model.
 
-Training sequences are cut after SEGMENT tokens to bound memory; scoring isn't cut. Hot words can't skew the
-join: a word frequent anywhere is in the broadcast table.
+A sequence longer than SEGMENT is read in segments at once, each from every state; the products of these
+give the exact distribution before each segment and the exact weight of what follows it, so memory is bounded
+and nothing is cut.
 
 Defined results: null or empty text is the end token alone; a null doc_id belongs to the fold of the
 empty text; rows that repeat are scored each; without training tokens the counts are zero and states
@@ -24,7 +28,7 @@ stay at their start; other columns are ignored.
 from __future__ import annotations
 
 import pickle
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import cut, fold_of, ship, small_batches, table
+from keyloom.llm.common import cut, fold_of, pieces, ship, table
 
 FOLDS, HELD_OUT = 5, 1
 STATES = 6
@@ -43,7 +47,9 @@ END = HEAD + SHAPES
 CLASSES = END + 1
 #: Frequent words that are looked up without a shuffle, and a bound for their bytes.
 KNOWN, MAX_BYTES = 100_000, 64 << 20
-ROUNDS = 3
+#: Baum-Welch ends when a round gains less than this (log10 of the probability of a token), or after so many rounds.
+TOLERANCE, ROUNDS = 0.01, 30
+#: Tokens of a sequence that are read as one segment.
 SEGMENT = 1024
 #: Words counted per task before it passes them on; tokens per forward-backward block.
 FLUSH, BLOCK = 400_000, 250_000
@@ -55,30 +61,30 @@ def count_words(docs: DataFrame) -> DataFrame:
     """word, n (occurrences in all documents), c (in training documents). The end token is a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, train = Counter(), Counter()
+        train, held = Counter(), Counter()
 
         def rows():
-            words = list(seen)
-            return pa.record_batch([pa.array(words, pa.binary()), pa.array(list(seen.values()), pa.int64()), pa.array([train[w] for w in words], pa.int64())], ["word", "n", "c"])
+            words = [*train, *(w for w in held if w not in train)]
+            c = np.fromiter(map(train.__getitem__, words), np.int64, len(words))
+            n = c + np.fromiter(map(held.__getitem__, words), np.int64, len(words))
+            return pa.record_batch([pa.array(words, pa.binary()), pa.array(n), pa.array(c)], ["word", "n", "c"])
 
-        for b in batches:
-            for held, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for b in pieces(batches):
+            for out, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 words = (text or b"").lower().split()
                 words.append(END_WORD)
-                seen.update(words)
-                if not held:
-                    train.update(words)
-                if len(seen) > FLUSH:
+                (held if out else train).update(words)
+                if len(train) + len(held) > FLUSH:
                     yield rows()
-                    seen, train = Counter(), Counter()
-        if seen:
+                    train, held = Counter(), Counter()
+        if train or held:
             yield rows()
 
     return _slim(docs).select("held_out", "text").mapInArrow(run, "word binary, n long, c long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
 
 
 def _slim(docs: DataFrame) -> DataFrame:
-    return small_batches(docs).select("doc_id", (fold_of(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), F.col("text").cast("binary").alias("text"))
+    return docs.select("doc_id", (fold_of(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), F.col("text").cast("binary").alias("text"))
 
 
 def shape_class(word: bytes) -> int:
@@ -100,15 +106,16 @@ def _shape_mass(counts: DataFrame) -> DataFrame:
 
 
 class Lookup:
-    """Of the known words: class and training count."""
+    """Of the known words: class and training count. The words most frequent in training have classes of their own."""
 
-    def __init__(self, rows: list[tuple[bytes, int]]):
+    def __init__(self, rows: list[tuple[bytes, int]], head: int):
+        """rows: (word, training count), among them all words whose training count is head or more; others can't be classes."""
         self.entry: dict[bytes, tuple[int, int]] = {}
         rank = 0
-        for word, c in rows:
+        for word, c in sorted(rows, key=lambda r: (-r[1], r[0])):
             if word == END_WORD:
                 self.entry[word] = (END, c)
-            elif rank < HEAD:
+            elif rank < HEAD and c >= max(head, 1):
                 self.entry[word] = (rank, c)
                 rank += 1
             else:
@@ -143,7 +150,7 @@ def encode(docs: DataFrame, lookup: Lookup) -> DataFrame:
 
     def run(batches):
         lookup = pickle.loads(held_lookup.value)
-        for b in batches:
+        for b in pieces(batches):
             e = _Encoder(lookup)
             ids = []
             for text in b.column(2).to_pylist():
@@ -183,31 +190,93 @@ class Hmm:
         move = np.full((states, states), 0.2 / states) + 0.8 * np.eye(states)
         return cls(np.full(states, 1 / states), move, emit / emit.sum(1, keepdims=True))
 
-    def log10_likelihood(self, sequences: list[np.ndarray]) -> np.ndarray:
-        """Exact log10 probability of each class sequence; the sequences advance together."""
+    def sweep(self, sequences: list[np.ndarray], begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(state distribution at the end, log10 probability) of each sequence, from begin, the states' probabilities at its first token.
+
+        The sequences advance together.
+        """
         order = np.argsort([-len(s) for s in sequences], kind="stable")
         n = np.array([len(sequences[i]) for i in order])
-        out, alpha = np.zeros(len(n)), None
+        last, out = np.empty((len(n), len(self.start))), np.zeros(len(n))
         table = np.ascontiguousarray(self.emit.T)
         for part in _blocks(n):
-            seqs, m = [sequences[order[i]] for i in part], n[part]
-            flat, first, alive = _by_step(seqs, m)
-            total = np.zeros(len(m))
+            which, m = order[part], n[part]
+            flat, first, alive = _by_step([sequences[i] for i in which], m)
+            total, alpha = np.zeros(len(m)), begin[which]
             for t in range(int(m[0])):
                 k = alive[t]
-                alpha = (np.broadcast_to(self.start, (k, len(self.start))) if t == 0 else alpha[:k] @ self.move) * table[flat[first[t] : first[t] + k]]
-                scale = alpha.sum(1)
-                alpha /= scale[:, None]
+                if t:
+                    alpha[:k] = alpha[:k] @ self.move
+                now = alpha[:k] * table[flat[first[t] : first[t] + k]]
+                scale = now.sum(1)
+                alpha[:k] = now / scale[:, None]
                 total[:k] += np.log10(scale)
-            out[order[part]] = total
+            last[which], out[which] = alpha, total
+        return last, out
+
+    def _products(self, segments: list[np.ndarray]) -> np.ndarray:
+        """(segments, K, K): the state at the end of each segment and the probability of its tokens, for each state before it; each scaled, and log10 of the scale."""
+        K = len(self.start)
+        last, log = self.sweep([s for s in segments for _ in range(K)], np.tile(self.move, (len(segments), 1)))
+        log = log.reshape(-1, K)
+        top = log.max(1)
+        return last.reshape(-1, K, K) * 10.0 ** (log - top[:, None])[:, :, None], top
+
+    def log10_likelihood(self, sequences: list[np.ndarray]) -> np.ndarray:
+        """Exact log10 probability of each class sequence."""
+        heads, rest, owner = [], [], []
+        for i, s in enumerate(sequences):
+            heads.append(s[:SEGMENT])
+            for at in range(SEGMENT, len(s), SEGMENT):
+                rest.append(s[at : at + SEGMENT])
+                owner.append(i)
+        state, out = self.sweep(heads, np.tile(self.start, (len(heads), 1)))
+        if rest:
+            for i, product, log in zip(owner, *self._products(rest), strict=True):
+                now = state[i] @ product
+                out[i] += np.log10(now.sum()) + log
+                state[i] = now / now.sum()
         return out
 
-    def expect(self, segments: list[np.ndarray], starts: np.ndarray):
-        """Expected counts of starts, moves and emissions, and the log likelihood; starts: segments that begin a text."""
+    def segmented(self, sequences: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        """(segments, starts, before, after) of sequences.
+
+        starts: whether a segment begins its text; before: the states' distribution at the token before it; after: the weight of what
+        follows it by state at its last token, scaled so that its mean under the distribution there is 1.
+        """
+        K = len(self.start)
+        segments, starts = [], []
+        for s in sequences:
+            for at in range(0, len(s), SEGMENT):
+                segments.append(s[at : at + SEGMENT])
+                starts.append(at == 0)
+        starts = np.array(starts, bool)
+        before, after = np.zeros((len(segments), K)), np.ones((len(segments), K))
+        runs = np.flatnonzero(starts)
+        long = [(i, j) for i, j in zip(runs.tolist(), [*runs[1:].tolist(), len(segments)], strict=True) if j - i > 1]
+        if long:
+            inner = [x for i, j in long for x in range(i + 1, j)]
+            products = dict(zip(inner, self._products([segments[x] for x in inner])[0], strict=True))
+            ends = self.sweep([segments[i] for i, _ in long], np.tile(self.start, (len(long), 1)))[0]
+            for (i, j), state in zip(long, ends, strict=True):
+                states = [state]
+                for x in range(i + 1, j):
+                    before[x] = states[-1]
+                    state = states[-1] @ products[x]
+                    states.append(state / state.sum())
+                weight = np.ones(K)
+                for x in range(j - 1, i, -1):
+                    weight = products[x] @ weight
+                    weight /= states[x - 1 - i] @ weight
+                    after[x - 1] = weight
+        return segments, starts, before, after
+
+    def expect(self, sequences: list[np.ndarray]):
+        """Expected counts of starts, moves and emissions, and the log10 likelihood."""
         K = len(self.start)
         s0, mv, em, ll = np.zeros(K), np.zeros((K, K)), np.zeros((K, self.emit.shape[1])), 0.0
         table = np.ascontiguousarray(self.emit.T)
-        even = np.full(K, 1 / K)
+        segments, starts, before, after = self.segmented(sequences)
         order = np.argsort([-len(s) for s in segments], kind="stable")
         n = np.array([len(segments[i]) for i in order])
         for part in _blocks(n):
@@ -215,7 +284,7 @@ class Hmm:
             flat, first, alive = _by_step([segments[i] for i in which], m)
             b = table[flat]
             alpha, scale = np.empty((len(flat), K)), np.empty(len(flat))
-            begin = np.where(starts[which][:, None], self.start, even)
+            begin = np.where(starts[which][:, None], self.start, before[which] @ self.move)
             for t in range(int(m[0])):
                 k, at = alive[t], first[t]
                 prev = begin if t == 0 else alpha[first[t - 1] : first[t - 1] + k] @ self.move
@@ -225,10 +294,10 @@ class Hmm:
                 scale[at : at + k] = c
             ll += float(np.log10(scale).sum())
             gamma = np.empty((len(flat), K))
-            beta = np.ones((0, K))
+            beta, ends = np.ones((0, K)), after[which]
             for t in range(int(m[0]) - 1, -1, -1):
                 k, at = alive[t], first[t]
-                full = np.ones((k, K))
+                full = ends[:k].copy()
                 if len(beta):
                     nxt = len(beta)
                     w = b[first[t + 1] : first[t + 1] + nxt] * beta / scale[first[t + 1] : first[t + 1] + nxt, None]
@@ -236,7 +305,9 @@ class Hmm:
                     full[:nxt] = w @ self.move.T
                 beta = full
                 gamma[at : at + k] = alpha[at : at + k] * beta
-            s0 += gamma[: len(m)][starts[which]].sum(0)
+            k = len(m)
+            mv += before[which].T @ (b[:k] * beta / scale[:k, None])  # into a segment; nothing stands before a start
+            s0 += gamma[:k][starts[which]].sum(0)
             for j in range(K):
                 em[j] += np.bincount(flat, gamma[:, j], em.shape[1])
         return s0, mv * self.move, em, ll
@@ -270,7 +341,7 @@ def _by_step(seqs: list[np.ndarray], n: np.ndarray):
     return flat, first, alive
 
 
-def train(encoded: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> Hmm:
+def train(encoded: DataFrame, states: int = STATES, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> Hmm:
     """Baum-Welch. What comes to the driver per round is one row of fixed size per partition sum: counts of states x classes."""
     spark = encoded.sparkSession
     fit = encoded.filter("not held_out").select("classes")
@@ -288,36 +359,33 @@ def train(encoded: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> Hmm
             out[k] = x
         return out
 
-    model = Hmm.fresh(total(fit.mapInArrow(totals, "k int, x double"), CLASSES), states)
-    for _ in range(rounds):
+    seen = total(fit.mapInArrow(totals, "k int, x double"), CLASSES)
+    model, last = Hmm.fresh(seen, states), -np.inf
+    for _ in range(rounds if seen.any() else 0):
         held = ship(spark, pickle.dumps(model), MAX_BYTES)
 
         def expect(batches, held=held):
             model = pickle.loads(held.value)
             K = len(model.start)
-            sums = np.zeros(K + K * K + K * CLASSES)
-            for b in batches:
-                segments, starts = [], []
-                for x in b.column(0).to_pylist():
-                    x = np.frombuffer(x, np.uint16)
-                    for i in range(0, len(x), SEGMENT):
-                        segments.append(x[i : i + SEGMENT])
-                        starts.append(i == 0)
-                if segments:
-                    s0, mv, em, _ = model.expect(segments, np.array(starts))
-                    sums += np.concatenate([s0, mv.ravel(), em.ravel()])
+            sums = np.zeros(K + K * K + K * CLASSES + 1)
+            for b in pieces(batches):
+                s0, mv, em, ll = model.expect([np.frombuffer(x, np.uint16) for x in b.column(0).to_pylist()])
+                sums += np.concatenate([s0, mv.ravel(), em.ravel(), [ll]])
             yield pa.record_batch([pa.array(np.arange(len(sums)), pa.int32()), pa.array(sums)], ["k", "x"])
 
         K = len(model.start)
-        sums = total(fit.mapInArrow(expect, "k int, x double"), K + K * K + K * CLASSES)
-        model = Hmm.from_counts(sums[:K], sums[K : K + K * K].reshape(K, K), sums[K + K * K :].reshape(K, CLASSES))
+        sums = total(fit.mapInArrow(expect, "k int, x double"), K + K * K + K * CLASSES + 1)
+        model = Hmm.from_counts(sums[:K], sums[K : K + K * K].reshape(K, K), sums[K + K * K : -1].reshape(K, CLASSES))
+        if sums[-1] - last < tolerance * seen.sum():
+            break
+        last = sums[-1]
     return model
 
 
-def _threshold(counts: DataFrame) -> int:
+def _threshold(counts: DataFrame, of: str) -> int:
     """The lowest power of two that at most KNOWN words reach. Only a histogram of powers comes to the driver, so nothing is sorted."""
-    power = F.floor(F.log2("n")).cast("int")
-    words = {r.p: r.k for r in counts.groupBy(power.alias("p")).agg(F.count(F.lit(1)).alias("k")).collect()}
+    power = F.floor(F.log2(of)).cast("int")
+    words = {r.p: r.k for r in counts.filter(F.col(of) > 0).groupBy(power.alias("p")).agg(F.count(F.lit(1)).alias("k")).collect()}
     p, total = 63, 0
     while p >= 0 and total + words.get(p, 0) <= KNOWN:
         total += words.get(p, 0)
@@ -325,15 +393,21 @@ def _threshold(counts: DataFrame) -> int:
     return 1 << (p + 1)
 
 
-def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
+def look_up(counts: DataFrame) -> Lookup:
+    """The words that may be classes, by training counts alone, and the words that are frequent anywhere."""
+    head = _threshold(counts, "c")
+    got = counts.filter((F.col("c") >= head) | (F.col("n") >= _threshold(counts, "n")) | (F.col("word") == END_WORD)).select("word", "c").collect()
+    return Lookup([(bytes(w), c) for w, c in got], head)
+
+
+def score(docs: DataFrame, states: int = STATES, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> DataFrame:
     """The columns of the query for every row of docs."""
     spark = docs.sparkSession
     counts = cut(count_words(docs))
     n_train, vocab = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    top = [(bytes(r.word), r.c) for r in sorted(counts.filter(F.col("n") >= _threshold(counts)).collect(), key=lambda r: (-r.n, r.word))]
-    lookup = Lookup(top)
+    lookup = look_up(counts)
     encoded = cut(encode(docs, lookup))
-    model = train(encoded, states, rounds)
+    model = train(encoded, states, tolerance, rounds)
     # mass of a class: count + 0.5 for each of its words seen in training, and 0.5 for all unseen ones
     mass = np.full(CLASSES, 0.5)
     for k, x in _shape_mass(counts).collect():
@@ -350,7 +424,7 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> DataFr
 
     def forward(batches):
         model, log_mass = pickle.loads(held.value)
-        for b in batches:
+        for b in pieces(batches):
             seqs = [np.frombuffer(x, np.uint16) for x in b.column("classes").to_pylist()]
             likely = model.log10_likelihood(seqs) if seqs else np.empty(0)
             spent = [float(log_mass[s].sum()) for s in seqs]

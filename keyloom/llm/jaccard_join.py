@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import cut, ship, small_batches, table
+from keyloom.llm.common import cut, pieces, ship, table
 
 N = 5
 #: Similarity as a percentage: linked when 100 * intersection >= SHARE * union.
@@ -137,14 +137,14 @@ def signatures(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 def _ids(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("binary").alias("text")
-    return small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text"), F.lit("")))).alias("id"), F.col("doc_id").cast("long").alias("doc_id"), text)
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text"), F.lit("")))).alias("id"), F.col("doc_id").cast("long").alias("doc_id"), text)
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """id, doc_id, n_shingles, a, b of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
+        for x in pieces(batches):
             n, a, b = [], [], []
             for t in x.column(2).to_pylist():
                 s = shingles(t)
@@ -161,7 +161,7 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
     """Shingles of many different documents of a sample. A wrong or empty answer costs time, not links."""
 
     def run(batches):
-        for x in batches:
+        for x in pieces(batches):
             keys, ids = [], []
             for t in x.column(2).to_pylist():
                 s = shingles(t)
@@ -202,7 +202,7 @@ def _packed(docs: DataFrame, frequent: np.ndarray, parts: int) -> DataFrame:
         def rows(pairs):
             return pa.record_batch([pa.array([p for p, _ in pairs], pa.int32()), pa.array([b for _, b in pairs], pa.binary())], ["p", "blob"])
 
-        for x in batches:
+        for x in pieces(batches):
             for t in x.column(2).to_pylist():
                 s = shingles(t)
                 key = digest(s)
@@ -360,7 +360,7 @@ def _with_sets(need: DataFrame, docs: DataFrame, pack=_pack) -> DataFrame:
 
     def run(batches):
         bits = np.frombuffer(held.value, np.uint8)
-        for x in batches:
+        for x in pieces(batches):
             h = x.column(3).to_numpy()
             y = x.filter(pa.array(bits[h >> 3] >> (h & 7).astype(np.uint8) & 1 == 1))
             if y.num_rows:
@@ -373,7 +373,7 @@ def _with_sets(need: DataFrame, docs: DataFrame, pack=_pack) -> DataFrame:
 def _read(batches, unpack=_sets_of) -> tuple[list[list], list]:
     """Columns but s as lists, and s unpacked."""
     cols, sets = None, []
-    for x in batches:
+    for x in pieces(batches):
         got = [x.column(n).to_pylist() for n in x.schema.names if n != "s"]
         cols = got if cols is None else [p + q for p, q in zip(cols, got, strict=True)]
         sets += [unpack(r) for r in x.column("s").to_pylist()]

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import fold_of, small_batches, table
+from keyloom.llm.common import fold_of, pieces, table
 
 FOLDS, HELD_OUT = 3, 1
 SAMPLE_DOCS = 250
@@ -248,11 +248,11 @@ def identify(docs: DataFrame, net: ByteGru | None = None) -> DataFrame:
     net = net or fit(docs)
     own = [c for c in docs.columns if c not in ("lang_pred", "score")]
     # a copy of text as bytes, so that nothing is decoded
-    df = small_batches(docs).select(*own, F.col("text").cast("binary").alias("__bytes"))
+    df = docs.select(*own, F.col("text").cast("binary").alias("__bytes"))
 
     def run(batches):
         reader = Reader(net)
-        for b in batches:
+        for b in pieces(batches):
             labels, scores = reader.documents(b.column(b.num_columns - 1).to_pylist())
             yield pa.record_batch([*b.columns[:-1], pa.array(labels, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names[:-1], "lang_pred", "score"])
 
@@ -263,11 +263,11 @@ def identify(docs: DataFrame, net: ByteGru | None = None) -> DataFrame:
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     net = fit(docs)
-    slim = small_batches(docs).select("doc_id", F.col("text").cast("binary").alias("text"))
+    slim = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
 
     def run(batches):
         reader = Reader(net)
-        for b in batches:
+        for b in pieces(batches):
             labels, scores = reader.documents(b.column(1).to_pylist())
             yield pa.record_batch([b.column(0), pa.array(labels, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 

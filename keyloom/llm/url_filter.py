@@ -30,7 +30,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import LOWER, UPPER, table
+from keyloom.llm.common import LOWER, UPPER, pieces, table
 
 #: (host, path, verdict), fixed by the contract.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -135,7 +135,7 @@ def judge_urls(pages: DataFrame, rules=RULES, default: str = "allow") -> DataFra
     schema = df.schema
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             n = len(b.schema.names)
             hosts, paths = b.column(n - 2).to_pylist(), b.column(n - 1).to_pylist()
             best = _opened(name).longest([(h.encode(), p.encode()) for h, p in zip(hosts, paths, strict=True)])
