@@ -1,11 +1,11 @@
 """Line dedup by range-partitioned hashes with a secondary sort (operator 4).
 
 Lines become (128-bit hash, document, position). They are range-partitioned by (hash, document), so the
-run of a very frequent line is spread over as many partitions as its rows need, then sorted by hash
-and descending document; a streaming pass keeps the first document of each run (the largest id) and
+run of a very frequent line is spread over as many partitions as its rows need, then sorted by hash,
+descending document and position; a streaming pass keeps the first document of each run (the largest id) and
 marks the rest. Runs that touch an edge of their partition are completed from one small summary
-per partition. What is returned is a zlib-compressed keep bitmap per document; text is never shuffled
-until a caller applies the bitmaps.
+per partition. What is returned is a zlib-compressed keep bitmap per document; to apply them, only texts
+that may lose a line are shuffled.
 
 Defined results: null or empty text is one empty line, kept; a null doc_id counts as one document
 below all ids; rows that repeat a doc_id are one document when counting, and each gets its own bitmap;
@@ -24,8 +24,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from keyloom.llm.common import NO_ID, WS_CHARS, cut, small_batches, table
+from keyloom.llm.common import NO_ID, WS_CHARS, cut, part_by_keys, pieces, table
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -39,7 +40,7 @@ def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["k1", "k2", "doc", "row", "pos"]
-        for batch in batches:
+        for batch in pieces(batches):
             keys, doc, row, pos = bytearray(), [], [], []
             for d, r, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for i, line in enumerate((text or b"").split(b"\n")):
@@ -60,7 +61,7 @@ def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                 k = np.frombuffer(bytes(keys), np.int64).reshape(-1, 2)
                 yield pa.record_batch([pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(doc, pa.int64()), pa.array(row, pa.int64()), pa.array(pos, pa.int32())], names)
 
-    return small_batches(docs).select(*_row_key(), F.col("text").cast("binary").alias("text")).mapInArrow(run, "k1 long, k2 long, doc long, row long, pos int")
+    return docs.select(*_row_key(), F.col("text").cast("binary").alias("text")).mapInArrow(run, "k1 long, k2 long, doc long, row long, pos int")
 
 
 def _row_key():
@@ -140,7 +141,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     Bits after the last dropped line are left out; they count as 1.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_keys = line_keys(docs, min_chars).repartitionByRange(parts, "k1", "k2", "doc").sortWithinPartitions("k1", "k2", F.col("doc").desc())
+    sorted_keys = line_keys(docs, min_chars).repartitionByRange(parts, "k1", "k2", "doc").sortWithinPartitions("k1", "k2", F.col("doc").desc(), "row", "pos")
     # written once: both uses below must see the same range bounds, also after an executor is lost
     marked = cut(sorted_keys.mapInArrow(_mark(min_docs), "k1 long, k2 long, doc long, row long, pos int, edge boolean"))
     edge = marked.filter("edge")
@@ -174,25 +175,27 @@ def kept_lines(text: bytes, bitmap: bytes | None) -> bytes:
 
 
 def with_bitmaps(docs: DataFrame) -> DataFrame:
-    """docs with n_drop and bitmap (null where all lines stay); one shuffle of docs."""
-    doc, row = _row_key()
-    return docs.withColumns({"__doc": doc, "__row": row}).join(
-        keep_bitmaps(docs).select(F.col("doc").alias("__doc"), F.col("row").alias("__row"), F.col("n_drop").alias("__n"), F.col("bitmap").alias("__b")), ["__doc", "__row"], "left"
-    ).drop("__doc", "__row")
+    """docs with __n (dropped lines) and __b (bitmap), null where all lines stay; documents that surely lose none aren't shuffled."""
+    doc, row = (c.alias(f"__{n}") for c, n in zip(_row_key(), ("doc", "row"), strict=True))
+    maps = cut(keep_bitmaps(docs)).select(F.col("doc").alias("__doc"), F.col("row").alias("__row"), F.col("n_drop").alias("__n"), F.col("bitmap").alias("__b"))
+    key = F.xxhash64("__doc", "__row")
+    some, rest = part_by_keys(docs.select("*", doc, row), key, maps, key)
+    whole = rest.withColumns({"__n": F.lit(None).cast("long"), "__b": F.lit(None).cast("binary")})
+    return some.join(maps, ["__doc", "__row"], "left").unionByName(whole).drop("__doc", "__row")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with the dropped lines taken out of text; n_chars follows. A null text stays null."""
 
     def run(batches):
-        for b in batches:
-            yield pa.record_batch([pa.array([x if m is None or x is None else kept_lines(x.encode(), m).decode() for x, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)], pa.string()), *b.columns[2:]], ["text", *b.schema.names[2:]])
+        for b in pieces(batches):
+            texts = [x if m is None or x is None else kept_lines(x.encode(), m).decode() for x, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            yield pa.record_batch([pa.array(texts, pa.string()), *b.columns[2:]], ["text", *b.schema.names[2:]])
 
     names = docs.columns
     rest = [c for c in names if c != "text"]
     df = with_bitmaps(docs).select("text", "__b", *rest)
-    schema = ", ".join(["text string"] + [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest])
-    out = df.mapInArrow(run, schema)
+    out = df.mapInArrow(run, T.StructType([T.StructField("text", T.StringType()), *(docs.schema[c] for c in rest)]))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*names)
@@ -202,7 +205,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             ids, n_lines, n_drop, sha = b.column(0), [], [], []
             for text, n, m in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 text = text or b""
