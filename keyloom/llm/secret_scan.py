@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm.common import small_batches, table
+from keyloom.llm.common import pieces, table
 
 KINDS = ("assign", "access", "hex", "lexed")
 #: Base patterns, fixed by the contract; minimum lengths of group 2, of the match, and of the match.
@@ -138,8 +138,10 @@ def _looks_like_value(literal: str) -> bool:
 
 def find_secrets(text: str) -> list[tuple[str, int, int]]:
     out = []
-    if ":" in text or "=" in text:
+    signs = ":" in text or "=" in text
+    if signs:
         out += [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= MIN_ASSIGN]
+    if signs or "</" in text:
         out += [("lexed", a, b) for a, b, _ in sensitive_literals(text)]
     if "AKIA" in text:
         out += [("access", m.start(), m.end()) for m in ACCESS.finditer(text)]
@@ -152,21 +154,26 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-        for b in batches:
+        for b in pieces(batches):
             spans = [[{"kind": k, "start": s, "end": e} for k, s, e in find_secrets(t or "")] for t in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array(spans, kind)], ["doc_id", "spans"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return small_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, spans array<struct<kind:string,start:bigint,end:bigint>>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, spans array<struct<kind:string,start:bigint,end:bigint>>")
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def row(text: str | None):
+        found = find_secrets(text or "")
+        names = [f"{k}:{a}:{b}" for k, a, b in found]
+        base = ",".join(n for n, (k, _, _) in zip(names, found, strict=True) if k != "lexed")
+        return *(sum(x[0] == k for x in found) for k in KINDS[:3]), hashlib.sha256(base.encode()).hexdigest(), ",".join(names)
+
     def run(batches):
-        for b in batches:
-            rows = [[(x["kind"], x["start"], x["end"]) for x in r] for r in b.column(1).to_pylist()]
-            text = lambda spans: ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
-            count = lambda kind: pa.array([sum(x[0] == kind for x in r) for r in rows], pa.int64())
-            sha = [hashlib.sha256(text([x for x in r if x[0] != "lexed"]).encode()).hexdigest() for r in rows]
-            yield pa.record_batch([b.column(0), *map(count, KINDS[:3]), pa.array(sha), pa.array([text(r) for r in rows], pa.string())], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
-
-    return scan_secrets(table(spark, sf_dir, "documents")).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+        for b in pieces(batches):
+            *counts, sha, spans = zip(*map(row, b.column(1).to_pylist()), strict=True)
+            yield pa.record_batch([b.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(sha), pa.array(spans, pa.string())], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+
+    docs = table(spark, sf_dir, "documents")
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")

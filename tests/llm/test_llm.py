@@ -124,7 +124,7 @@ def test_forward_recursion_equals_sum_over_paths():
         return math.log10(total)
 
     assert np.allclose(m.log10_likelihood(seqs), [brute(s) for s in seqs])
-    s0, mv, em, ll = m.expect(seqs, np.ones(4, bool))
+    s0, mv, em, ll = m.expect(seqs)
     assert np.isclose(ll, sum(map(brute, seqs))) and np.isclose(s0.sum(), 4) and np.isclose((mv * 1).sum(), sum(len(s) - 1 for s in seqs)) and np.isclose(em.sum(), sum(map(len, seqs)))
 
 
@@ -134,12 +134,92 @@ def test_baum_welch_raises_the_likelihood():
     m = hmm_lm.Hmm.fresh(np.bincount(np.concatenate(seqs), minlength=8).astype(float), 2)
     last = -np.inf
     for _ in range(8):
-        s0, mv, em, ll = m.expect(seqs, np.ones(20, bool))
+        s0, mv, em, ll = m.expect(seqs)
         assert ll > last - 1
         last, m = ll, hmm_lm.Hmm.from_counts(s0, mv, em)
     assert m.log10_likelihood(seqs).sum() > hmm_lm.Hmm.fresh(np.ones(8), 2).log10_likelihood(seqs).sum() + 50
 
 
+def test_segments_of_a_sequence_are_exact(monkeypatch):
+    r = np.random.default_rng(4)
+    norm = lambda x: x / x.sum(-1, keepdims=True)
+    m = hmm_lm.Hmm(norm(r.random(3)), norm(r.random((3, 3)) ** 4), norm(r.random((3, 6)) ** 3))
+    seqs = [r.integers(0, 6, n) for n in (1, 700, 5, 6, 4, 13, 1, 250)]
+    whole, likely = m.expect(seqs), m.log10_likelihood(seqs)
+    for cut in (1, 2, 5, 64):
+        monkeypatch.setattr(hmm_lm, "SEGMENT", cut)
+        assert all(np.allclose(a, b, rtol=1e-9) for a, b in zip(m.expect(seqs), whole)) and np.allclose(m.log10_likelihood(seqs), likely, rtol=1e-12)
+
+
+def brute_hmm(rows, states, head, tolerance):
+    """log10 score of each text by plain forward and backward sums over a two-step model, trained on the training fold."""
+    texts = [(t or "").encode().lower().split() + [b" "] for _, t, *_ in rows]
+    train = [x for (i, *_), x in zip(rows, texts) if zlib.crc32(("" if i is None else str(i)).encode()) % 5 != 1]
+    c = Counter(w for x in train for w in x)
+    own = {w: k for k, w in enumerate(sorted((w for w in c if w != b" "), key=lambda w: (-c[w], w))[:head])}
+    shape = lambda w: hmm_lm.HEAD + hmm_lm.xxhash.xxh3_64_intdigest(w[-3:]) % hmm_lm.SHAPES
+    of = lambda w: hmm_lm.END if w == b" " else own.get(w, shape(w))
+    seqs = [[of(w) for w in x] for x in train]
+    m, last = hmm_lm.Hmm.fresh(np.bincount(sum(seqs, []), minlength=hmm_lm.CLASSES).astype(float), states), -math.inf
+    K = range(states)
+
+    def forward(s):
+        a = [[m.start[k] * m.emit[k, s[0]] for k in K]]
+        for x in s[1:]:
+            a.append([sum(a[-1][j] * m.move[j, k] for j in K) * m.emit[k, x] for k in K])
+        return a
+
+    while True:
+        s0, mv, em, ll = np.zeros(states), np.zeros((states, states)), np.zeros((states, hmm_lm.CLASSES)), 0.0
+        for s in seqs:
+            a, b = forward(s), [[1.0] * states]
+            for x in s[:0:-1]:
+                b.insert(0, [sum(m.move[k, j] * m.emit[j, x] * b[0][j] for j in K) for k in K])
+            p = sum(a[-1])
+            ll += math.log10(p)
+            for t, x in enumerate(s):
+                for k in K:
+                    em[k, x] += a[t][k] * b[t][k] / p
+                    s0[k] += (t == 0) * a[t][k] * b[t][k] / p
+                    for j in K if t else ():
+                        mv[j, k] += a[t - 1][j] * m.move[j, k] * m.emit[k, x] * b[t][k] / p
+        m = hmm_lm.Hmm.from_counts(s0, mv, em)
+        if ll - last < tolerance * sum(map(len, seqs)):
+            break
+        last = ll
+    mass = Counter()
+    for w in c:
+        mass[of(w)] += c[w] + 0.5
+    out = []
+    for x in texts:
+        s = [of(w) for w in x]
+        alone = lambda k: k < hmm_lm.HEAD or k == hmm_lm.END
+        emitted = sum(math.log10((c[w] + 0.5) / (mass[k] + 0.5 * (not alone(k)))) for w, k in zip(x, s))
+        out.append(math.log10(sum(forward(s)[-1])) + emitted)
+    return out
+
+
+def test_hmm_score_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(hmm_lm, "KNOWN", 12)  # most words meet their counts in the join
+    r = random.Random(8)
+    rows = [(i, prose(r, r.randrange(0, 25), 30) + (" late" if zlib.crc32(str(i).encode()) % 5 == 1 else "")) for i in range(60)]
+    got = {x.doc_id: x.score for x in hmm_lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 2, 0.001).collect()}
+    # of at most KNOWN words that reach a power of two, all can be classes
+    c = Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1 for w in [*t.split(), " "])
+    least = min(p for p in (1, 2, 4, 8, 16, 32, 64, 128) if sum(n >= p for n in c.values()) <= 12)
+    want = brute_hmm(rows, 2, sum(n >= least for w, n in c.items() if w != " "), 0.001)
+    assert np.allclose([got[i] for i, _ in rows], want, rtol=1e-6)
+
+
+def test_held_out_texts_do_not_teach(spark):
+    r = random.Random(12)
+    rows = [(i, prose(r, r.randrange(5, 60), 300)) for i in range(120)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    other = [(i, t + " aa bb cc dd" * 200 if held(i) else t) for i, t in rows]
+    a, b = ({x.doc_id: x for x in hmm_lm.score(spark.createDataFrame(x, "doc_id long, text string").repartition(3)).collect()} for x in (rows, other))
+    assert all(math.isclose(a[i].score, b[i].score, rel_tol=1e-9) and math.isclose(a[i].base_score, b[i].base_score, rel_tol=1e-12) for i, _ in rows if not held(i))
+
+
 def test_gru_gradients():
     net = language_id.ByteGru.fresh(["x", "y"], hidden=3)
     net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
@@ -373,6 +453,8 @@ def test_secret_lexing():
     assert [t[a:b] for k, a, b in secret_scan.find_secrets(t) if k == "lexed"] == ["Zx81-kQ-997"]
     t = "a = 'Qq11Qq11Qq'; b = a; c = b; SECRET_KEY := c; x = y; y = x; auth_token = x"
     assert [t[a:b] for k, a, b in secret_scan.find_secrets(t) if k == "lexed"] == ["Qq11Qq11Qq"]
+    t = "<config>\n<password>Hunter2222X</password>\n<colour>Blue2222X</colour></config>"  # neither a colon nor an equals sign
+    assert [t[a:b] for k, a, b in secret_scan.find_secrets(t) if k == "lexed"] == ["Hunter2222X"]
     t = 'password = "changeme please"; password = "${PASSWORD}"; <authToken>zz99zz99ZZ</authToken>'
     assert [t[a:b] for k, a, b in secret_scan.find_secrets(t) if k == "lexed"] == ["zz99zz99ZZ"]
 
