@@ -273,30 +273,49 @@ def test_language_evidence_is_kept_and_forgotten(monkeypatch):
         assert [x for (x,), _ in got] == labels and np.allclose([x for _, (x,) in got], scores, atol=1e-5)
 
 
-def test_mixing_is_near_targets(spark, folder, rows):
-    got = mixing.mix(spark.read.parquet(f"{folder}/documents.parquet")).collect()
-    sizes = Counter()
-    for _, t, _, s, _ in rows:
-        sizes[s] += len(WORD.findall(t or ""))
-    names = sorted((s for s in sizes if s is not None)) + [None]
+def brute_targets(sizes):
+    names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
     target, rest, free = {}, sum(sizes.values()), set(names)
     while True:
         share = {s: rest * weight[s] / sum(weight[x] for x in free) for s in free}
         over = [s for s in free if share[s] > 3 * sizes[s]]
         if not over:
-            break
+            return target | share
         for s in over:
             target[s] = 3 * sizes[s]
             rest -= target[s]
             free.discard(s)
-    target |= share
-    taken = Counter()
+
+
+def check_mix(got, rows):
+    sizes = Counter()
+    for _, t, _, s, _ in rows:
+        sizes[s] += len(WORD.findall(t or ""))
+    target, taken, largest = brute_targets(sizes), Counter(), Counter()
     for r in got:
         assert r.source_size == sizes[r.source] and math.isclose(r.target, target[r.source], rel_tol=1e-9) and 0 <= r.taken <= 3 * r.size
         taken[r.source] += r.taken
-    largest = max(r.size for r in got)
-    assert all(abs(taken[s] - target[s]) <= largest for s in names)
+        largest[r.source] = max(largest[r.source], r.size)
+    assert all(abs(taken[s] - target[s]) <= largest[s] / 2 + 1e-6 for s in sizes)
+
+
+@pytest.mark.parametrize("few", [100, 0])
+def test_mixing_is_near_targets(spark, folder, rows, few):
+    got = mixing.mix(spark.read.parquet(f"{folder}/documents.parquet"), few=few).collect()
+    check_mix(got, rows)
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
+
+
+def test_mixing_takes_part_of_repeated_rows(spark):
+    """Rows without id, one id throughout, and copies of one row that are all of a source."""
+    r = random.Random(14)
+    rows = [(None, prose(r, 5), None, f"s{i % 2}", 0) for i in range(200)] + [(7, prose(r, 3), None, "t", 0) for _ in range(100)] + [(None, "one and the same", None, "u", 0)] * 150 + [(8, "", None, "v", 0)] * 3
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    for few in (100, 0):
+        got = mixing.mix(docs, few=few).collect()
+        check_mix(got, rows)
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs.repartition(2)).collect()))
 
 
 def brute_lines(rows, min_docs=3):
