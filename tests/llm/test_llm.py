@@ -595,11 +595,37 @@ def test_signatures_meet():
         assert len(np.intersect1d(jaccard_join.signatures(a, frequent), jaccard_join.signatures(b, frequent))), (n, len(b), i)
 
 
-def test_decontamination(spark):
+def brute_leaks(docs, items):
+    """Every item against every passage of every document."""
+    out = {}
+    for i, t in items:
+        words = decontaminate.tokens((t or "").encode())
+        if len(words) < 5:
+            continue
+        step = 64
+        while step < len(words):
+            step *= 2
+        x = decontaminate.Item(i, t.encode(), words)
+        for d, text, *_ in docs:
+            ws = decontaminate.tokens((text or "").encode())
+            for at in range(0, max(1, len(ws) - step), step):
+                part = ws[at : at + 2 * step]
+                hit = x.verify(set(zip(*(part[j:] for j in range(5)))))
+                if hit:
+                    out[d, i] = max(hit, out.get((d, i), hit))
+    return out
+
+
+@pytest.mark.parametrize("block,max_items,max_bytes", [(32, 1 << 18, 256 << 20), (2, 7, 256 << 20), (4, 1 << 18, (1 << 20) + 5000)])
+def test_decontamination(spark, monkeypatch, block, max_items, max_bytes):
+    monkeypatch.setattr(decontaminate, "BLOCK", block)
+    monkeypatch.setattr(decontaminate, "SHARD", 9)
+    monkeypatch.setattr(decontaminate, "MAX_ITEMS", max_items)
+    monkeypatch.setattr(decontaminate, "MAX_BYTES", max_bytes)
     r = random.Random(6)
-    items = [(i, prose(r, r.randrange(6, 60), 900) + ("\n" if i % 2 else " ") + prose(r, r.randrange(1, 30), 900)) for i in range(40)]
+    items = [(i, prose(r, r.randrange(6, 60), 900) + ("\n" if i % 2 else " ") + prose(r, r.randrange(1, 30) if i % 9 else 150, 900)) for i in range(40)]
     docs = []
-    for i in range(400):
+    for i in range(300):
         words = prose(r, r.randrange(0, 400), 900).split()
         if i % 3 == 0:
             leak = items[r.randrange(40)][1].split()
@@ -610,26 +636,49 @@ def test_decontamination(spark):
         docs.append((i, " ".join(words) + ".", None, None, 0))
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(x.doc_id, x.item_id): (x.n_shared, x.n_question, x.n_answer) for x in decontaminate.leaks(spark.createDataFrame(docs, SCHEMA), bench).collect()}
-    parsed = [decontaminate.Item(i, t.encode()) for i, t in items]
-    step = max(decontaminate.STEP, max(len(x.words) for x in parsed))
-    want = {}
-    for d, t, *_ in docs:
-        ws = decontaminate.tokens(t.encode())
-        for at in range(0, max(1, len(ws) - step), step):
-            part = ws[at : at + 2 * step]
-            for x in parsed:
-                hit = x.verify(set(zip(*(part[j:] for j in range(x.n)))))
-                if hit:
-                    want[d, x.id] = max(hit, want.get((d, x.id), hit))
-    assert got == want and len(got) > 60
+    want = brute_leaks(docs, items)
+    assert got == want and len(got) > 50
     kept = {x.doc_id for x in decontaminate.drop_leaks(spark.createDataFrame(docs, SCHEMA), bench).collect()}
     assert kept == {d for d, *_ in docs} - {d for d, _ in want}
 
 
+def test_wand_retrieves_all_above_threshold():
+    r = random.Random(3)
+    items = [decontaminate.Item(i, b"x", w) for i in range(150) for w in ([f"w{int(r.paretovariate(0.6))}".encode() for _ in range(r.randrange(5, 60))],)]
+    index = decontaminate.Bm25Index(items, Counter(w for x in items for w in set(x.words)), 150, 30.0)
+    n = 0
+    for _ in range(300):
+        base = r.choice(items).words
+        words = set(r.sample(base, int(len(base) * r.uniform(0.5, 1)))) | {f"w{int(r.paretovariate(0.6))}".encode() for _ in range(r.randrange(40))}
+        want = []
+        for i in range(150):
+            score = sum(float(x) for p, x in zip(index.post, index.impact) if p % index.size == i and next(w for w, t in index.vocab.items() if t == p // index.size) in words) if n < 3 else None
+            if score is not None and score >= index.least[i]:
+                want.append(i)
+        if n < 3:
+            assert index.retrieve(words) == want
+        dense = np.zeros(index.size)
+        ids = {t for w, t in index.vocab.items() if w in words}
+        inside = np.isin(index.post // index.size, list(ids))
+        np.add.at(dense, index.post[inside] % index.size, index.impact[inside])
+        assert index.retrieve(words) == np.flatnonzero(dense >= index.least).tolist()
+        n += 1
+
+
+def test_an_item_s_window_is_its_own(spark):
+    """Question and answer 600 words apart aren't found, whatever other items there are."""
+    r = random.Random(9)
+    q, a, long = prose(r, 20, 10**6), prose(r, 20, 10**6), prose(r, 1000, 10**6)
+    docs = spark.createDataFrame([(1, f"{q} {prose(r, 600, 10**6)} {a}", None, None, 0), (2, f"{q} {a}", None, None, 0), (3, f"x {long} y", None, None, 0)], SCHEMA)
+    for items in ([(1, f"{q}\n{a}")], [(1, f"{q}\n{a}"), (2, long)], [(2, long), (1, f"{q}\n{a}")]):
+        got = {(x.doc_id, x.item_id) for x in decontaminate.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+        assert got == {(2, 1), (3, 2)} & {(d, i) for d in (2, 3) for i, _ in items}
+
+
 def test_decontamination_edges(spark, folder):
-    docs = spark.createDataFrame([(1, "This is a TINY, item!", None, None, 0), (1, "tiny item", None, None, 0), (2, "tiny other item", None, None, 0), (3, None, None, None, 0)], SCHEMA)
-    got = decontaminate.leaks(docs, spark.read.parquet(f"{folder}/benchmark.parquet")).collect()
-    assert [(x.doc_id, x.item_id, x.n_shared) for x in got] == [(1, 4, 1)]
+    docs = [(1, "This is a TINY, item!", None, None, 0), (1, "tiny item", None, None, 0), (2, prose(random.Random(7), 12), None, None, 0), (2, f"x {prose(random.Random(7), 12).upper()}!", None, None, 0), (3, None, None, None, 0), (4, "", None, None, 0)]
+    got = decontaminate.leaks(spark.createDataFrame(docs, SCHEMA), spark.read.parquet(f"{folder}/benchmark.parquet")).collect()
+    assert [(x.doc_id, x.item_id, x.n_shared) for x in got] == [(2, 5, 8)]
 
 
 def test_pipeline_stages_by_brute_force(spark, folder, rows, tmp_path):
@@ -654,8 +703,8 @@ def test_pipeline_stages_by_brute_force(spark, folder, rows, tmp_path):
             comp = brute_components([tuple(x) for x in before])
             assert sorted(x.doc_id for x in after) == sorted({c for _, _, c in comp if c is not None})
         elif k == 3:
-            item = decontaminate.Item(7, (rows[11][1] + "\n" + " ".join(f"tail{i}" for i in range(9))).encode())
-            assert {x.doc_id for x in after} == {x.doc_id for x in before if not (x.text and item.verify(set(zip(*(decontaminate.tokens(x.text.encode())[j:] for j in range(5))))))}
+            item = (7, rows[11][1] + "\n" + " ".join(f"tail{i}" for i in range(9)))
+            assert {x.doc_id for x in after} == {x.doc_id for x in before} - {d for d, _ in brute_leaks(before, [item])}
         else:
             assert Counter(x.doc_id for x in after) == Counter(x.doc_id for x in before)
     assert json.dumps([n for n, _ in corpus_pipeline.STAGES])
