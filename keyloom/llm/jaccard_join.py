@@ -3,13 +3,16 @@
 A document's set holds its distinct 5-word shingles (64-bit hashes). Equal sets are one node (128-bit
 digest), so copies are never expanded. Sizes are cut into bands [l, 1.25 l]; a linked pair lies in one
 band or two neighbouring ones, so each set joins under its own band's tag and the next one's. Per tag
-the shingle domain is partitioned in two levels (n1 = k+1 partitions of n2 = 2 cells, k the largest symmetric
-difference of a linked pair there), and the subsets of n2 - 1 cells are enumerated: each non-empty cell
-is a candidate signature. A pair differs in at most h cells, h = floor((|a| + largest |b|) / 9), so the
-first h+1 signatures of both, in one global order, share one (a set with fewer non-empty cells also
-emits one common signature). The order puts cells made up of frequent shingles last; which
-shingles count as frequent is a bounded table from a sample, and can't change the result, only its cost.
-In small bands a cell is a single shingle.
+the shingle domain is partitioned in two levels, n1 partitions of n2 = 3 cells, and for each partition the
+subsets of n2 - k2 = 2 cells are enumerated (k2 = 1): a signature is a subset and the shingles that the set has in its
+cells. A pair of sets differs in at most k shingles, k = floor((|a| + largest |b|) / 9). A partition with one differing
+cell loses two of its three signatures, one with more loses all, so k differences lose at most n1 + k of
+them (2 k if k < n1). n1 is chosen by band so that more than that are left: k + 1 up to bands of SMALL, where cells
+are often empty, and 0.6 (k + 1) above. Empty subsets, which all sets would share, are left out; a set left with too few
+signatures emits one common signature as well. As no more than D = n1 + k can be lost, the first
+D + 1 signatures of both sets, in one global order, still share one, and only these are emitted. The order
+puts subsets made up of frequent shingles last; which shingles count as frequent is a bounded table
+from a sample, and can't change the result, only its cost.
 
 Signatures travel as packed blobs per shuffle partition, 32 bits and an index each. Groups of equal
 signatures are filed under a centre, the member with the most frequent shingles (then, the most connected one),
@@ -29,7 +32,8 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import pairwise
+from functools import lru_cache
+from itertools import combinations, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -37,17 +41,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import cut, pieces, ship, table
+from keyloom.llm.common import cut, part_by_keys, pieces, ship, table
 
 N = 5
 #: Similarity as a percentage: linked when 100 * intersection >= SHARE * union.
 SHARE = 80
-#: Up to this band maximum a cell is a single shingle.
-SINGLE = 64
+#: Cells of a partition; bands up to which there are as many partitions as a pair may differ in shingles, and one more.
+CELLS, SMALL = 3, 64
 #: Sample for the table of frequent shingles: one document of SAMPLE_OF, at least MIN_SEEN of them; size bound.
 SAMPLE_OF, MIN_SEEN, MAX_FREQUENT = 16, 4, 1 << 17
-#: Shuffle partitions that are one partition of signatures: fewer tasks name the same family.
-PER_TASK = 3
+#: Shuffle partitions that are one partition of signatures: fewer tasks name the same family. Shingles of such a partition at most, on average:
+#: what a task holds at once is bounded, whatever the number of documents.
+PER_TASK, PART_SHINGLES = 3, 20_000_000
 #: Sets that are compared all with all at once.
 FAMILY = 384
 #: Counts in a profile; profiles that are compared all with all at once.
@@ -106,6 +111,11 @@ def slot_table(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def partitions(k: int, most: int) -> int:
+    """n1 for sets that differ in at most k shingles, in a band of sizes up to most."""
+    return k + 1 if most <= SMALL else 3 * (k + 1) // 5 + 1
+
+
 def signatures(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """64-bit signatures of a set of shingle hashes; frequent: slot_table() of the common ones."""
     size, out = len(s), []
@@ -114,30 +124,42 @@ def signatures(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     for tag in (own, own + 1):
         r = _BANDS[tag][1]
         # linked sets a, b have a symmetric difference of at most (|a| + |b|) / 9
-        h = (size + min(r, 100 * size // SHARE)) * (100 - SHARE) // (100 + SHARE)
-        if h == 0 or (tag > own and 100 * size // SHARE < _BANDS[tag][0]):
+        k = (size + min(r, 100 * size // SHARE)) * (100 - SHARE) // (100 + SHARE)
+        if k == 0 or (tag > own and 100 * size // SHARE < _BANDS[tag][0]):
             continue  # only equal sets, or none
-        if r <= SINGLE:
-            token, late = s, common
-        else:
-            n1 = 2 * r * (100 - SHARE) // (100 + SHARE) + 1
-            cell = ((s >> _U(32)) * _U(2 * n1)) >> _U(32)  # s is sorted, so cells are runs
-            start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-            token = np.add.reduceat(mix(s + _U(tag)), start) ^ cell[start]
-            late = np.logical_and.reduceat(common, start)
-        token = mix(token + _U(tag * 0x9E3779B97F4A7C15 % (1 << 64)))
-        if len(token) > h:
-            order = np.lexsort((token, late))
-            token = token[order[: h + 1]]
+        n1 = partitions(2 * r * (100 - SHARE) // (100 + SHARE), r)
+        cell = (((s >> _U(32)) * _U(CELLS * n1)) >> _U(32)).astype(np.int64)  # s is sorted, so cells are runs
+        start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        held = np.zeros(CELLS * n1, _U)
+        held[cell[start]] = np.add.reduceat(mix(s + _U(tag)), start)
+        full, late = np.zeros(CELLS * n1, bool), np.ones(CELLS * n1, bool)
+        full[cell[start]] = True
+        late[cell[start]] = np.logical_and.reduceat(common, start)
+        left, right = _subsets(n1)
+        token = mix(held[left] * _MULT[0] + held[right] * _MULT[1] + np.arange(len(left), dtype=_U) * _MULT[2] + _U(tag * 0x9E3779B97F4A7C15 % (1 << 64)))
+        some, last = full[left] | full[right], (late[left] & late[right])
+        token, last = token[some], last[some]
+        lost = min(2 * k, n1 + k)
+        if len(token) > lost:
+            token = token[np.lexsort((token, last))[: lost + 1]]
         else:
             token = np.append(token, mix(np.array([tag], _U) ^ _U(0xABCDEF)))
         out.append(token)
     return np.concatenate(out) if out else np.empty(0, _U)
 
 
+@lru_cache(256)
+def _subsets(n1: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two cells of each subset, partition by partition."""
+    pairs = np.array(list(combinations(range(CELLS), 2)))
+    both = (np.arange(n1)[:, None, None] * CELLS + pairs).reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
+
+
 def _ids(docs: DataFrame) -> DataFrame:
-    text = F.col("text").cast("binary").alias("text")
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text"), F.lit("")))).alias("id"), F.col("doc_id").cast("long").alias("doc_id"), text)
+    """id, doc_id, text. id is the column __node, if there is one, else doc_id or, where that is null, a hash of the text."""
+    node = F.col("__node") if "__node" in docs.columns else F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    return docs.select(node.alias("id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -232,9 +254,12 @@ def _unpack(blob: bytes):
     return keys, usual, count, np.frombuffer(blob, np.uint32, int(count.sum()), 8 + 24 * n)
 
 
-def families(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(a, b, ca, cb): node (a, b) shares a signature with others whose centre is (ca, cb). The centre is in its own family."""
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // PER_TASK)
+def families(docs: DataFrame, frequent: np.ndarray, n_shingles: int) -> DataFrame:
+    """(a, b, ca, cb): node (a, b) shares a signature with others whose centre is (ca, cb). The centre is in its own family.
+
+    n_shingles: of all different sets together.
+    """
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // PER_TASK, -(-n_shingles // PART_SHINGLES))
 
     def run(batches):
         by: dict[int, list[bytes]] = {}
@@ -473,14 +498,12 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def assign(docs: DataFrame) -> DataFrame:
-    """id, doc_id, n_shingles, component_id and keeper for every row of docs.
-
-    id stands for a null doc_id; keeper is the id that stands for the component: its smallest real one, if it has any.
-    """
+    """id, doc_id, n_shingles, component_id (its smallest doc_id) and comp (its smallest id; null for an empty set) for every row of docs."""
     rows = cut(digests(docs))
     full = rows.filter("n_shingles > 0")
     classes = cut(full.groupBy("a", "b").agg(F.min("id").alias("cls"), F.min("doc_id").alias("least"), F.min("n_shingles").alias("size")))
-    groups = families(docs, frequent_shingles(docs))
+    n_shingles = classes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    groups = families(docs, frequent_shingles(docs), n_shingles)
     name = lambda df, a, b, c, size: df.join(classes.select(F.col("a").alias(a), F.col("b").alias(b), F.col("cls").alias(c), F.col("size").alias(size)), [a, b])
     groups = name(name(groups, "a", "b", "id", "nx"), "ca", "cb", "c", "nc")
     # an id with several texts is one node from here on
@@ -504,11 +527,11 @@ def assign(docs: DataFrame) -> DataFrame:
             links = cut(links.unionByName(late).distinct())
             comp = components(links)
     known = classes.join(comp, F.col("cls") == F.col("id"), "left").select("a", "b", "cls", "least", F.coalesce("comp", "cls").alias("comp"))
-    best = known.groupBy("comp").agg(F.min("least").alias("component_id"), F.coalesce(F.min("least"), F.min("cls")).alias("keeper"))
-    named = known.join(best, "comp").select("a", "b", "component_id", "keeper")
+    best = known.groupBy("comp").agg(F.min("least").alias("component_id"))
+    named = known.join(best, "comp").select("a", "b", "component_id", "comp")
     # an empty set's digest is no class, so such rows keep their own id
     out = rows.join(named, ["a", "b"], "left")
-    return out.select("id", "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("keeper", "id").alias("keeper"))
+    return out.select("id", "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "comp")
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -517,10 +540,29 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one row per component: that of its smallest id. A component whose rows all lack an id keeps one of them."""
-    keep = assign(docs.select("doc_id", "text")).filter("id = keeper").select(F.col("id").alias("__id")).distinct()
-    named = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text"), F.lit("")))))
-    return named.dropDuplicates(["__id"]).join(keep, "__id", "left_semi").select(*docs.columns)
+    """docs with one row per component of texts: that of its smallest doc_id (null last), then the smallest hash of a text, then the smallest in all columns.
+
+    A node is a text here, so different texts of a repeated doc_id both stay. Rows with an empty set all stay. Only texts of rows
+    that may be dropped are shuffled.
+    """
+    t, d = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))), F.col("doc_id").cast("long")
+    found = assign(docs.select("doc_id", "text", t.alias("__node"))).filter("comp is not null")
+    rows = cut(found.groupBy("comp", "doc_id", F.col("id").alias("t")).agg(F.count(F.lit(1)).alias("n")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("first")
+    groups = rows.groupBy("comp").agg(first, F.sum("n").alias("size")).filter("size > 1").drop("size")
+    stays = (F.col("t") == F.col("first.t")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
+    key = [F.col("t").alias("__t"), F.coalesce("doc_id", F.lit(0)).alias("__d"), F.col("doc_id").isNull().alias("__n")]
+    judged = cut(rows.join(groups, "comp").select(*key, stays.alias("__stays"), "n").filter("not __stays or n > 1").drop("n"))
+    names, on = docs.columns, ["__t", "__d", "__n"]
+    h = F.xxhash64(*on)
+    some, rest = part_by_keys(docs.withColumns({"__t": t, "__d": F.coalesce(d, F.lit(0)), "__n": d.isNull()}), h, judged, h)
+    some = some.join(judged, on, "left")
+    out = rest.select(*names).unionByName(some.filter("__stays is null").select(*names))
+    if not judged.filter("__stays").isEmpty():
+        order = [f.name for f in docs.schema.fields if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+        one = some.filter("__stays").groupBy(*on).agg(F.min_by(F.struct(*names), F.struct(*order)).alias("x"))
+        out = out.unionByName(one.select("x.*"))
+    return out
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
