@@ -7,12 +7,13 @@ operator's docstring says.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from keyloom.llm import decontaminate, jaccard_join, language_id, line_dedup, mixing
+from keyloom.llm.common import shared_folder
 
 #: Documents whose best language is less probable are rejected.
 MIN_LANGUAGE_SCORE = 0.3
@@ -20,8 +21,8 @@ MIN_LANGUAGE_SCORE = 0.3
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter and those whose language the network can't tell."""
-    found = language_id.identify(docs)
-    return found.filter((found.lang_pred != language_id.UND) & (found.score >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    found = language_id.identify(docs, names=("__lang_pred", "__lang_score"))
+    return found.filter((F.col("__lang_pred") != language_id.UND) & (F.col("__lang_score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +31,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of similar documents."""
+    """Keeps the smallest id of each group of similar texts."""
     return jaccard_join.one_of_each(docs)
 
 
@@ -51,10 +52,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="keyloom-pipeline-")
-    at = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    """The rows of the last stage. What the stages before it wrote is removed once it is written; its own files are the result."""
+    at = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")
         docs = spark.read.parquet(f"{at}/{k}")
+    for k in range(len(STAGES) - 1):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/{k}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return docs

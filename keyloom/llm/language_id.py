@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keyloom.llm.common import fold_of, pieces, table
 
@@ -243,10 +244,10 @@ def fit(docs: DataFrame) -> ByteGru:
     return net.train([pools[k] for k in labels]) if len(labels) > 1 else net
 
 
-def identify(docs: DataFrame, net: ByteGru | None = None) -> DataFrame:
-    """All columns of docs with lang_pred and score (earlier columns of these names are replaced)."""
+def identify(docs: DataFrame, net: ByteGru | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """All columns of docs with label and probability, in columns of these names (earlier ones are replaced)."""
     net = net or fit(docs)
-    own = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    own = [c for c in docs.columns if c not in names]
     # a copy of text as bytes, so that nothing is decoded
     df = docs.select(*own, F.col("text").cast("binary").alias("__bytes"))
 
@@ -254,10 +255,10 @@ def identify(docs: DataFrame, net: ByteGru | None = None) -> DataFrame:
         reader = Reader(net)
         for b in pieces(batches):
             labels, scores = reader.documents(b.column(b.num_columns - 1).to_pylist())
-            yield pa.record_batch([*b.columns[:-1], pa.array(labels, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names[:-1], "lang_pred", "score"])
+            yield pa.record_batch([*b.columns[:-1], pa.array(labels, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names[:-1], *names])
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[:-1])
-    return df.mapInArrow(run, f"{ddl}, lang_pred string, score double")
+    added = [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]
+    return df.mapInArrow(run, T.StructType([*df.schema.fields[:-1], *added]))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

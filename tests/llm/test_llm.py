@@ -542,7 +542,7 @@ def test_jaccard_components(spark, folder, rows):
 
 
 def test_one_of_each_without_ids(spark):
-    """A row without id stays unless its text is in a component with an id; of components without any, one row stays."""
+    """A row without id stays unless its text is in a component with an id; of components without any, one row stays; empty texts all stay."""
     r = random.Random(3)
     own, shared, alone = (prose(r, 40, 10**6) for _ in range(3))
     near = " ".join([*own.split()[:-1], "other"])
@@ -551,7 +551,19 @@ def test_one_of_each_without_ids(spark):
     got = jaccard_join.one_of_each(docs)
     assert got.columns == docs.columns
     got = Counter((x.doc_id, x.text or "") for x in got.collect())
-    assert got in [Counter([(5, shared), (None, t), (None, alone), (7, ""), (None, "")]) for t in (own, near)]
+    assert got in [Counter([(5, shared), (None, t), (None, alone), (7, ""), (None, ""), (None, "")]) for t in (own, near)]
+
+
+def test_one_of_each_keeps_all_texts_of_an_id(spark):
+    """Unrelated texts under one id stay; of equal rows one stays, the same in every run."""
+    r = random.Random(4)
+    a, b, c = (prose(r, 60, 10**6) for _ in range(3))
+    near = " ".join([*a.split()[:-1], "other"])
+    rows = [(1, a, "en", "s", 0), (1, b, "de", "t", 0), (1, b, "en", "u", 0), (1, b, None, None, None), (2, near, "en", "s", 0), (3, c, "en", "s", 0), (3, c, "en", "s", 0), (None, c, "en", "s", 0)]
+    for n in (1, 5):
+        docs = spark.createDataFrame(rows, SCHEMA).withColumn("m", F.create_map(F.lit("k"), F.col("source"))).repartition(n)
+        got = sorted((x.doc_id, x.text, str(x.lang)) for x in jaccard_join.one_of_each(docs).collect())
+        assert got == sorted([(1, a, "en"), (1, b, "None"), (3, c, "en")])
 
 
 @pytest.mark.parametrize("seed,family", [(1, 384), (2, 8), (3, 4)])
@@ -685,7 +697,7 @@ def test_pipeline_stages_by_brute_force(spark, folder, rows, tmp_path):
     import corpus_pipeline
 
     spark.createDataFrame([(7, rows[11][1] + "\n" + " ".join(f"tail{i}" for i in range(9)))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    docs = spark.createDataFrame([(*x[:4], len(x[1] or "")) for x in rows], SCHEMA)
+    docs = spark.createDataFrame([(*x[:4], len(x[1] or "")) for x in rows], SCHEMA).withColumns({"score": F.lit(7.0), "lang_pred": F.lit("own"), "id": F.lit("x"), "t": F.lit(1)})
     cols = docs.columns
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         before = docs.collect()
@@ -696,6 +708,7 @@ def test_pipeline_stages_by_brute_force(spark, folder, rows, tmp_path):
         if k == 0:
             assert all(any(map(str.isalpha, x.text or "")) for x in after) and set(after) <= set(before)
             assert {x for x in before if re.search("w1", x.text or "")} <= set(after)
+            assert {(x.score, x.lang_pred) for x in after} == {(7.0, "own")}
         elif k == 1:
             want = brute_lines([tuple(x) for x in before])
             assert sorted((str(x.doc_id), hashlib.sha256((x.text or "").encode()).hexdigest()) for x in after) == sorted((a, d) for a, _, _, d in want)
