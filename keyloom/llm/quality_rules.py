@@ -1,14 +1,15 @@
 """Quality rules with risk-controlled thresholds (operator 5, DataFrame functions only).
 
-Three ratios (symbols per word character, repeated words per word, duplicate lines per word) are rules of
-the form "reject above a cutoff". Labelled good documents that pass the base rules are the
-holdout; per stratum (language) and rule, the lowest cutoff of a fixed grid is chosen whose false
-rejection rate is below alpha by an exact binomial test: P(Bin(n, alpha) <= k) <= delta / tests. tests
-counts strata x rules (Bonferroni); along the grid no correction is needed, as cutoffs are tested in the
-fixed order from lax to strict and k only grows, so what passes is a run from the lax end. All
-guarantees hold together with confidence 1 - delta. alpha is shared out among the rules, which bounds
-their union. A stratum
-without enough labels gets no cutoff and rejects nothing.
+Three ratios (symbols per word character, duplicate lines per word, repeated words per word) are rules of the form
+"reject above a cutoff". SEQUENCE is a fixed order of joint cutoffs of all three, each rejecting what the one before it
+rejects and more: the symbol, line and repeat rules are tightened over the grid in TURNS.
+Labelled good documents that pass the base rules are the holdout. Per stratum (language), the last joint cutoff of the
+sequence is chosen whose false rejections, by any rule, are below alpha by an exact binomial test:
+P(Bin(n, alpha) <= k) <= delta / tests. Along the sequence no correction is needed: its order is fixed beforehand and k
+only grows, so what passes is a run from its start. tests counts the strata and their pool (Bonferroni), so all
+guarantees hold together with confidence 1 - delta. Strata with fewer labels than zero errors would need to pass are told
+by that number alone, and make up one stratum, the pool; documents of a language without labels belong to it too.
+For these the guarantee is on the pool, not on each of its languages. If nothing passes, nothing is rejected.
 
 Everything about a text is computed inside its row: no shuffle of texts or words.
 
@@ -19,6 +20,10 @@ count once with the lowest quality; empty tables give no rows.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,9 +32,28 @@ from keyloom.llm.common import WS_CHARS, cut, let, table, words
 ALPHA = 0.02
 DELTA = 0.05
 SYMBOLS = "#*$%&|<>"
-#: Cutoffs tried, from strict to lax, in thousandths.
-GRID = (20, 50, 100, 150, 200, 250, 300, 400, 500)
-RULES = ("symbols", "repeats", "lines")
+#: Cutoffs tried by each rule, from lax to strict, in thousandths; OFF rejects nothing, as no ratio exceeds 1.
+GRID, OFF = (500, 400, 300, 250, 200, 150, 100, 50, 20), 1_000_000
+RULES = ("symbols", "lines", "repeats")
+#: How far each rule is tightened in turn, before the next turn.
+TURNS = ((100, 100, 300), (50, 50, 200), (20, 20, 20))
+
+
+def joint_cutoffs(grid=GRID, turns=TURNS) -> tuple[tuple[int, ...], ...]:
+    """Cutoffs by rule, each step tightening one rule by a place of the grid."""
+    now, out = [OFF] * len(RULES), []
+    for turn in turns:
+        for r, least in enumerate(turn):
+            for g in grid:
+                if least <= g < now[r]:
+                    now[r] = g
+                    out.append(tuple(now))
+    return tuple(out)
+
+
+SEQUENCE = joint_cutoffs()
+#: Strata up to which their cutoffs are broadcast.
+FEW = 50_000
 _POS_BITS = 30
 
 
@@ -90,35 +114,46 @@ def binomial_cdf(k: Column, n: Column, p: float) -> Column:
     return F.when(k >= n, F.lit(1.0)).otherwise(terms["sum"])
 
 
-def cutoffs(rows: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, grid=GRID) -> DataFrame:
-    """One row per stratum: the cutoff of each rule, null where none is safe.
+def _rejects(steps) -> list[Column]:
+    """Whether any rule rejects, for each joint cutoff."""
+    r = _ratios()
+    return [reduce(or_, [r[n] * 1000 > c for n, c in zip(RULES, step, strict=True)]) for step in steps]
+
+
+def cutoffs(rows: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, sequence=SEQUENCE) -> DataFrame:
+    """lang, pool, n, step (place in sequence, -1 if nothing is safe): a row for each stratum with labels enough, and one (pool is true) for the others.
 
     Counting is one aggregation over labelled rows, pre-aggregated before the shuffle; what is tested is
-    strata x rules x grid rows.
+    strata x sequence rows.
     """
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality = 1").select("doc_id")
-    hold = rows.filter("not base_failed").select("doc_id", "lang", *[r.alias(n) for n, r in _ratios().items()]).join(good, "doc_id")
-    counts = hold.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(r) * 1000 > g).alias(f"{r}_{g}") for r in RULES for g in grid])
-    tests = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))) * len(RULES)
-    level = alpha / len(RULES)
-    long = counts.withColumn("tests", tests).select(
-        "lang", "n", "tests", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(g).alias("cut"), F.col(f"{r}_{g}").alias("k")) for r in RULES for g in grid])).alias("x")
-    ).select("lang", "n", "tests", "x.*")
+    hold = rows.filter("not base_failed").join(good, "doc_id")
+    ks = [f"k{i}" for i in range(len(sequence))]
+    counts = hold.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(x).alias(k) for k, x in zip(ks, _rejects(sequence), strict=True)])
+    tests = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))) + 1
+    least = F.log(F.lit(delta) / tests) / math.log(1 - alpha)
+    counts = counts.withColumns({"level": F.lit(delta) / tests, "pool": F.col("n") < least})
+    strata = counts.groupBy("pool", F.when(~F.col("pool"), F.col("lang")).alias("lang"), "level").agg(*[F.sum(c).alias(c) for c in ("n", *ks)])
+    long = strata.select("lang", "pool", "n", "level", F.posexplode(F.array(*ks)).alias("step", "k"))
     # k at or above the expected number can't pass; the sum is only formed below it
-    safe = F.when(F.col("k") < F.col("n") * level, binomial_cdf(F.col("k"), F.col("n"), level) <= delta / F.col("tests")).otherwise(False)
-    return long.filter(safe).groupBy("lang").agg(*[F.min(F.when(F.col("rule") == r, F.col("cut"))).alias(f"cut_{r}") for r in RULES])
+    safe = F.when(F.col("k") < F.col("n") * alpha, binomial_cdf(F.col("k"), F.col("n"), alpha) <= F.col("level")).otherwise(False)
+    return long.groupBy("lang", "pool", "n").agg(F.max(F.when(safe, F.col("step")).otherwise(-1)).alias("step"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, grid=GRID) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, sequence=SEQUENCE) -> DataFrame:
+    """Base columns, the cutoffs in thousandths (null: none) and kept for every row of docs."""
     rows = cut(features(docs))
-    lim = cutoffs(rows, labels, alpha, delta, grid).withColumn("s", F.coalesce(F.concat(F.lit("s"), F.col("lang")), F.lit("n"))).drop("lang")
+    name = lambda: F.coalesce(F.concat(F.lit("s"), F.col("lang")), F.lit("n"))
+    found = cut(cutoffs(rows, labels, alpha, delta, sequence))
+    pool = found.filter("pool").first()
+    own = found.filter("not pool").select(name().alias("stratum"), F.col("step").alias("own"))
+    own = F.broadcast(own) if own.count() <= FEW else own
+    at = F.coalesce("own", F.lit(pool.step if pool else -1))
+    step = F.when(at >= 0, F.get(F.array(*[F.array(*map(F.lit, x)) for x in sequence]), at))
+    out = rows.withColumn("stratum", name()).join(own, "stratum", "left").withColumn("cuts", step)
     r = _ratios()
-    bad = F.lit(False)
-    for name in RULES:
-        bad = bad | F.coalesce(r[name] * 1000 > F.col(f"cut_{name}"), F.lit(False))
-    return rows.withColumn("s", F.coalesce(F.concat(F.lit("s"), F.col("lang")), F.lit("n"))).join(lim, "s", "left").select(
-        *rows.columns, *[F.col(f"cut_{n}") for n in RULES], (~F.col("base_failed") & ~bad).alias("kept")
-    )
+    bad = reduce(or_, [F.coalesce(r[n] * 1000 > F.col("cuts")[i], F.lit(False)) for i, n in enumerate(RULES)])
+    return out.select(*rows.columns, *[F.when(F.col("cuts")[i] < OFF, F.col("cuts")[i]).alias(f"cut_{n}") for i, n in enumerate(RULES)], (~F.col("base_failed") & ~bad).alias("kept"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -370,30 +370,64 @@ def test_quality_base(spark, folder, rows):
     assert all(not r.kept for r in got if r.base_failed)
 
 
-def test_thresholds_hold_the_exact_bound(spark):
-    r = random.Random(11)
+def brute_kept(docs, labels, alpha, delta, sequence):
+    """kept of each (doc_id, text, lang) by exact arithmetic."""
+    alpha, delta = (Fraction(x).limit_denominator(1000) for x in (alpha, delta))
+    quality = {}
+    for i, q, _ in labels:
+        if q is not None:
+            quality[i] = min(q, quality.get(i, 1))
+    ratios = {}
+    for i, t, *_ in docs:
+        n, chars, sym, dup, rep = brute_quality(t)
+        ratios[i] = None if n < 50 or 100 * rep > 50 * n else (Fraction(sym, max(chars, 1)), Fraction(dup, max(n, 1)), Fraction(rep, max(n, 1)))
+    bad = lambda i, step: any(1000 * r > c for r, c in zip(ratios[i], step))
+    strata = {}
+    for i, _, lang, *_ in docs:
+        if ratios[i] is not None and quality.get(i) == 1:
+            strata.setdefault(lang, []).append(i)
+    level = delta / (len(strata) + 1)
+    pool = [i for ids in strata.values() if (1 - alpha) ** len(ids) > level for i in ids]
+    own = {lang: ids for lang, ids in strata.items() if (1 - alpha) ** len(ids) <= level}
+
+    def last(ids):
+        out, n = None, len(ids)
+        for step in sequence:
+            k = sum(bad(i, step) for i in ids)
+            if sum(math.comb(n, x) * alpha**x * (1 - alpha) ** (n - x) for x in range(k + 1)) > level:
+                break
+            out = step
+        return out
+
+    rest = last(pool) if pool else None
+    steps = {lang: last(ids) for lang, ids in own.items()}
+    return {i: ratios[i] is not None and not ((step := steps.get(lang, rest)) and bad(i, step)) for i, _, lang, *_ in docs}
+
+
+@pytest.mark.parametrize("n,strata", [(2400, ["en", None, "de"]), (900, ["en", None, "de"]), (120, ["en"])])
+def test_thresholds_hold_the_exact_bound(spark, n, strata):
+    r = random.Random(n)
     docs, labels = [], []
-    for i in range(3000):
+    for i in range(n):
         junk = i % 3 == 0
-        docs.append((i, " ".join(f"w{r.randrange(9999)}" + ("##" if junk and r.random() < 0.8 or r.random() < 0.01 else "") for _ in range(60)), ["en", None][i % 2], "s", 0))
-        labels.append((i, int(not junk), 0))
+        words = [f"w{r.randrange(9999)}" + ("##" if (junk and r.random() < 0.8) or r.random() < 0.01 else "") for _ in range(60)]
+        if i % 4 == 1 or r.random() < 0.02:
+            words += words[: r.randrange(3, 30)]  # repeats
+        text = " ".join(words)
+        if i % 5 == 2 or r.random() < 0.01:
+            text += "\nsame line" * r.randrange(2, 9)
+        docs.append((i, text, strata[min(r.randrange(9) // 4, len(strata) - 1)], "s", 0))
+        labels.append((i, int(not junk and i % 5 != 2 and (i % 4 != 1 or r.random() < 0.05)), 0))
+    docs.append((n, docs[0][1], "unlabelled language", "s", 0))
     labels += labels[:50]
     d, l = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    out = quality_rules.judge(d, l).collect()
-    good = [x for x in out if x.doc_id % 3]
-    assert sum(x.kept for x in out if x.doc_id % 3 == 0) < 100 and sum(not x.kept for x in good) <= 0.02 * len(good)
-    # the cutoff of the symbol rule, by exact arithmetic
-    p = Fraction(quality_rules.ALPHA).limit_denominator(1000) / 3
-    delta = Fraction(1, 20) / (2 * 3)
-    for lang in ("en", None):
-        ratios = [x.n_symbols / x.word_chars * 1000 for x in good if docs[x.doc_id][2] == lang]
-        n, best = len(ratios), None
-        for g in quality_rules.GRID:
-            k = sum(x > g for x in ratios)
-            if sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)) <= delta:
-                best = g
-                break
-        assert {x.cut_symbols for x in out if docs[x.doc_id][2] == lang} == {best}
+    got = quality_rules.judge(d, l).collect()
+    assert {x.doc_id: x.kept for x in got} == brute_kept(docs, labels, quality_rules.ALPHA, quality_rules.DELTA, quality_rules.SEQUENCE)
+    rejected = [x for x in got if not x.kept and not x.base_failed]
+    assert all(all(b <= a for a, b in zip(x, y)) and x != y for x, y in zip(quality_rules.SEQUENCE, quality_rules.SEQUENCE[1:]))
+    if n > 1000:
+        assert {c for x in got for c in ("cut_symbols", "cut_lines", "cut_repeats") if x[c] is not None} == {"cut_symbols", "cut_lines", "cut_repeats"}
+    assert n == 900 or bool(rejected) == (n > 900)
 
 
 def test_license_base(spark, folder, rows):
