@@ -443,16 +443,65 @@ def test_license_base(spark, folder, rows):
     assert all(set(r.base_labels.split(",")) - {""} <= set(r.labels.split(",")) and 0 <= r.score <= 1 for r in got)
 
 
-def test_license_spans(spark):
-    notice = dict((t, l) for l, t in license_scan.TEMPLATES)
-    bsd = next(t for t, l in notice.items() if l == "bsd")
-    edited = bsd.replace("binary forms", "binary file forms")
-    texts = [f"alpha beta {bsd} gamma", f"Alpha {edited.upper()} gamma", "redistribution and use in source and nothing more", "Licensed under CC BY-NC 4.0.", None]
-    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], SCHEMA)
-    got = {r.doc_id: r for r in license_scan.scan(docs).collect()}
-    assert [got[i].labels for i in range(5)] == ["bsd", "bsd", "", "cc-by-nc", ""]
-    found = {(r.doc, r.label): (r.start, r.end) for r in license_scan.spans(docs).collect()}
-    assert found[0, "bsd"] == (2, 2 + len(bsd.split())) and found[1, "bsd"] == (1, 2 + len(bsd.split()))
+NOT_ASCII_WORD = re.compile(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def brute_spans(text, templates, k=4, gap=2, cover=0.8):
+    """(label, start, end, score) of every span, by comparing all words."""
+    cut_words = lambda t: [w for w in NOT_ASCII_WORD.split(lower(t or "")) if w]
+    ws, out = cut_words(text), set()
+    for label, body in templates:
+        tw = cut_words(body)
+        width = min(k, len(tw))
+        hits = sorted((i - j, i, j) for i in range(len(ws) - width + 1) for j in range(len(tw) - width + 1) if ws[i : i + width] == tw[j : j + width])
+        run = []
+        for h in [*hits, None]:
+            if run and (h is None or h[0] - run[-1][0] > (gap if len(tw) > width else 0)):
+                score = len({j + d for _, _, j in run for d in range(width)}) / len(tw)
+                if score >= cover:
+                    out.add((label, min(i for _, i, _ in run), max(i for _, i, _ in run) + width, round(score, 9)))
+                run = []
+            run.append(h)
+    return out
+
+
+@pytest.mark.parametrize("listed,max_grams", [(4096, 200_000), (0, 200_000), (0, 3)])
+def test_license_spans(spark, listed, max_grams):
+    r = random.Random(21)
+    texts = [None, "", "redistribution and use in source and nothing more", "Licensed under CC BY-NC 4.0.", "All  Rights-Reserved. x all rights reserved all rights", "LİCENSED UNDER CC BY 4.0", "licensed under cc by 4 0 " * 3]
+    for label, body in license_scan.TEMPLATES:
+        for edits in (0, 1, 2, 3, 9):
+            words = body.split()
+            for _ in range(edits):
+                at = r.randrange(len(words))
+                words[at : at + 1] = r.choice([[], ["changed"], [words[at], "put", "in"]])
+            texts.append(f"{prose(r, r.randrange(6))} {' '.join(words).upper() if edits == 1 else '-'.join(words)} {prose(r, r.randrange(6))}")
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    got = {}
+    for x in license_scan.spans(docs, listed=listed, max_grams=max_grams).collect():
+        got.setdefault(x.doc_id, set()).add((x.label, x.start, x.end, round(x.score, 9)))
+    want = {i: s for i, t in enumerate(texts) if (s := brute_spans(t, license_scan.TEMPLATES))}
+    assert got == want and {label for label, _ in license_scan.TEMPLATES} == {label for s in want.values() for label, *_ in s}
+    # one changed word, and one left out, are no hindrance
+    long = next(b for label, b in license_scan.TEMPLATES if label == "mpl").split()
+    for words in (long[:7] + ["changed"] + long[8:], long[:7] + long[8:]):
+        assert any(s[0] == "mpl" for s in brute_spans(" ".join(words), license_scan.TEMPLATES))
+    labels = {x.doc_id: (x.labels, x.base_labels, x.score) for x in license_scan.scan(docs, listed=listed, max_grams=max_grams).collect()}
+    for i in range(len(texts)):
+        found = want.get(i, set())
+        assert set(labels[i][0].split(",")) - {""} == {s[0] for s in found} | (set(labels[i][1].split(",")) - {""})
+        assert math.isclose(labels[i][2], 1.0 if labels[i][1] else max((s[3] for s in found), default=0.0), abs_tol=1e-8)
+
+
+def test_license_scan_of_a_long_text_is_linear(spark):
+    r = random.Random(2)
+    took = []
+    for n in (40_000, 320_000):
+        docs = spark.createDataFrame([(1, prose(r, n) + " released under the mit license", None, None, 0)], SCHEMA)
+        t = time.time()
+        assert license_scan.scan(docs).first().labels == "mit"
+        took.append(time.time() - t)
+    assert took[1] < 60
 
 
 def test_url_rules(spark, folder):
