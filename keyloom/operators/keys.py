@@ -46,22 +46,23 @@ def info(keys: DataFrame, now_us: Column) -> DataFrame:
     return live.agg(F.count(F.lit(1)).alias("total_keys"), *[F.count_if(F.col("type") == t).alias(f"{t}_keys") for t in TYPES])
 
 
-def totals_before(points: DataFrame, edges: DataFrame, order: list[str], sums: list[str]) -> DataFrame:
-    """points with, for each of sums, its total over the edges that come before the point.
+def totals_before(points: DataFrame, edges: DataFrame, order: list[str], sums: list[str], by: list[str] = ()) -> DataFrame:
+    """points with, for each of sums, its total over the edges (of the same by) that come before the point.
 
     Both have the columns of order and bucket, a coarse number that never falls along the order. Edges are summed by bucket, and
     only these totals, one row a bucket, are accumulated in one task; edges are sorted only in the buckets that hold a point.
     """
-    asked = points.select("bucket").distinct()
+    at = [*by, "bucket"]
+    asked = points.select(*at).distinct()
     none = [F.lit(0).cast("bigint").alias(c) for c in sums]
     total = [F.sum(c).alias(c) for c in sums]
-    whole = edges.groupBy("bucket").agg(*total).unionByName(asked.select("bucket", *none)).groupBy("bucket").agg(*total)
-    before = Window.partitionBy(F.lit(0)).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = whole.select("bucket", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"base_{c}") for c in sums]).join(asked, "bucket", "left_semi")
-    near = edges.join(asked, "bucket", "left_semi").select("bucket", *order, *sums)
-    line = near.unionByName(points.select("bucket", *order, *none, F.struct(*points.columns).alias("point")), allowMissingColumns=True)
-    upto = Window.partitionBy("bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    got = line.withColumns({c: F.sum(c).over(upto) for c in sums}).filter("point is not null").join(base, "bucket")
+    whole = edges.groupBy(*at).agg(*total).unionByName(asked.select(*at, *none)).groupBy(*at).agg(*total)
+    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = whole.select(*at, *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"base_{c}") for c in sums]).join(asked, at, "left_semi")
+    near = edges.join(asked, at, "left_semi").select(*at, *order, *sums)
+    line = near.unionByName(points.select(*at, *order, *none, F.struct(*points.columns).alias("point")), allowMissingColumns=True)
+    upto = Window.partitionBy(*at).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    got = line.withColumns({c: F.sum(c).over(upto) for c in sums}).filter("point is not null").join(base, at)
     return got.select("point.*", *[(F.col(c) + F.col(f"base_{c}")).alias(c) for c in sums])
 
 

@@ -34,6 +34,8 @@ ARITY = {
     "ZADD": (3, None, 2), "ZCARD": (1, 1, 1), "ZRANGE": (3, 3, 1), "ZREMRANGEBYSCORE": (3, 3, 1), "PUBLISH": (2, 2, 1),
 }
 TYPE_OF = {"INCR": "string", "GET": "string"} | {c: t for t, cs in {"hash": "HSET HGET HDEL HGETALL", "list": "LPUSH RPUSH LPOP RPOP LRANGE", "set": "SADD SREM SMEMBERS SISMEMBER SCARD", "zset": "ZADD ZCARD ZRANGE ZREMRANGEBYSCORE"}.items() for c in cs.split()}
+#: Commands of any number of keys; each key's part is folded alone.
+MANY = {"DEL", "EXISTS"}
 #: Commands on a key whose empty name is no error.
 ANY_NAME = {"DEL", "EXISTS", "TYPE", "EXPIRE", "TTL"}
 
@@ -276,7 +278,7 @@ class Key:
         return self._remove(e, [m for m, s in e.value.items() if low <= s <= high] if e else [], now, lambda x: e.value.pop(x))
 
 
-OUT = f"seq bigint, pos bigint, sub bigint, reply {REPLY}, state struct<key:string,type:string,expires_at_us:bigint,created_at_us:bigint,updated_at_us:bigint,member:string,value:string,idx:bigint,score:double>, life struct<type:string,from_ts:bigint,from_seq:bigint,from_pos:bigint,to_ts:bigint,to_seq:bigint,to_pos:bigint,deadline:bigint>"
+OUT = f"seq bigint, pos bigint, sub bigint, parts boolean, reply {REPLY}, state struct<key:string,type:string,expires_at_us:bigint,created_at_us:bigint,updated_at_us:bigint,member:string,value:string,idx:bigint,score:double>, life struct<type:string,from_ts:bigint,from_seq:bigint,from_pos:bigint,to_ts:bigint,to_seq:bigint,to_pos:bigint,deadline:bigint>"
 _REPLY = pa.struct([("kind", pa.string()), ("int", pa.int64()), ("str", pa.string()), ("arr", pa.list_(pa.string()))])
 _STATE = pa.struct([("key", pa.string()), ("type", pa.string()), ("expires_at_us", pa.int64()), ("created_at_us", pa.int64()), ("updated_at_us", pa.int64()), ("member", pa.string()), ("value", pa.string()), ("idx", pa.int64()), ("score", pa.float64())])
 _LIFE = pa.struct([("type", pa.string())] + [(n, pa.int64()) for n in ("from_ts", "from_seq", "from_pos", "to_ts", "to_seq", "to_pos", "deadline")])
@@ -298,30 +300,31 @@ def fold_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     name, key, open_life, rows = None, None, None, []  # open_life: type, deadline, (ts, seq, pos) of its start
 
     def flush():
-        out = pa.record_batch(
-            [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), _REPLY, _STATE, _LIFE))], ["seq", "pos", "sub", "reply", "state", "life"]
-        )
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), _REPLY, _STATE, _LIFE)
+        out = pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["seq", "pos", "sub", "parts", "reply", "state", "life"])
         rows.clear()
         return out
 
     def end_life(ts=None, seq=None, pos=None):
         if open_life is not None:
             kind, deadline, start = open_life
-            rows.append((None, None, None, None, None, dict(zip(("from_ts", "from_seq", "from_pos"), start, strict=True)) | {"type": kind, "to_ts": ts, "to_seq": seq, "to_pos": pos, "deadline": deadline}))
+            rows.append((None, None, None, None, None, None, dict(zip(("from_ts", "from_seq", "from_pos"), start, strict=True)) | {"type": kind, "to_ts": ts, "to_seq": seq, "to_pos": pos, "deadline": deadline}))
 
     def close():
         end_life()
         if key is not None and key.entry is not None:
             for s in state_rows(name, key.entry):
-                rows.append((None, None, None, None, s, None))
+                rows.append((None, None, None, None, None, s, None))
+                if len(rows) > 20_000:
+                    yield flush()
 
     for b in batches:
         for k, seq, pos, sub, ts, cmd, rest in zip(*(b.column(c).to_pylist() for c in ("key", "seq", "pos", "sub", "ts_us", "cmd", "rest")), strict=True):
             if key is None or k != name:
-                close()
+                yield from close()
                 name, key, open_life = k, Key(), None
             kind, n, s, arr = key.step(cmd, k, rest, ts)
-            rows.append((seq, pos, sub, {"kind": kind, "int": n, "str": s, "arr": arr}, None, None))
+            rows.append((seq, pos, sub, cmd in MANY, {"kind": kind, "int": n, "str": s, "arr": arr}, None, None))
             e = key.entry
             now = None if e is None else (e.type, e.expires)
             if now != (None if open_life is None else open_life[:2]):
@@ -329,7 +332,7 @@ def fold_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 open_life = None if now is None else (*now, (ts, seq, pos))
             if len(rows) > 20_000:
                 yield flush()
-    close()
+    yield from close()
     if rows:
         yield flush()
 

@@ -3,6 +3,9 @@
 All connection state is closed form. In a batch: the last of MULTI, EXEC, DISCARD and QUIT before a row is a
 MULTI. Subscribed: the running number of open channels is above zero. A queued command runs at its
 EXEC's place and time, one batch without others in between. INFO relies on times that never fall along seq.
+
+The log with its connection state, and the fold, are written once to the shared folder; every kind of reply is read
+from there. What a log has no command for isn't planned: without connection commands nothing is dealt by connection.
 """
 
 from __future__ import annotations
@@ -10,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keyloom.functions.shared import cut
 from keyloom.operators.keys import info_text, totals_before
 from keyloom.plans.fold import ARITY, fold
 
@@ -123,79 +127,127 @@ def _arity_error() -> Column:
     return bad
 
 
-def run_log(log: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(replies, folded). replies: seq, pos, reply; a (UN)SUBSCRIBE has one per channel, an EXEC one per queued
-    command (pos from 0; size in the EXEC's own row, pos -1), every other command one at pos 0. folded: see plans.fold."""
-    x = connections(log)
-    steps, resets = subscription_steps(x)
-    subs = subscription_replies(steps, resets)
-    control = F.col("cmd").isin(*CONTROL)
+def _found(log: DataFrame) -> set[str]:
+    """Which of the commands that need plans of their own are in the log."""
+    names = (*CONTROL, "PUBLISH", "INFO")
+    got = log.select(F.upper("cmd").alias("cmd")).agg(*[F.bool_or(F.col("cmd") == c).alias(c) for c in names]).first()
+    return {c for c in names if got[c]}
+
+
+def _instant() -> Column:
+    """The reply that a connection gives without running the command, else null."""
     ok = reply("simple", s=F.lit("OK"))
-    # channels open before each row of a connection that ever subscribes
-    edges = steps.select("conn_id", "seq", "d").unionByName(resets.join(steps.groupBy("conn_id", "epoch").agg(F.sum("d").alias("d")), ["conn_id", "epoch"]).select("conn_id", "seq", (-F.col("d")).alias("d")))
-    per_row = edges.groupBy("conn_id", "seq").agg(F.sum("d").alias("d"))
-    w = Window.partitionBy("conn_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    x = x.join(per_row, ["conn_id", "seq"], "left").withColumn("subscribed", F.coalesce(F.sum("d").over(w), F.lit(0)) > 0).drop("d")
-
-    queued = F.col("in_tx") & ~control
-    instant = (
+    return (
         F.when(F.col("cmd") == "QUIT", ok)
         .when((F.col("cmd") == "SUBSCRIBE") & (F.size("args") == 0), error("ERR wrong number of arguments for 'SUBSCRIBE' command"))
         .when(F.col("cmd").isin("SUBSCRIBE", "UNSUBSCRIBE"), F.lit(None))
         .when(F.col("cmd") == "MULTI", F.when(F.col("in_tx"), error("ERR MULTI calls can not be nested")).otherwise(ok))
         .when(F.col("cmd") == "EXEC", F.when(~F.col("in_tx"), error("ERR EXEC without MULTI")))
         .when(F.col("cmd") == "DISCARD", F.when(F.col("in_tx"), ok).otherwise(error("ERR DISCARD without MULTI")))
-        .when(queued, reply("simple", s=F.lit("QUEUED")))
+        .when(F.col("in_tx"), reply("simple", s=F.lit("QUEUED")))
         .when(F.col("subscribed") & (F.col("cmd") != "PING"), error(SUB_ONLY))
     )
-    x = x.withColumns({"instant": instant, "queued": queued})
-    direct = x.filter("instant is not null").select("seq", F.lit(0).cast("bigint").alias("pos"), F.col("instant").alias("reply"))
 
-    # what the data side executes: place (at), reply address (seq, pos), time
-    runs = x.filter((F.col("queued") & (F.col("end_cmd") == "EXEC")) | (F.col("instant").isNull() & ~control))
-    pos = F.when(F.col("queued"), F.row_number().over(Window.partitionBy("conn_id", "tx", "queued").orderBy("seq")) - 1).otherwise(F.lit(0)).cast("bigint")
-    runs = runs.select("conn_id", "cmd", "args", pos.alias("pos"), F.when(F.col("queued"), F.col("end_seq")).otherwise(F.col("seq")).alias("seq"), F.when(F.col("queued"), F.col("end_ts")).otherwise(F.col("ts_us")).alias("ts_us"))
-    # a batch is one place of the order: its commands share the seq of EXEC and follow each other
-    execs = x.filter((F.col("cmd") == "EXEC") & F.col("in_tx")).select("seq").join(runs.groupBy("seq").agg(F.count(F.lit(1)).alias("n")), "seq", "left")
-    exec_heads = execs.select("seq", F.lit(-1).cast("bigint").alias("pos"), reply("batch", n=F.coalesce("n", F.lit(0))).alias("reply"))
 
+def _plain() -> Column:
+    """The reply of a command that needs no data, else null."""
     known = F.col("cmd").isin(*ARITY, "COMMAND", "INFO")
-    bad = error(F.concat(F.lit("ERR wrong number of arguments for '"), F.col("cmd"), F.lit("' command")))
-    plain = (
+    return (
         F.when(~known, error(F.concat(F.lit("ERR unknown command '"), F.col("cmd"), F.lit("'"))))
-        .when(_arity_error(), bad)
+        .when(_arity_error(), error(F.concat(F.lit("ERR wrong number of arguments for '"), F.col("cmd"), F.lit("' command"))))
         .when(F.col("cmd") == "PING", F.when(F.size("args") == 0, reply("simple", s=F.lit("PONG"))).otherwise(reply("bulk", s=F.get("args", F.lit(0)))))
-        .when(F.col("cmd") == "COMMAND", ok)
+        .when(F.col("cmd") == "COMMAND", reply("simple", s=F.lit("OK")))
     )
-    runs = runs.withColumn("plain", plain)
-    simple = runs.filter("plain is not null").select("seq", "pos", F.col("plain").alias("reply"))
+
+
+def run_log(log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(replies, folded). replies: seq, pos, reply; a (UN)SUBSCRIBE has one per channel, an EXEC one per queued
+    command (pos from 0; size in the EXEC's own row, pos -1), every other command one at pos 0. folded: see plans.fold."""
+    has = _found(log)
+    batches, subscribes = has & {"MULTI", "EXEC", "DISCARD"}, has & {"SUBSCRIBE", "UNSUBSCRIBE"}
+    control = F.col("cmd").isin(*CONTROL)
+    zero = F.lit(0).cast("bigint")
+    if has & set(CONTROL):
+        x = cut(connections(log))
+    else:
+        none = {n: F.lit(None).cast(t) for n, t in (("tx", "bigint"), ("end_cmd", "string"), ("end_seq", "bigint"), ("end_ts", "bigint"))}
+        x = log.withColumns({"cmd": F.upper("cmd"), "in_tx": F.lit(False)} | none)
+    parts = []
+    if subscribes:
+        steps, resets = (cut(df) for df in subscription_steps(x))
+        parts.append(subscription_replies(steps, resets))
+        # channels open before each row of a connection that ever subscribes
+        edges = steps.select("conn_id", "seq", "d").unionByName(resets.join(steps.groupBy("conn_id", "epoch").agg(F.sum("d").alias("d")), ["conn_id", "epoch"]).select("conn_id", "seq", (-F.col("d")).alias("d")))
+        per_row = edges.groupBy("conn_id", "seq").agg(F.sum("d").alias("d"))
+        w = Window.partitionBy("conn_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+        x = x.join(per_row, ["conn_id", "seq"], "left").withColumn("subscribed", F.coalesce(F.sum("d").over(w), F.lit(0)) > 0).drop("d")
+    else:
+        x = x.withColumn("subscribed", F.lit(False))
+    x = x.withColumns({"instant": _instant(), "queued": F.col("in_tx") & ~control})
+    x = cut(x) if subscribes else x
+
+    # what the data side executes: place (at), reply address (seq, pos), time
+    runs = x.filter((F.col("queued") & (F.col("end_cmd") == "EXEC")) | (F.col("instant").isNull() & ~control))
+    if has & set(CONTROL):
+        parts.append(x.filter("instant is not null").select("seq", zero.alias("pos"), F.col("instant").alias("reply")))
+    if batches:
+        # a batch is one place of the order: its commands share the seq of EXEC and follow each other
+        pos = F.when(F.col("queued"), F.row_number().over(Window.partitionBy("conn_id", "tx", "queued").orderBy("seq")) - 1).otherwise(zero).cast("bigint")
+        # commands outside of batches aren't numbered, so they are left where they are
+        alone = runs.filter("not queued").select("cmd", "args", zero.alias("pos"), "seq", "ts_us")
+        inside = runs.filter("queued").select("cmd", "args", pos.alias("pos"), F.col("end_seq").alias("seq"), F.col("end_ts").alias("ts_us"))
+        execs = x.filter((F.col("cmd") == "EXEC") & F.col("in_tx")).select("seq").join(inside.groupBy("seq").agg(F.count(F.lit(1)).alias("n")), "seq", "left")
+        parts.append(execs.select("seq", F.lit(-1).cast("bigint").alias("pos"), reply("batch", n=F.coalesce("n", F.lit(0))).alias("reply")))
+        runs = alone.unionByName(inside)
+    else:
+        runs = runs.select("cmd", "args", zero.alias("pos"), "seq", "ts_us")
+    runs = runs.withColumn("plain", _plain())
+    runs = cut(runs) if batches else runs
+    parts.append(runs.filter("plain is not null").select("seq", "pos", F.col("plain").alias("reply")))
 
     keyed = runs.filter(F.col("plain").isNull() & F.col("cmd").isin(*KEYED))
     many = F.col("cmd").isin("DEL", "EXISTS")
     keyed = keyed.select("seq", "pos", "ts_us", "cmd", "args", F.posexplode(F.when(many, F.col("args")).otherwise(F.slice("args", 1, 1))).alias("sub", "key"))
     rest = F.when(F.col("cmd").isin("DEL", "EXISTS"), F.array().cast("array<string>")).otherwise(F.slice("args", 2, F.greatest(F.size("args") - 1, F.lit(1))))
-    folded = fold(keyed.select("key", "seq", "pos", F.col("sub").cast("bigint").alias("sub"), "ts_us", "cmd", rest.alias("rest")))
+    folded = cut(fold(keyed.select("key", "seq", "pos", F.col("sub").cast("bigint").alias("sub"), "ts_us", "cmd", rest.alias("rest"))))
     got = folded.filter("reply is not null")
-    # DEL and EXISTS are summed over their keys; every other command has one part
-    data = got.groupBy("seq", "pos").agg(F.sum("reply.int").alias("n"), F.first("reply").alias("r")).select(
-        "seq", "pos", F.struct(F.col("r.kind").alias("kind"), F.col("n").cast("bigint").alias("int"), F.col("r.str").alias("str"), F.col("r.arr").alias("arr")).alias("reply")
-    )
+    # DEL and EXISTS are summed over their keys, and told by their parts; every other command has one
+    summed = got.filter("parts").groupBy("seq", "pos").agg(F.sum("reply.int").cast("bigint").alias("n")).select("seq", "pos", reply("int", n=F.col("n")).alias("reply"))
+    parts += [got.filter("not parts").select("seq", "pos", "reply"), summed]
+
+    spans = cut(subscription_intervals(steps, resets)) if subscribes else None
+    if "PUBLISH" in has:
+        pubs = runs.filter(F.col("plain").isNull() & (F.col("cmd") == "PUBLISH")).select("seq", "pos", F.col("args")[0].alias("channel"))
+        parts.append(_published(pubs, spans) if subscribes else pubs.select("seq", "pos", reply("int", n=zero).alias("reply")))
+    if "INFO" in has:
+        parts.append(_told(runs, folded, spans))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out, folded
 
-    spans = subscription_intervals(steps, resets)
-    pubs = runs.filter(F.col("plain").isNull() & (F.col("cmd") == "PUBLISH")).select("seq", "pos", F.col("args")[0].alias("channel"))
-    edge = spans.select("sub", "channel", F.col("from_seq").alias("seq"), F.lit(1).alias("d")).unionByName(spans.filter("to_seq is not null").select("sub", "channel", F.col("to_seq").alias("seq"), F.lit(-1).alias("d")))
-    line = pubs.select("channel", "seq", "pos", F.lit(0).alias("d")).unionByName(edge.select("channel", "seq", F.lit(-2).cast("bigint").alias("pos"), "d"))
-    n = F.sum("d").over(Window.partitionBy("channel").orderBy("seq", "pos").rowsBetween(Window.unboundedPreceding, 0))
-    published = line.withColumn("n", n).filter("pos >= 0").select("seq", "pos", reply("int", n=F.col("n")).alias("reply"))
 
-    infos = runs.filter(F.col("plain").isNull() & (F.col("cmd") == "INFO")).select("seq", "pos", "ts_us", F.lit(1).alias("rank"))
-    t = totals_before(infos.withColumn("bucket", F.expr(f"ts_us div {INFO_US}")), key_edges(folded), ["ts_us", "rank", "seq", "pos"], ["total", "string", "hash", "list", "set"])
-    hub = occupancy(edge, "channel", "channels").unionByName(occupancy(edge, "sub", "subscribers"), allowMissingColumns=True).fillna(0)
+def _edges(spans: DataFrame) -> DataFrame:
+    """sub, channel, seq, d: where a subscription begins (1) and ends (-1)."""
+    return spans.select("sub", "channel", F.col("from_seq").alias("seq"), F.lit(1).alias("d")).unionByName(spans.filter("to_seq is not null").select("sub", "channel", F.col("to_seq").alias("seq"), F.lit(-1).alias("d")))
+
+
+def _published(pubs: DataFrame, spans: DataFrame) -> DataFrame:
+    """Replies of PUBLISH: subscribers at its place, as totals of the channel's edges up to it."""
     by_seq = F.expr(f"seq div {INFO_SEQ}")
-    h = totals_before(infos.select("seq", "pos", by_seq.alias("bucket")), hub.withColumn("bucket", by_seq), ["seq"], ["channels", "subscribers"])
-    told = t.join(h, ["seq", "pos"]).select("seq", "pos", reply("bulk", s=info_text(*(F.col(c) for c in ("total", "string", "hash", "list", "set", "channels", "subscribers")))).alias("reply"))
+    points = pubs.select("channel", "seq", "pos", by_seq.alias("bucket"))
+    edges = _edges(spans).select("channel", "seq", F.lit(-2).cast("bigint").alias("pos"), F.col("d").cast("bigint").alias("n"), by_seq.alias("bucket"))
+    return totals_before(points, edges, ["seq", "pos"], ["n"], by=["channel"]).select("seq", "pos", reply("int", n=F.col("n")).alias("reply"))
 
-    out = direct
-    for part in (subs, exec_heads, simple, data, published, told):
-        out = out.unionByName(part)
-    return out, folded
+
+def _told(runs: DataFrame, folded: DataFrame, spans: DataFrame | None) -> DataFrame:
+    """Replies of INFO."""
+    infos = runs.filter(F.col("plain").isNull() & (F.col("cmd") == "INFO")).select("seq", "pos", "ts_us", F.lit(1).alias("rank"))
+    out = totals_before(infos.withColumn("bucket", F.expr(f"ts_us div {INFO_US}")), key_edges(folded), ["ts_us", "rank", "seq", "pos"], ["total", "string", "hash", "list", "set"])
+    if spans is None:
+        out = out.withColumns({"channels": F.lit(0), "subscribers": F.lit(0)})
+    else:
+        by_seq, edge = F.expr(f"seq div {INFO_SEQ}"), _edges(spans)
+        hub = occupancy(edge, "channel", "channels").unionByName(occupancy(edge, "sub", "subscribers"), allowMissingColumns=True).fillna(0)
+        out = out.join(totals_before(infos.select("seq", "pos", by_seq.alias("bucket")), hub.withColumn("bucket", by_seq), ["seq"], ["channels", "subscribers"]), ["seq", "pos"])
+    return out.select("seq", "pos", reply("bulk", s=info_text(*(F.col(c) for c in ("total", "string", "hash", "list", "set", "channels", "subscribers")))).alias("reply"))
