@@ -9,7 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 INT = r"^[+-]?[0-9]+$"
-FLOAT = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?(?i:inf|infinity)$|^(?i:nan)$"
+FLOAT = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?0[xX]([0-9a-fA-F]+(\.[0-9a-fA-F]*)?|\.[0-9a-fA-F]+)[pP][+-]?[0-9]+$|^[+-]?(?i:inf|infinity)$|^(?i:nan)$"
+_HEX = re.compile(r"[+-]?0[xX](?:[0-9a-fA-F]+(?:\.[0-9a-fA-F]*)?|\.[0-9a-fA-F]+)[pP][+-]?[0-9]+", re.ASCII)
 MAX, MIN = 2**63 - 1, -(2**63)
 
 
@@ -19,7 +20,7 @@ def int_column(text: Column) -> Column:
 
 
 def float_column(text: Column) -> Column:
-    """DOUBLE of decimal text, infinities and NaN, else null; finite text that overflows is null."""
+    """DOUBLE of decimal or hexadecimal text (this with an exponent), infinities and NaN, else null; finite text that overflows is null."""
     low = F.lower(text)
     named = F.when(low.rlike(r"^\+?inf"), F.lit(math.inf)).when(low.rlike("^-inf"), F.lit(-math.inf)).when(low == "nan", F.lit(math.nan))
     number = text.try_cast("double")
@@ -35,6 +36,11 @@ def parse_int(text: str) -> int | None:
 
 
 def parse_float(text: str) -> float | None:
+    if _HEX.fullmatch(text):
+        try:
+            return float.fromhex(text)
+        except OverflowError:
+            return None
     if not re.fullmatch(r"[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|[+-]?(?:inf|infinity)|nan", text, re.ASCII | re.IGNORECASE):
         return None
     x = float(text)

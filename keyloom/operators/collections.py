@@ -56,9 +56,10 @@ def hgetall(fields: DataFrame) -> DataFrame:
 
 
 def put(fields: DataFrame, update: DataFrame) -> DataFrame:
-    """HSET on a snapshot: fields of update win."""
-    new = update.dropDuplicates(["key", "member"])
-    return fields.join(new.select("key", "member"), ["key", "member"], "left_anti").unionByName(new)
+    """HSET on a snapshot: fields of update (key, member, value, and seq if a field is repeated) win, the last of each."""
+    key, rest = ["key", "member"], [c for c in update.columns if c not in ("key", "member", "seq")]
+    new = update.groupBy(*key).agg(*[F.max_by(c, "seq").alias(c) for c in rest]) if "seq" in update.columns else update
+    return fields.join(new.select(*key), key, "left_anti").unionByName(new)
 
 
 def zrange(members: DataFrame, start: int, stop: int) -> DataFrame:

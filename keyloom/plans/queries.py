@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from keyloom.functions import patterns
 from keyloom.functions.parse import incremented, int_column, ttl_column
 from keyloom.operators import collections, keys, lists, pubsub, strings
+from keyloom.plans.fold import relations
 from keyloom.plans.session import run_log
-from keyloom.sources.resp import encode_reply
-from keyloom.sources.tables import command_log, events, table
+from keyloom.sources.resp import encode_command_column, encode_message, encode_reply, parse_streams
+from keyloom.sources.tables import command_log, events, score_log, subscriber_log, table, typed_log
 
 HOUR = 3_600_000_000
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -426,13 +427,128 @@ def multi_exec_discard(spark, sf):
     return replies.select((F.call_function("div", F.col("seq"), wide) * 10_000_000 + F.when(n == wide - 1, 9_999_999).otherwise(n)).alias("seq"), "pos", F.regexp_replace(encode_reply(F.col("reply")), "\r\n", "").alias("reply"))
 
 
-@query(None)
+CRLF = "chr(13) || chr(10)"
+BULK = lambda x: f"'$' || octet_length(encode({x})) || {CRLF} || {x} || {CRLF}"
+NIL = f"'$-1' || {CRLF}"
+INT = lambda x: f"':' || ({x}) || {CRLF}"
+
+#: One family of keys after the other; counters and deques are order-dependent and go through their commands one by one.
+MIXED = f"""WITH RECURSIVE {E}, m AS (SELECT *, seq % 16 AS k FROM e),
+sw AS (SELECT key, seq, k, ts_us, last_value(CASE WHEN k IN (0, 13) THEN seq END IGNORE NULLS) OVER w AS wseq, last_value(CASE WHEN k IN (0, 13) THEN ts_us END IGNORE NULLS) OVER w AS wts
+  FROM m WHERE k IN (0, 2, 13) WINDOW w AS (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+sa AS (SELECT *, coalesce(wseq % 16 = 0 AND ts_us < wts + 86400000000, false) AS alive FROM sw),
+nl AS (SELECT key, seq, k, ts_us, row_number() OVER (PARTITION BY key ORDER BY seq) AS i FROM m WHERE k IN (1, 3, 13, 15)),
+nr AS (SELECT DISTINCT key, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS BIGINT) AS k, CAST(NULL AS BIGINT) AS v, CAST(NULL AS BIGINT) AS dl, CAST(NULL AS BIGINT) AS r FROM nl
+  UNION ALL SELECT key, i, seq, k, CASE k WHEN 1 THEN coalesce(a, 0) + 1 WHEN 13 THEN NULL ELSE a END, CASE WHEN a IS NULL OR k = 13 THEN NULL WHEN k = 3 THEN ts_us + 43200000000 ELSE dl END,
+    CASE k WHEN 1 THEN coalesce(a, 0) + 1 WHEN 15 THEN CASE WHEN a IS NULL THEN -2 WHEN dl IS NULL THEN -1 ELSE (dl - ts_us) // 1000000 END ELSE CAST(a IS NOT NULL AS BIGINT) END
+  FROM (SELECT nl.*, CASE WHEN nr.dl IS NULL OR nl.ts_us < nr.dl THEN nr.v END AS a, nr.dl FROM nr JOIN nl ON nl.key = nr.key AND nl.i = nr.i + 1)),
+hl AS (SELECT key, seq, k, lag(k) OVER (PARTITION BY key, event_type ORDER BY seq) AS p FROM m WHERE k IN (4, 5)),
+hr AS (SELECT key, seq, k, CASE WHEN k = 4 THEN CAST(p IS DISTINCT FROM 4 AS BIGINT) ELSE CAST(coalesce(p = 4, false) AS BIGINT) END AS r FROM hl),
+hx AS (SELECT key, seq, k, sum(d) OVER (PARTITION BY key ORDER BY seq) > 0 AS held FROM (SELECT key, seq, k, CASE k WHEN 4 THEN r ELSE -r END AS d FROM hr UNION ALL SELECT key, seq, k, 0 FROM m WHERE k = 14)),
+ll AS (SELECT key, seq, k, event_type, row_number() OVER (PARTITION BY key ORDER BY seq) AS i FROM m WHERE k IN (6, 7, 8, 9, 14)),
+lr AS (SELECT DISTINCT key, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS q, CAST(NULL AS VARCHAR) AS popped FROM ll
+  UNION ALL SELECT ll.key, ll.i, ll.seq, ll.k, CASE ll.k WHEN 6 THEN list_append(q, CAST(ll.seq AS VARCHAR)) WHEN 7 THEN list_concat([ll.event_type, CAST(ll.seq AS VARCHAR)], q) WHEN 8 THEN q[2:] WHEN 9 THEN q[:len(q) - 1] ELSE q END, CASE ll.k WHEN 8 THEN q[1] WHEN 9 THEN q[len(q)] END
+  FROM lr JOIN ll ON ll.key = lr.key AND ll.i = lr.i + 1),
+tr AS (SELECT seq, CAST(row_number() OVER (PARTITION BY event_type, key ORDER BY seq) = 1 AS BIGINT) AS r FROM m WHERE k = 10),
+zw AS (SELECT key, seq, k, max(CASE WHEN k = 12 THEN seq END) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS cut, CASE WHEN k = 11 THEN lag(seq) OVER u END AS p, CASE WHEN k = 11 THEN lead(seq) OVER u END AS nx
+  FROM m WHERE k IN (11, 12) WINDOW u AS (PARTITION BY k, key ORDER BY seq)),
+zr AS (SELECT seq, CAST(p IS NULL OR coalesce(cut >= p + 2000, false) AS BIGINT) AS r FROM zw WHERE k = 11
+  UNION ALL SELECT c.seq, count(a.seq) FROM zw c LEFT JOIN zw a ON a.k = 11 AND a.seq <= c.seq - 2000 AND (c.cut IS NULL OR a.seq > c.cut - 2000) AND (a.nx IS NULL OR a.nx > c.seq) WHERE c.k = 12 GROUP BY c.seq),
+x AS (SELECT seq, '+OK' || {CRLF} AS reply FROM m WHERE k = 0
+  UNION ALL SELECT seq, CASE WHEN alive THEN {BULK("CAST(wseq AS VARCHAR)")} ELSE {NIL} END FROM sa WHERE k = 2
+  UNION ALL SELECT seq, {INT("r")} FROM nr WHERE k IN (1, 3, 15) UNION ALL SELECT seq, {INT("r")} FROM hr UNION ALL SELECT seq, {INT("r")} FROM tr UNION ALL SELECT seq, {INT("r")} FROM zr
+  UNION ALL SELECT seq, {INT("len(q)")} FROM lr WHERE k IN (6, 7) UNION ALL SELECT seq, CASE WHEN popped IS NULL THEN {NIL} ELSE {BULK("popped")} END FROM lr WHERE k IN (8, 9)
+  UNION ALL SELECT nr.seq, {INT("nr.r + CAST(sa.alive AS BIGINT)")} FROM nr JOIN sa ON sa.seq = nr.seq WHERE nr.k = 13
+  UNION ALL SELECT hx.seq, {INT("2 * CAST(hx.held AS BIGINT) + CAST(len(lr.q) > 0 AS BIGINT)")} FROM hx JOIN lr ON lr.seq = hx.seq WHERE hx.k = 14)
+SELECT seq, 0 AS pos, reply FROM x"""
+
+
+@query(MIXED)
 def mixed_log_replies(spark, sf):
     """Every event as one of 16 commands, through the whole engine (conditional deletes and deadlines are order-dependent)."""
     replies, _ = run_log(command_log(spark, sf))
     return replies.select("seq", "pos", encode_reply(F.col("reply")).alias("reply"))
 
 
+WRONG = f"'-WRONGTYPE Operation against a key holding the wrong kind of value' || {CRLF}"
+
+
+@query(f"""WITH RECURSIVE {E}, l AS (SELECT key, seq, ts_us, event_type, seq % 10 AS k, row_number() OVER (PARTITION BY key ORDER BY seq) AS i FROM e),
+r AS (SELECT DISTINCT key, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS BIGINT) AS v, CAST(NULL AS BIGINT) AS dl, CAST(NULL AS VARCHAR[]) AS s, CAST(NULL AS VARCHAR) AS reply FROM l
+  UNION ALL SELECT key, i, seq, CASE WHEN k IN (0, 1) THEN seq WHEN k = 5 THEN NULL WHEN k IN (2, 9) AND s IS NULL THEN coalesce(a, 0) + 1 ELSE a END,
+    CASE WHEN k = 1 THEN ts_us + 7200000000 WHEN k IN (0, 5) OR a IS NULL THEN NULL ELSE dl END,
+    CASE WHEN k IN (0, 1, 5) THEN NULL WHEN k = 4 AND a IS NULL THEN CASE WHEN s IS NULL THEN [event_type] WHEN list_contains(s, event_type) THEN s ELSE list_append(s, event_type) END ELSE s END,
+    CASE WHEN k IN (0, 1) THEN '+OK' || {CRLF} WHEN k = 6 THEN '-ERR value is not an integer or out of range' || {CRLF} WHEN k = 7 THEN '-ERR syntax error' || {CRLF}
+      WHEN k = 8 THEN '+' || CASE WHEN a IS NOT NULL THEN 'string' WHEN s IS NOT NULL THEN 'set' ELSE 'none' END || {CRLF} WHEN k = 5 THEN {INT("CAST(a IS NOT NULL OR s IS NOT NULL AS BIGINT)")}
+      WHEN k = 4 THEN CASE WHEN a IS NOT NULL THEN {WRONG} ELSE {INT("CAST(s IS NULL OR NOT list_contains(s, event_type) AS BIGINT)")} END
+      WHEN s IS NOT NULL THEN {WRONG} WHEN k = 3 THEN CASE WHEN a IS NULL THEN {NIL} ELSE {BULK("CAST(a AS VARCHAR)")} END ELSE {INT("coalesce(a, 0) + 1")} END
+  FROM (SELECT l.*, CASE WHEN r.dl IS NULL OR l.ts_us < r.dl THEN r.v END AS a, r.dl, r.s FROM r JOIN l ON l.key = r.key AND l.i = r.i + 1))
+SELECT seq, reply FROM r WHERE i > 0""")
+def typed_log_replies(spark, sf):
+    """SET with options, INCR on what SET and INCR left, sets on the same keys: wrong types, syntax and number errors."""
+    return run_log(typed_log(spark, sf))[0].select("seq", encode_reply(F.col("reply")).alias("reply"))
+
+
+@query(f"""WITH {E}, l AS (SELECT *, seq % 7 < 5 AS ok FROM e), f AS (SELECT event_type, key, min(seq) AS seq FROM l WHERE ok GROUP BY 1, 2)
+SELECT l.seq, CASE WHEN NOT ok THEN '-ERR value is not a valid float' || {CRLF} ELSE {INT("CAST(f.seq = l.seq AS BIGINT)")} END AS reply FROM l LEFT JOIN f ON f.event_type = l.event_type AND f.key = l.key""")
+def zadd_replies(spark, sf):
+    """ZADD in a log, with infinite, NaN, hexadecimal, overflowing and wrong scores."""
+    return run_log(score_log(spark, sf))[0].select("seq", encode_reply(F.col("reply")).alias("reply"))
+
+
+@query(f"""WITH {E}, l AS (SELECT * FROM e), z AS (SELECT event_type AS key, key AS member, arg_max(seq, seq) AS seq FROM l WHERE seq % 7 < 5 GROUP BY 1, 2),
+s AS (SELECT key, member, CASE seq % 7 WHEN 0 THEN CAST(seq AS DOUBLE) WHEN 1 THEN 'inf'::DOUBLE WHEN 2 THEN '-inf'::DOUBLE WHEN 3 THEN NULL ELSE 24.0 END AS score FROM z)
+SELECT key, member, CAST(row_number() OVER (PARTITION BY key ORDER BY score NULLS LAST, member) - 1 AS BIGINT) AS idx FROM s""")
+def zset_order(spark, sf):
+    """The sorted sets that score_log leaves: infinities at the ends, NaN after them."""
+    z = relations(run_log(score_log(spark, sf))[1], F.lit(0))["zset_members"]
+    return collections.zrange(z, 0, -1).select("key", "member", "idx")
+
+
+PUSH = lambda word, n: f"'*3' || {CRLF} || {BULK(word)} || {BULK('channel')} || {INT(n)}"
+
+
+@query(f"""WITH {P}, s AS (SELECT a AS f, b, sub, channel FROM i WHERE event_type = 'signup'),
+q AS (SELECT c.*, coalesce(last_value(CASE WHEN event_type IN ('signup', 'error') THEN event_type END IGNORE NULLS) OVER (PARTITION BY sub ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 'signup', false) AS subscribed FROM c),
+n AS (SELECT p.seq, count(s.sub) FILTER (s.channel = p.channel) AS here, count(s.sub) AS subs, count(DISTINCT s.channel) AS channels FROM c p LEFT JOIN s ON s.f < p.seq AND (s.b IS NULL OR p.seq < s.b) WHERE p.event_type = 'purchase' GROUP BY p.seq)
+SELECT seq, CASE event_type WHEN 'signup' THEN {PUSH("'subscribe'", "1")} WHEN 'error' THEN {PUSH("'unsubscribe'", "0")} WHEN 'view' THEN '+PONG' || {CRLF}
+  ELSE CASE WHEN subscribed THEN '-ERR only (P)SUBSCRIBE / (P)UNSUBSCRIBE / PING are allowed in this context' || {CRLF} ELSE {NIL} END END AS reply FROM q WHERE event_type <> 'purchase'
+UNION ALL SELECT seq, CASE WHEN seq % 8 <> 0 THEN {INT("here")} ELSE {BULK("'# Server' || " + CRLF + " || '# Keyspace' || " + CRLF + " || 'total_keys:0' || " + CRLF + " || 'string_keys:0' || " + CRLF + " || 'hash_keys:0' || " + CRLF + " || 'list_keys:0' || " + CRLF + " || 'set_keys:0' || " + CRLF + " || " + CRLF + " || '# PubSub' || " + CRLF + " || 'channels:' || channels || " + CRLF + " || 'subscribers:' || subs || " + CRLF)} END FROM n""")
+def subscriber_replies(spark, sf):
+    """Every user a connection: SUBSCRIBE, UNSUBSCRIBE, what is allowed in between, PUBLISH and INFO, through the whole engine."""
+    return run_log(subscriber_log(spark, sf))[0].select("seq", encode_reply(F.col("reply")).alias("reply"))
+
+
+@query(f"""WITH {P}, d AS (SELECT i.sub, c.channel, c.seq FROM c JOIN i ON i.event_type = 'signup' AND i.channel = c.channel AND i.a < c.seq AND (i.b IS NULL OR c.seq < i.b) WHERE c.event_type = 'purchase')
+SELECT sub, seq, '*3' || {CRLF} || {BULK("'message'")} || {BULK("channel")} || {BULK("CAST(seq AS VARCHAR)")} AS message FROM d""")
+def messages(spark, sf):
+    """What each subscriber is sent, as wire text."""
+    subs, pubs = _pubsub(spark, sf)
+    return pubsub.deliveries(pubs, subs).select("sub", "seq", encode_message(F.col("channel"), F.col("payload")).alias("message"))
+
+
+@query(f"""WITH {P}, d AS (SELECT i.sub, c.channel, c.seq FROM c JOIN i ON i.event_type = 'signup' AND i.channel = c.channel AND i.a < c.seq AND (i.b IS NULL OR c.seq < i.b) WHERE c.event_type = 'purchase'),
+st AS (SELECT sub, seq, 1 AS d FROM d UNION ALL SELECT sub, seq, -3 FROM c WHERE event_type = 'view'),
+su AS (SELECT *, sum(d) OVER (PARTITION BY sub ORDER BY seq ROWS UNBOUNDED PRECEDING) AS s FROM st), wa AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY sub ORDER BY seq ROWS UNBOUNDED PRECEDING)) AS wait FROM su),
+g AS (SELECT sub, min(seq) AS gone FROM wa WHERE d = 1 AND wait > 2 GROUP BY sub)
+SELECT d.sub, d.channel, d.seq FROM d LEFT JOIN g USING (sub) WHERE gone IS NULL OR d.seq < gone""")
+def deliveries_with_eviction(spark, sf):
+    """Subscribers with a buffer of 2 messages that take up to 3 out whenever they view something."""
+    subs, pubs = _pubsub(spark, sf)
+    drains = events(spark, sf).filter("event_type = 'view'").select(F.col("key").alias("sub"), "seq", F.lit(3).alias("n"))
+    return pubsub.deliveries_with_eviction(pubs, subs, drains, 2).select("sub", "channel", "seq")
+
+
+@query(f"""WITH {E} SELECT CAST(seq AS VARCHAR) AS conn_id, 0 AS i, 'SET' AS cmd, key || '|' || event_type || chr(13) || chr(10) AS args FROM e
+UNION ALL SELECT CAST(seq AS VARCHAR), 1, 'GET', key FROM e UNION ALL SELECT CAST(seq AS VARCHAR), 2, 'ERROR', 'empty command' FROM e WHERE seq % 3 = 0""")
+def wire_round_trip(spark, sf):
+    """Commands of every event as bytes, with an inline command behind and a protocol error behind some, parsed again."""
+    e = events(spark, sf)
+    data = F.concat(encode_command_column(F.lit("set"), F.col("key"), F.concat("event_type", F.lit("\r\n"))), F.lit("get "), "key", F.lit("\r\n"), F.when(F.col("seq") % 3 == 0, "*0\r\nPING\r\n").otherwise(""))
+    got = parse_streams(e.select(F.col("seq").cast("string").alias("conn_id"), data.cast("binary").alias("content")))
+    return got.select("conn_id", F.col("i").cast("int").alias("i"), "cmd", F.array_join(F.transform("args", lambda a: a.cast("string")), "|").alias("args"))
+
+
 @query("""WITH l(seq, cmd, a) AS (VALUES (1, 'PING', NULL), (2, 'PING', 'hi'), (3, 'COMMAND', 'x'), (4, 'FOO', NULL), (5, 'EXEC', NULL), (6, 'DISCARD', NULL), (7, 'GET', NULL), (8, 'QUIT', NULL))
 SELECT seq, CASE cmd WHEN 'PING' THEN CASE WHEN a IS NULL THEN '+PONG' ELSE '$2hi' END WHEN 'COMMAND' THEN '+OK' WHEN 'QUIT' THEN '+OK' WHEN 'FOO' THEN '-ERR unknown command ''FOO''' WHEN 'GET' THEN '-ERR wrong number of arguments for ''GET'' command' ELSE '-ERR ' || cmd || ' without MULTI' END AS reply FROM l""")
 def connection_replies(spark, sf):

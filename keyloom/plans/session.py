@@ -171,7 +171,8 @@ def run_log(log: DataFrame) -> tuple[DataFrame, DataFrame]:
         x = cut(connections(log))
     else:
         none = {n: F.lit(None).cast(t) for n, t in (("tx", "bigint"), ("end_cmd", "string"), ("end_seq", "bigint"), ("end_ts", "bigint"))}
-        x = log.withColumns({"cmd": F.upper("cmd"), "in_tx": F.lit(False)} | none)
+        # written too: a log may be made by expressions that would be repeated wherever a command is told
+        x = cut(log.withColumn("cmd", F.upper("cmd"))).withColumns({"in_tx": F.lit(False)} | none)
     parts = []
     if subscribes:
         steps, resets = (cut(df) for df in subscription_steps(x))

@@ -1,3 +1,4 @@
+import os
 import random
 import re
 
@@ -7,11 +8,11 @@ from pyspark.sql import functions as F
 
 from keyloom.functions.parse import clamp, clamp_columns, float_column, incremented, int_column, parse_float, parse_int, wrap
 from keyloom.model import LOG
-from keyloom.operators import lists
+from keyloom.operators import collections, lists, pubsub
 from keyloom.plans.fold import ARITY, Key, arity_error, relations
 from keyloom.plans.queries import ORACLES, QUERIES
 from keyloom.plans.session import run_log
-from keyloom.sources.resp import commands, encode_command, encode_reply, read_captures
+from keyloom.sources.resp import as_log, commands, encode_command, encode_reply, read_captures
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -74,34 +75,78 @@ def test_batches_of_large_order_keys(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(own.sql(f"select seq, pos, reply from ({ORACLES['multi_exec_discard']})").fetchall())
 
 
+W, I = "-WRONGTYPE Operation against a key holding the wrong kind of value", "-ERR value is not an integer or out of range"
+
+
+def check(spark, cases):
+    """cases: (reply, command, argument...) in order."""
+    got = one(spark, [c[1:] for c in cases])
+    assert [(g, *c[1:]) for g, c in zip(got, cases)] == cases
+
+
 def test_strings_and_types(spark):
-    log = [
-        ("SET", "name", "ember"), ("SET", "name", "cache", "EX", "1"), ("TTL", "name"), ("GET", "name"), ("SADD", "letters", "x"), ("GET", "letters"), ("SET", "", "v"), ("GET", ""), ("DEL", ""),
-        ("INCR", "n"), ("SET", "n", "10"), ("INCR", "n"), ("SET", "n", "hello"), ("INCR", "n"), ("INCR", "letters"), ("SET", "n", "9223372036854775807"), ("INCR", "n"), ("SET", "k", "v", "NX"),
-        ("SET", "k", "v", "EX"), ("SET", "k", "v", "EX", "0"), ("SET", "k", "v", "ex", "5", "PX", "1500"), ("GET", "k"), ("GET", "k"), ("SETEX", "k", "x", "v"), ("SETEX", "k", "9", "v"), ("SET", "letters", "now a string"),
-        ("TYPE", "letters"), ("EXPIRE", "letters", "0"), ("EXPIRE", "letters", "z"), ("EXPIRE", "letters", "3600"), ("TTL", "letters"), ("EXPIRE", "none", "5"), ("TTL", "none"), ("SETEX", "k", "9223372037", "v"),
-    ]
-    w, i = "-WRONGTYPE Operation against a key holding the wrong kind of value", "-ERR value is not an integer or out of range"
-    assert one(spark, log) == [
-        "+OK", "+OK", ":-2", "$-1", ":1", w, "-ERR key is required", "-ERR key is required", ":0", ":1", "+OK", ":11", "+OK", i, w, "+OK", ":-9223372036854775808", "-ERR syntax error",
-        "-ERR syntax error", i, "+OK", "$1 v", "$-1", "-ERR invalid expire time in 'SETEX' command", "+OK", "+OK", "+string", "-ERR invalid expire time in 'EXPIRE' command", i, ":1", ":3599", ":0", ":-2", "-ERR invalid expire time in 'SETEX' command",
-    ]
+    check(spark, [
+        ("+OK", "SET", "lamp", "dim"), ("+OK", "SET", "lamp", "bright", "EX", "1"), (":-2", "TTL", "lamp"), ("$-1", "GET", "lamp"), (":1", "SADD", "bag", "pen"), (W, "GET", "bag"),
+        ("-ERR key is required", "SET", "", "v"), ("-ERR key is required", "GET", ""), (":0", "DEL", ""), (":1", "INCR", "n"), ("+OK", "SET", "n", "41"), (":42", "INCR", "n"), ("+OK", "SET", "n", "4 2"), (I, "INCR", "n"),
+        (W, "INCR", "bag"), ("+OK", "SET", "n", "9223372036854775807"), (":-9223372036854775808", "INCR", "n"), ("-ERR syntax error", "SET", "k", "v", "NX"), ("-ERR syntax error", "SET", "k", "v", "EX"), (I, "SET", "k", "v", "EX", "0"),
+        ("+OK", "SET", "k", "v", "ex", "5", "PX", "1500"), ("$1 v", "GET", "k"), ("$-1", "GET", "k"), ("-ERR invalid expire time in 'SETEX' command", "SETEX", "k", "x", "v"), ("+OK", "SETEX", "k", "9", "v"),
+        ("+OK", "SET", "bag", "text now"), ("+string", "TYPE", "bag"), ("-ERR invalid expire time in 'EXPIRE' command", "EXPIRE", "bag", "0"), (I, "EXPIRE", "bag", "z"), (":1", "EXPIRE", "bag", "7200"), (":7199", "TTL", "bag"),
+        (":0", "EXPIRE", "none", "5"), (":-2", "TTL", "none"), ("-ERR invalid expire time in 'SETEX' command", "SETEX", "k", "9223372037", "v"),
+    ])
 
 
 def test_collections(spark):
-    log = [
-        ("HSET", "user:1", "name", "a", "role", "b"), ("HSET", "user:1", "role", "c", "team", "d"), ("HGET", "user:1", "role"), ("HGETALL", "user:1"), ("HDEL", "user:1", "role", "role", "x"), ("HSET", "user:1", "odd"),
-        ("HDEL", "user:1", "name", "team"), ("TYPE", "user:1"), ("LPUSH", "l", "b", "a"), ("RPUSH", "l", "c"), ("LRANGE", "l", "0", "2"), ("LRANGE", "l", "-2", "-1"), ("LRANGE", "l", "5", "9"), ("LRANGE", "l", "x", "1"),
-        ("LPOP", "l"), ("RPOP", "l"), ("LPOP", "l"), ("LPOP", "l"), ("EXISTS", "l"), ("SADD", "s", "go", "grpc", "go"), ("SMEMBERS", "s"), ("SREM", "s", "go", "zz"), ("SISMEMBER", "s", "grpc"), ("SCARD", "s"),
-        ("ZADD", "z", "15000", "Shadow", "20000", "Light", "12000", "Fire"), ("ZCARD", "z"), ("ZRANGE", "z", "0", "-1"), ("ZADD", "z", "1", "Light", "2", "New", "3", "New"), ("ZRANGE", "z", "-2", "-1"), ("ZADD", "z", "x", "m"),
-        ("ZADD", "z", "nan", "odd"), ("ZREMRANGEBYSCORE", "z", "-inf", "12000"), ("ZREMRANGEBYSCORE", "z", "(1", "2"), ("ZREMRANGEBYSCORE", "z", "1", "y"), ("ZRANGE", "z", "0", "-1"), ("ZREMRANGEBYSCORE", "z", "0", "inf"), ("ZCARD", "s"),
-    ]
-    w = "-WRONGTYPE Operation against a key holding the wrong kind of value"
-    assert one(spark, log) == [
-        ":2", ":1", "$1 c", "*6 $4 name $1 a $4 role $1 c $4 team $1 d", ":1", "-ERR wrong number of arguments for 'HSET' command", ":2", "+none", ":2", ":3", "*3 $1 a $1 b $1 c", "*2 $1 b $1 c", "*0",
-        "-ERR value is not an integer or out of range", "$1 a", "$1 c", "$1 b", "$-1", ":0", ":2", "*2 $2 go $4 grpc", ":1", ":1", ":1", ":3", ":3", "*3 $4 Fire $6 Shadow $5 Light", ":1", "*2 $4 Fire $6 Shadow",
-        "-ERR value is not a valid float", ":1", ":3", "-ERR min is not a float", "-ERR max is not a float", "*2 $6 Shadow $3 odd", ":1", w,
-    ]
+    check(spark, [
+        (":2", "HSET", "shop", "city", "Ulm", "size", "9"), (":1", "HSET", "shop", "size", "12", "open", "y"), ("$2 12", "HGET", "shop", "size"), ("*6 $4 city $3 Ulm $4 open $1 y $4 size $2 12", "HGETALL", "shop"),
+        (":1", "HDEL", "shop", "size", "size", "x"), ("-ERR wrong number of arguments for 'HSET' command", "HSET", "shop", "odd"), (":2", "HDEL", "shop", "city", "open"), ("+none", "TYPE", "shop"),
+        (":2", "LPUSH", "trip", "q2", "q1"), (":3", "RPUSH", "trip", "q3"), ("*3 $2 q1 $2 q2 $2 q3", "LRANGE", "trip", "0", "2"), ("*2 $2 q2 $2 q3", "LRANGE", "trip", "-2", "-1"), ("*0", "LRANGE", "trip", "5", "9"), (I, "LRANGE", "trip", "x", "1"),
+        ("$2 q1", "LPOP", "trip"), ("$2 q3", "RPOP", "trip"), ("$2 q2", "LPOP", "trip"), ("$-1", "LPOP", "trip"), (":0", "EXISTS", "trip"),
+        (":2", "SADD", "herd", "yak", "emu", "yak"), ("*2 $3 emu $3 yak", "SMEMBERS", "herd"), (":1", "SREM", "herd", "yak", "zz"), (":1", "SISMEMBER", "herd", "emu"), (":1", "SCARD", "herd"),
+        (":3", "ZADD", "race", "310", "Ada", "0x1.9p8", "Bo", "-7.5", "Cyd"), (":3", "ZCARD", "race"), ("*3 $3 Cyd $3 Ada $2 Bo", "ZRANGE", "race", "0", "-1"), (":1", "ZADD", "race", "-9", "Bo", "-2", "Dee", "-1", "Dee"),
+        ("*2 $3 Dee $3 Ada", "ZRANGE", "race", "-2", "-1"), ("-ERR value is not a valid float", "ZADD", "race", "0x9", "m"), (":1", "ZADD", "race", "nan", "odd"), (":3", "ZREMRANGEBYSCORE", "race", "-inf", "-1"),
+        ("-ERR min is not a float", "ZREMRANGEBYSCORE", "race", "(1", "2"), ("-ERR max is not a float", "ZREMRANGEBYSCORE", "race", "1", "y"), ("*2 $3 Ada $3 odd", "ZRANGE", "race", "0", "-1"), (":1", "ZREMRANGEBYSCORE", "race", "0", "inf"), (W, "ZCARD", "herd"),
+    ])
+
+
+def test_last_put_of_a_field_wins(spark):
+    fields = spark.createDataFrame([("a", "x", "1"), ("a", "y", "2")], "key string, member string, value string")
+    new = spark.createDataFrame([("a", "y", "3", 7), ("a", "y", "4", 9), ("a", "y", "5", 8), ("b", "x", "6", 1)], "key string, member string, value string, seq bigint")
+    assert sorted(map(tuple, collections.put(fields, new).collect())) == [("a", "x", "1"), ("a", "y", "4"), ("b", "x", "6")]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_slow_subscribers_are_dropped(spark, seed):
+    r = random.Random(seed)
+    subs, pubs, drains, want = [], [], [], []
+    open_, waiting, gone = {}, {}, {}
+    for seq in range(1, 900):
+        pick, who, ch = r.random(), f"s{r.randrange(6)}", f"ch{r.randrange(2)}"
+        if pick < 0.08 and (who, ch) not in open_:
+            open_[who, ch] = seq
+        elif pick < 0.14 and (who, ch) in open_:
+            subs.append((who, ch, open_.pop((who, ch)), seq))
+        elif pick < 0.5:
+            n = r.randrange(1, 5)
+            drains.append((who, seq, n))
+            waiting[who] = max(0, waiting.get(who, 0) - n)
+        else:
+            pubs.append((seq, ch, f"m{seq}"))
+            for s, c in open_:
+                if c == ch and s not in gone:
+                    if waiting.get(s, 0) == 4:
+                        gone[s] = seq
+                    else:
+                        waiting[s] = waiting.get(s, 0) + 1
+                        want.append((s, ch, seq, f"m{seq}"))
+    subs += [(s, c, a, None) for (s, c), a in open_.items()]
+    p, s = spark.createDataFrame(pubs, "seq bigint, channel string, payload string"), spark.createDataFrame(subs, "sub string, channel string, from_seq bigint, to_seq bigint")
+    d = spark.createDataFrame(drains, "sub string, seq bigint, n int")
+    assert sorted(map(tuple, pubsub.deliveries_with_eviction(p, s, d, 4).collect())) == sorted(want) and gone
+    every = [(x, c, q, m) for q, c, m in pubs for x, ch, a, b in subs if ch == c and a < q and (b is None or q < b)]
+    assert sorted(map(tuple, pubsub.deliveries(p, s).collect())) == sorted(every)
+    counts = {x.seq: x.reply for x in pubsub.publish_counts(p, s).collect()}
+    assert counts == {q: sum(e[2] == q for e in every) for q, *_ in pubs}
+    assert not pubsub.deliveries(p.limit(0), s).count() and not pubsub.publish_counts(p, s.limit(0)).filter("reply <> 0").count()
 
 
 def test_batches_subscriptions_and_info(spark):
@@ -203,16 +248,33 @@ def test_stream_equals_fold(spark, tmp_path):
 
 def test_wire_format(spark, tmp_path):
     data = encode_command("set", "k", "a\r\nb") + b"PING\r\n" + b"*2\r\n$3\r\nGET\r\n+k\r\n" + b"*1\r\n$-1\r\n"
-    assert list(commands(data)) == [("SET", ["k", "a\r\nb"]), ("PING", []), ("GET", ["k"]), ("", [])]
+    assert list(commands(data)) == [("SET", [b"k", b"a\r\nb"]), ("PING", []), ("GET", [b"k"]), ("", [])]
     for bad in (b"*abc\r\n", b"\r\n", b"*0\r\n", b"*1\r\n:5\r\n", b"*1\r\n$-2\r\n", b"PING\n", b"*1\r\n$1\r\nab\r\n", b"*1\r\n*1\r\n$1\r\na\r\n"):
         assert [c for c, _ in commands(b"PING\r\n" + bad + b"PING\r\n")] == ["PING", "ERROR"], bad
     assert list(commands(b"*1\r\n$4\r\nPI")) == []
-    (tmp_path / "conn1").write_bytes(data)
-    assert [(r.conn_id, r.i, r.cmd) for r in read_captures(spark, str(tmp_path)).orderBy("i").collect()] == [("conn1", 0, "SET"), ("conn1", 1, "PING"), ("conn1", 2, "GET"), ("conn1", 3, "")]
+    for folder in ("x", "y"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "conn1").write_bytes(data)
+    got = read_captures(spark, str(tmp_path / "*")).orderBy("conn_id", "i").collect()
+    assert [(r.conn_id.rsplit("/", 2)[1], r.i, r.cmd) for r in got] == [(x, i, c) for x in "xy" for i, c in enumerate(("SET", "PING", "GET", ""))]
+
+
+def test_captures_keep_bytes_and_run(spark, tmp_path):
+    values = [b"plain", "caf\u00e9".encode(), b"\xff\x00\xfe", b"back\\slash", b"\\xFF", b""]
+    data = b"".join(b"*3\r\n$3\r\nSET\r\n$2\r\nk%d\r\n$%d\r\n%s\r\n" % (i, len(v), v) for i, v in enumerate(values))
+    (tmp_path / "a").write_bytes(data)
+    (tmp_path / "b").write_bytes(b"".join(b"GET k%d\r\n" % i for i in range(len(values))) + b"\r\n")
+    os.utime(tmp_path / "a", (1_000, 1_000))
+    captures = read_captures(spark, str(tmp_path))
+    assert [bytes(r.args[1]) for r in captures.filter("cmd = 'SET'").orderBy("i").collect()] == values
+    log = as_log(captures)
+    assert sorted(r.seq for r in log.collect()) == list(range(2 * len(values) + 1))
+    got = [r.reply.str for r in run_log(log)[0].orderBy("seq").collect()]
+    assert got == ["OK"] * len(values) + ["plain", "caf\u00e9", "\\xFF\x00\\xFE", "back\\\\slash", "\\\\xFF", "", "ERR unknown command 'ERROR'"]
 
 
 def test_parsers_agree(spark):
-    texts = ["0", "-5", "+7", " 5", "5 ", "1.5", "", "9223372036854775807", "9223372036854775808", "inf", "-Infinity", "NaN", "1e400", "1e5", ".5", "5.", "1d", "0x1", "abc"]
+    texts = ["0", "-5", "+7", " 5", "5 ", "1.5", "", "9223372036854775807", "9223372036854775808", "inf", "-Infinity", "NaN", "1e400", "1e5", ".5", "5.", "1d", "0x1", "abc", "0x1p4", "-0X1.8p-1", "0x.8p2", "0x1p9999", "0xp1", "0x1.p1"]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", int_column(F.col("t")).alias("i"), float_column(F.col("t")).alias("f"), incremented(int_column(F.col("t"))).alias("n")).collect()
     for r in got:
         assert r.i == parse_int(r.t) and str(r.f) == str(parse_float(r.t)), r
