@@ -52,7 +52,7 @@ TOLERANCE, ROUNDS = 0.01, 30
 #: Tokens of a sequence that are read as one segment.
 SEGMENT = 1024
 #: Words counted per task before it passes them on; tokens per forward-backward block.
-FLUSH, BLOCK = 400_000, 250_000
+FLUSH, BLOCK = 400_000, 1_000_000
 #: The token that ends every text; no word can hold a blank.
 END_WORD = b" "
 
@@ -123,24 +123,30 @@ class Lookup:
 
 
 class _Encoder(dict):
-    """word -> index of (class, log10(c + 0.5), known or -1 if not looked up yet); unknown words are added as they come."""
+    """word -> index; words that aren't looked up are added as they come, until they are forgotten."""
 
     def __init__(self, lookup: Lookup):
-        super().__init__()
-        self.cls, self.log, self.hit = [], [], []
-        for w, (k, c) in lookup.entry.items():
-            self._add(w, k, np.log10(c + 0.5), int(c > 0))
-        self.base = len(self)
-
-    def _add(self, w, k, log, hit):
-        self[w] = len(self.cls)
-        self.cls.append(k)
-        self.log.append(log)
-        self.hit.append(hit)
-        return self[w]
+        super().__init__(zip(lookup.entry, range(len(lookup.entry)), strict=True))
+        entry = np.array(list(lookup.entry.values()), np.int64).reshape(-1, 2)
+        self.known = len(entry)
+        self.cls, self.log, self.hit = entry[:, 0].astype(np.uint16), np.log10(entry[:, 1] + 0.5), (entry[:, 1] > 0).astype(np.int8)
+        self.new: list[bytes] = []
 
     def __missing__(self, w):
-        return self._add(w, shape_class(w), 0.0, -1)
+        self.new.append(w)
+        out = self[w] = self.known + len(self.new) - 1
+        return out
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By index: class, log10(c + 0.5), and whether the word is known, -1 if not looked up yet."""
+        n = len(self.new)
+        cls = np.fromiter(map(shape_class, self.new), np.uint16, n)
+        return np.concatenate([self.cls, cls]), np.concatenate([self.log, np.zeros(n)]), np.concatenate([self.hit, np.full(n, -1, np.int8)])
+
+    def forget(self) -> None:
+        for w in self.new:
+            del self[w]
+        self.new = []
 
 
 def encode(docs: DataFrame, lookup: Lookup) -> DataFrame:
@@ -149,16 +155,14 @@ def encode(docs: DataFrame, lookup: Lookup) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        lookup = pickle.loads(held_lookup.value)
+        e = _Encoder(pickle.loads(held_lookup.value))
         for b in pieces(batches):
-            e = _Encoder(lookup)
             ids = []
             for text in b.column(2).to_pylist():
                 words = (text or b"").lower().split()
                 words.append(END_WORD)
                 ids.append(np.fromiter(map(e.__getitem__, words), np.int32, len(words)))
-            cls, log, hit = np.array(e.cls, np.uint16), np.array(e.log), np.array(e.hit)
-            names = list(e)
+            cls, log, hit = e.tables()
             known, total, classes, rest, times = [], [], [], [], []
             for x in ids:
                 h = hit[x]
@@ -166,8 +170,9 @@ def encode(docs: DataFrame, lookup: Lookup) -> DataFrame:
                 total.append(float(log[x].sum()))
                 classes.append(cls[x].tobytes())
                 words, n = np.unique(x[h < 0], return_counts=True)
-                rest.append([names[i] for i in words])
+                rest.append([e.new[i] for i in (words - e.known).tolist()])
                 times.append(n.tolist())
+            e.forget()
             yield pa.record_batch(
                 [b.column(0), b.column(1), pa.array([len(x) for x in ids], pa.int64()), pa.array(known, pa.int64()), pa.array(total), pa.array(classes, pa.binary()), pa.array(rest, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))],
                 ["doc_id", "held_out", "n_tokens", "n_known", "log_sum", "classes", "rest", "times"],
@@ -293,7 +298,6 @@ class Hmm:
                 alpha[at : at + k] = a / c[:, None]
                 scale[at : at + k] = c
             ll += float(np.log10(scale).sum())
-            gamma = np.empty((len(flat), K))
             beta, ends = np.ones((0, K)), after[which]
             for t in range(int(m[0]) - 1, -1, -1):
                 k, at = alive[t], first[t]
@@ -304,12 +308,12 @@ class Hmm:
                     mv += alpha[at : at + nxt].T @ w
                     full[:nxt] = w @ self.move.T
                 beta = full
-                gamma[at : at + k] = alpha[at : at + k] * beta
+                alpha[at : at + k] *= beta  # the states' probabilities; alpha isn't needed there any more
             k = len(m)
             mv += before[which].T @ (b[:k] * beta / scale[:k, None])  # into a segment; nothing stands before a start
-            s0 += gamma[:k][starts[which]].sum(0)
+            s0 += alpha[:k][starts[which]].sum(0)
             for j in range(K):
-                em[j] += np.bincount(flat, gamma[:, j], em.shape[1])
+                em[j] += np.bincount(flat, alpha[:, j], em.shape[1])
         return s0, mv * self.move, em, ll
 
     @classmethod
