@@ -1,14 +1,14 @@
 """Language ID by a bidirectional gated recurrent network over bytes (operator 2).
 
-Each word (a run of bytes without ASCII whitespace, lower-cased, with a leading blank, cut after SPAN
-bytes) is a sequence; a forward and a backward GRU read its bytes and a softmax over both hidden
-states labels every position. A word's evidence is the mean of its positions' log probabilities, a
-document's the tempered product over all its words. The whole text is labelled; words that
-recur in a task are run through the network once, as long as KNOWN words suffice, and counted as often as they occur.
+A text is its bytes, lower-cased, with every run of ASCII whitespace as one blank. A forward and a backward GRU read it
+and a softmax over both hidden states labels every position. Long texts are read in windows of WINDOW positions that overlap
+their neighbours by CONTEXT on both sides, so that both states are carried into the positions that a window labels; windows of
+all texts of a batch advance together. Every position of every text is labelled once; a document's probability is
+the tempered product over its positions.
 
-The network is trained in numpy on the driver, by backpropagation through time with Adam, on a bounded
-sample: at most SAMPLE_DOCS different texts per language and SAMPLE_PIECES pieces of
-PIECE_CHARS characters from each, chosen by hash among documents outside the held-out fold.
+The network is trained in numpy on the driver, by backpropagation through time with Adam, on random windows of a
+bounded sample of whole texts: at most SAMPLE_DOCS different texts per language, of SAMPLE_CHARS characters together,
+chosen by hash among documents outside the held-out fold. Texts longer than SAMPLE_CHARS aren't learned from.
 
 Defined results: null text or text without a letter gives ``und`` with score 0; with nothing to learn from,
 every document is ``und``; null lang is not learned from; a null doc_id belongs to the fold of the empty
@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,62 +29,49 @@ from pyspark.sql import types as T
 from keyloom.llm.common import fold_of, pieces, table
 
 FOLDS, HELD_OUT = 3, 1
-SAMPLE_DOCS = 250
-SAMPLE_PIECES = 4
-PIECE_CHARS = 240
-#: Over all languages together.
-SAMPLE_TOTAL = 20_000
-HIDDEN = 12
-SPAN = 32
-STEPS = 500
-BATCH = 512
-#: Words that the network reads at once.
-BLOCK = 8192
-#: Words whose evidence a task keeps.
-KNOWN = 1 << 18
-TEMPER = 0.5
+SAMPLE_DOCS, SAMPLE_CHARS = 250, 2_000_000
+#: Documents and characters over all languages together.
+SAMPLE_TOTAL, SAMPLE_TOTAL_CHARS = 20_000, 64_000_000
+HIDDEN = 8
+#: Positions that a window labels, and positions on each side that it reads besides.
+WINDOW, CONTEXT = 448, 32
+#: Windows of training: their positions, and how many a step; steps.
+PIECE, BATCH, STEPS = 64, 256, 400
+#: Windows that the network reads at once.
+BLOCK = 1024
+#: A position's share in the evidence; neighbouring positions say much the same.
+TEMPER = 0.1
 UND = "und"
 _LETTER = re.compile(rb"[A-Za-z]")
 
 
 def sample(docs: DataFrame) -> DataFrame:
-    """(lang, pieces) of a bounded sample of the training fold; the top-k by hash is taken per task before the shuffle of a language."""
-    train = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold_of(F.col("doc_id"), FOLDS) != HELD_OUT))
-    h = F.xxhash64("text")
-    n = F.length("text")
-    piece = [
-        F.substring(F.col("text"), (F.pmod(F.xxhash64("text", F.lit(j)), F.greatest(n - PIECE_CHARS, F.lit(1))) + 1).cast("int"), F.lit(PIECE_CHARS)) for j in range(SAMPLE_PIECES)
-    ]
+    """(lang, h, text) of a bounded sample of whole texts of the training fold; the top-k by hash is taken per task before the shuffle of a language."""
+    train = docs.filter(F.col("lang").isNotNull() & (F.length("text") <= SAMPLE_CHARS) & (fold_of(F.col("doc_id"), FOLDS) != HELD_OUT)).withColumn("h", F.xxhash64("text"))
     # copies of a text count once; the texts are read again for the chosen ones only
-    ranked = train.select("lang", h.alias("h")).distinct().withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
-    chosen = ranked.filter(F.col("r") <= SAMPLE_DOCS).select("lang", "h").orderBy("h", "lang").limit(SAMPLE_TOTAL)
-    found = train.withColumn("h", h).join(F.broadcast(chosen), ["lang", "h"]).select("lang", "h", F.array(*piece).alias("pieces"))
+    size = train.select("lang", "h", F.length("text").alias("size")).distinct()
+    by = Window.partitionBy("lang").orderBy("h")
+    few = size.withColumn("r", F.row_number().over(by)).filter(F.col("r") <= SAMPLE_DOCS)
+    few = few.withColumn("upto", F.sum("size").over(by.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("upto") <= SAMPLE_CHARS)
+    few = few.orderBy("h", "lang").limit(SAMPLE_TOTAL)
+    upto = F.sum("size").over(Window.partitionBy(F.lit(0)).orderBy("h", "lang").rowsBetween(Window.unboundedPreceding, 0))
+    chosen = few.withColumn("upto", upto).filter(F.col("upto") <= SAMPLE_TOTAL_CHARS).select("lang", "h")
+    found = train.join(F.broadcast(chosen), ["lang", "h"]).select("lang", "h", "text")
     return found.dropDuplicates(["lang", "h"]).orderBy("h", "lang")
 
 
-def segments(text: bytes) -> list[bytes]:
-    out = text.lower().split()
-    if max(map(len, out), default=0) > SPAN:
-        out = [w[i : i + SPAN] for w in out for i in range(0, len(w), SPAN)]
-    return out
+def plain(text: bytes) -> bytes:
+    return b" ".join(text.lower().split())
 
 
-def _padded(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes by position with a leading blank (0 after the end), and lengths."""
-    n = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    x = np.zeros((len(words), int(n.max())), np.uint8)
-    x[:, 0] = 32
-    flat = np.frombuffer(b"".join(words), np.uint8)
-    row = np.repeat(np.arange(len(words)), n - 1)
-    col = np.arange(len(flat)) - np.repeat(np.cumsum(n - 1) - (n - 1), n - 1) + 1
-    x[row, col] = flat
+def _padded(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes by position (0 after the end), and lengths."""
+    n = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    x = np.zeros((len(pieces), int(n.max())), np.uint8)
+    x[np.arange(x.shape[1]) < n[:, None]] = np.frombuffer(b"".join(pieces), np.uint8)
     return x, n
 
 
-def _sigmoid(v):
-    return 0.5 * np.tanh(0.5 * v) + 0.5
-
-
 class ByteGru:
     """Weights: for each direction E (256 x 3H: update, reset, candidate), U (H x 3H), b (H, candidate's recurrent bias); output V (2H x L), c (L)."""
 
@@ -105,43 +91,51 @@ class ByteGru:
         return cls(labels, w)
 
     def _run(self, d: str, x: np.ndarray, n: np.ndarray, keep: bool):
-        """Hidden states (T, B, H) in the order of the text. Words are sorted by falling length, so step t has the first alive[t]."""
+        """Hidden states (T, B, H) in the order of the text. Windows are sorted by falling length, so step t has the first alive[t]."""
         T, B, H = x.shape[1], x.shape[0], self.w["b" + d].size
-        E, U, b = self.w["E" + d], self.w["U" + d], self.w["b" + d]
-        states = np.zeros((T, B, H), np.float32)
-        h, trace = np.zeros((B, H), np.float32), []
-        alive = np.searchsorted(-n, -np.arange(T), side="left")  # words longer than t
+        # a gate at a time, so that what is added and multiplied lies in one piece
+        E = self.w["E" + d].reshape(256, 3, H).transpose(1, 0, 2).copy()
+        U = self.w["U" + d].reshape(H, 3, H).transpose(1, 0, 2).copy()
+        b, at = self.w["b" + d], x.T.astype(np.intp)
+        states = np.zeros((T, B, H), E.dtype)
+        h, trace = np.zeros((B, H), E.dtype), []
+        alive = np.searchsorted(-n, -np.arange(T), side="left")  # windows longer than t
         for t in range(T) if d == "f" else range(T - 1, -1, -1):
             m = alive[t]
             prev = h[:m]
-            a, g = E[x[:m, t]], prev @ U
-            zr = _sigmoid(a[:, : 2 * H] + g[:, : 2 * H])
-            z, r = zr[:, :H], zr[:, H:]
-            q = g[:, 2 * H :] + b
-            k = np.tanh(a[:, 2 * H :] + r * q)
-            new = k + z * (prev - k)
+            a, g = E.take(at[t, :m], axis=1), np.matmul(prev, U)
+            zr = a[:2]
+            zr += g[:2]
+            zr *= 0.5
+            np.tanh(zr, out=zr)  # the logistic function by way of tanh
+            zr *= 0.5
+            zr += 0.5
+            z, r = zr
+            q = g[2]
+            q += b
+            k = r * q
+            k += a[2]
+            np.tanh(k, out=k)
+            new = prev - k
+            new *= z
+            new += k
             if keep:
                 trace.append((t, m, prev.copy(), z, r, q, k))
             h[:m] = new
             states[t, :m] = new
         return states, trace
 
-    def log_probs(self, x: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """(T, B, L) label log probabilities of every position; words by falling length."""
-        s = np.concatenate([self._run("f", x, n, False)[0], self._run("b", x, n, False)[0]], axis=2)
-        return _log_softmax(s @ self.w["V"] + self.w["c"])
-
-    def word_evidence(self, words: list[bytes]) -> np.ndarray:
-        """(words, L): mean over positions of the log probabilities."""
-        out = np.empty((len(words), len(self.labels)), np.float32)
-        length = np.fromiter(map(len, words), np.int64, len(words))
-        order = np.argsort(-length, kind="stable")
-        for i in range(0, len(words), BLOCK):
-            part = order[i : i + BLOCK]
-            x, n = _padded([words[j] for j in part])
-            inside = (np.arange(x.shape[1])[:, None] < n)[:, :, None]
-            out[part] = (self.log_probs(x, n) * inside).sum(0) / n[:, None]
-        return out
+    def evidence(self, x: np.ndarray, n: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """(B, L): sum of the label log probabilities of positions first to end of each window; windows by falling length."""
+        H = self.w["bf"].size
+        v = self._run("f", x, n, False)[0] @ self.w["V"][:H]
+        v += self._run("b", x, n, False)[0] @ self.w["V"][H:]
+        v += self.w["c"]
+        v -= v.max(axis=2, keepdims=True)
+        v -= np.log(np.exp(v).sum(axis=2, keepdims=True))
+        at = np.arange(x.shape[1])[:, None]
+        v *= ((at >= first) & (at < end))[:, :, None]
+        return v.sum(0, dtype=np.float64)
 
     def gradients(self, x, n, y):
         """Loss per position and gradients of all weights, by backpropagation through time."""
@@ -159,6 +153,7 @@ class ByteGru:
         ds = do @ self.w["V"].T
         for d, trace, part in (("f", tf, ds[:, :, :H]), ("b", tb, ds[:, :, H:])):
             U, dh = self.w["U" + d], np.zeros((len(n), H), np.float32)
+            seen, into = [], []
             for t, m, prev, z, r, q, k in reversed(trace):
                 dn = dh[:m] + part[t, :m]
                 dk = dn * (1 - z) * (1 - k * k)
@@ -167,19 +162,27 @@ class ByteGru:
                 dq = dk * r
                 da = np.concatenate([dz, dr, dk], axis=1)
                 dg = np.concatenate([dz, dr, dq], axis=1)
-                np.add.at(g["E" + d], x[:m, t], da)
+                seen.append(x[:m, t])
+                into.append(da)
                 g["U" + d] += prev.T @ dg
                 g["b" + d] += dq.sum(0)
                 dh[:m] = dn * z + dg @ U.T
+            seen, into = np.concatenate(seen), np.concatenate(into)
+            for j in range(3 * H):
+                g["E" + d][:, j] = np.bincount(seen, into[:, j], 256)
         return loss, g
 
-    def train(self, words: list[list[bytes]], steps: int = STEPS, batch: int = BATCH, rate: float = 0.02, seed: int = 11) -> ByteGru:
-        """words: a pool for each label; batches are balanced."""
+    def train(self, texts: list[list[bytes]], steps: int = STEPS, batch: int = BATCH, rate: float = 0.02, seed: int = 11) -> ByteGru:
+        """texts: a pool for each label; a batch has random windows, as many of each label."""
         r = np.random.default_rng(seed)
         m1, m2 = ({k: np.zeros_like(v) for k, v in self.w.items()} for _ in range(2))
         for step in range(1, steps + 1):
-            y = r.integers(0, len(words), batch)
-            chosen = [words[c][r.integers(len(words[c]))] for c in y]
+            y = r.integers(0, len(texts), batch)
+            chosen = []
+            for c in y:
+                t = texts[c][r.integers(len(texts[c]))]
+                at = r.integers(0, max(1, len(t) - PIECE + 1))
+                chosen.append(t[at : at + PIECE])
             order = np.argsort([-len(w) for w in chosen], kind="stable")
             x, n = _padded([chosen[i] for i in order])
             _, g = self.gradients(x, n, y[order])
@@ -190,39 +193,31 @@ class ByteGru:
                 self.w[k] -= (lr * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
         return self
 
-
-class Reader:
-    """Labels texts for one task. Evidence of words is kept for the texts to come; beyond KNOWN words it starts afresh."""
-
-    def __init__(self, net: ByteGru):
-        self.net = net
-        self.forget()
-
-    def forget(self) -> None:
-        self.ids: dict[bytes, int] = defaultdict(count().__next__)
-        self.evidence = np.empty((0, len(self.net.labels)), np.float32)
-
     def documents(self, texts: list[bytes | None]) -> tuple[list[str], list[float]]:
         """Label and probability of each text."""
-        net = self.net
-        if len(self.ids) > KNOWN:
-            self.forget()
-        rows = [np.fromiter(map(self.ids.__getitem__, segments(t)), np.int64) if t and _has_letter(t) else None for t in texts]
-        new = list(islice(self.ids, len(self.evidence), None))
-        if new:
-            self.evidence = np.concatenate([self.evidence, net.word_evidence(new)])
-        labels, scores = [], []
-        for r in rows:
-            if r is None or not len(net.labels):
-                labels.append(UND)
-                scores.append(0.0)
-                continue
-            e = self.evidence[r].sum(0, dtype=np.float64) * TEMPER
-            p = np.exp(e - e.max())
-            best = int(np.argmax(p))
-            labels.append(net.labels[best])
-            scores.append(float(p[best] / p.sum()))
-        return labels, scores
+        windows, owner, first, end = [], [], [], []
+        for i, t in enumerate(texts):
+            if t and self.labels and _has_letter(t):
+                t = plain(t)
+                for at in range(0, len(t), WINDOW):
+                    lo = max(0, at - CONTEXT)
+                    windows.append(t[lo : at + WINDOW + CONTEXT])
+                    owner.append(i)
+                    first.append(at - lo)
+                    end.append(min(at + WINDOW, len(t)) - lo)
+        total = np.zeros((len(texts), max(1, len(self.labels))))
+        order = np.argsort([-len(w) for w in windows], kind="stable")
+        owner, first, end = (np.array(v, np.int64) for v in (owner, first, end))
+        for i in range(0, len(windows), BLOCK):
+            part = order[i : i + BLOCK]
+            x, n = _padded([windows[j] for j in part])
+            np.add.at(total, owner[part], self.evidence(x, n, first[part], end[part]))
+        read = np.bincount(owner, minlength=len(texts)) > 0
+        p = total * TEMPER
+        p = np.exp(p - p.max(axis=1, keepdims=True))
+        best = p.argmax(axis=1)
+        score = p[np.arange(len(texts)), best] / p.sum(axis=1)
+        return [self.labels[b] if r else UND for b, r in zip(best, read, strict=True)], np.where(read, score, 0.0).tolist()
 
 
 def _log_softmax(v):
@@ -236,10 +231,10 @@ def _has_letter(text: bytes) -> bool:
 
 def fit(docs: DataFrame) -> ByteGru:
     pools: dict[str, list[bytes]] = defaultdict(list)
-    for lang, _, pieces in sample(docs).collect():
-        for p in pieces:
-            pools[lang] += segments(p.encode())
-    labels = sorted(k for k, v in pools.items() if v)
+    for lang, _, text in sample(docs).collect():
+        if t := plain(text.encode()):
+            pools[lang].append(t)
+    labels = sorted(pools)
     net = ByteGru.fresh(labels)
     return net.train([pools[k] for k in labels]) if len(labels) > 1 else net
 
@@ -252,9 +247,8 @@ def identify(docs: DataFrame, net: ByteGru | None = None, names: tuple[str, str]
     df = docs.select(*own, F.col("text").cast("binary").alias("__bytes"))
 
     def run(batches):
-        reader = Reader(net)
         for b in pieces(batches):
-            labels, scores = reader.documents(b.column(b.num_columns - 1).to_pylist())
+            labels, scores = net.documents(b.column(b.num_columns - 1).to_pylist())
             yield pa.record_batch([*b.columns[:-1], pa.array(labels, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names[:-1], *names])
 
     added = [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]
@@ -267,9 +261,8 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     slim = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
 
     def run(batches):
-        reader = Reader(net)
         for b in pieces(batches):
-            labels, scores = reader.documents(b.column(1).to_pylist())
+            labels, scores = net.documents(b.column(1).to_pylist())
             yield pa.record_batch([b.column(0), pa.array(labels, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     out = slim.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")

@@ -257,20 +257,34 @@ def test_language_sample_takes_a_text_once(spark):
     n = language_id.SAMPLE_DOCS + 50
     docs = spark.range(20 * n).selectExpr("id as doc_id", "concat('text ', id % 20) as text", "if(id % 2 = 0, 'a', 'b') as lang")
     got = language_id.sample(docs).collect()
-    assert len(got) == 20 == len({(r.lang, r.h) for r in got}) and {r.pieces[0] for r in got} == {f"text {i}" for i in range(20)}
+    assert len(got) == 20 == len({(r.lang, r.h) for r in got}) and {r.text for r in got} == {f"text {i}" for i in range(20)}
 
 
-def test_language_evidence_is_kept_and_forgotten(monkeypatch):
-    """Texts get the same result one by one, all at once, and when the kept words overflow."""
+def test_language_sample_is_of_whole_texts(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_CHARS", 1000)
+    docs = spark.range(400).selectExpr("id as doc_id", "repeat(concat(id, ' '), cast(1 + id as int)) as text", "if(id % 2 = 0, 'a', 'b') as lang")
+    got = language_id.sample(docs).collect()
+    assert all(r.text == f"{n} " * (int(n) + 1) for r in got for n in [r.text.split()[0]])
+    assert all(0 < sum(len(r.text) for r in got if r.lang == x) <= 1000 for x in "ab")
+
+
+def test_every_position_is_labelled_once(monkeypatch):
+    """Windows, blocks and batches don't matter while the context holds the state; each position counts once."""
     net = language_id.ByteGru.fresh(["x", "y", "z"])
+    net.w = {k: v * 0.5 if k[0] == "U" else v for k, v in net.w.items()}
     r = random.Random(2)
-    texts = [None, b"", b"12 !", *(prose(r, r.randrange(1, 60)).encode() for _ in range(40))]
-    labels, scores = language_id.Reader(net).documents(texts)
-    for known in (1 << 18, 25):
-        monkeypatch.setattr(language_id, "KNOWN", known)
-        reader = language_id.Reader(net)
-        got = [reader.documents([t]) for t in texts]
-        assert [x for (x,), _ in got] == labels and np.allclose([x for _, (x,) in got], scores, atol=1e-5)
+    texts = [None, b"", b"12 !", b" \t\n", *(prose(r, r.randrange(1, 300)).encode() for _ in range(30)), "\u00e9t\u00e9 \u65e5\u672c\u8a9e".encode(), b"a" * 3000]
+    labels, scores = net.documents(texts)
+    assert labels[:4] == ["und"] * 4 and scores[:4] == [0.0] * 4
+    x, n = language_id._padded([language_id.plain(texts[10])])
+    sums = net.evidence(x, n, np.array([0]), n)[0] * language_id.TEMPER  # in one piece
+    p = np.exp(sums - sums.max())
+    assert labels[10] == net.labels[int(p.argmax())]
+    for window, block in ((10**6, 1024), (200, 7), (64, 1)):
+        monkeypatch.setattr(language_id, "WINDOW", window)
+        monkeypatch.setattr(language_id, "BLOCK", block)
+        got = [net.documents([t]) for t in texts]
+        assert [a for (a,), _ in got] == labels and np.allclose([b for _, (b,) in got], scores, atol=2e-3)
 
 
 def brute_targets(sizes):
