@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 from collections.abc import Callable, Iterator
-from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keyloom.functions.shared import cut, shared_folder  # noqa: F401  (used by the operators)
+
 #: ASCII whitespace: the separators of words in every contract of this subpackage.
 WS_CHARS = " \t\n\x0b\x0c\r"
 WS_RUN = r"[\x20\x09-\x0D]+"
@@ -60,30 +58,6 @@ def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at += n
 
 
-@cache
-def _own_folder() -> str:
-    folder = tempfile.mkdtemp(prefix="keyloom-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    return folder
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share. Only a local session without it, as in tests, gets one of its own."""
-    if folder := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return _own_folder()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise a narrow frame in the shared folder (lost executors don't matter)."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def part_by_keys(df: DataFrame, hash_of_row: Column, keys: DataFrame, hash_of_key: Column) -> tuple[DataFrame, DataFrame]:
     """(rows whose key may be among keys, rows whose key surely isn't), told apart without a shuffle of df.
 

@@ -6,8 +6,8 @@ ascending order and the full rule strings they stand for. Executors memory-map t
 per shape and confirm each hit against the stored string, so collisions can't decide. The longest
 confirmed rule wins. Urls that no rule fits are not listed, and the verdict is the default (allow).
 
-The file is shipped once per executor by Spark and grows with the rule list, not with the urls; its
-size is checked against MAX_INDEX_BYTES.
+The file is named by its content and shipped once per executor by Spark, however often a rule list is used; it grows
+with the rule list, not with the urls, and its size is checked against MAX_INDEX_BYTES. The rule list may be a table.
 
 Defined results: a null url, or one without ``://``, has empty host and path and gets the default verdict;
 repeated rows get equal results; other columns are left alone.
@@ -20,8 +20,7 @@ import os
 import shutil
 import struct
 import tempfile
-import uuid
-from functools import lru_cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +28,7 @@ import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keyloom.llm.common import LOWER, UPPER, pieces, table
 
@@ -108,7 +108,7 @@ class DigestArray:
         return best
 
 
-@lru_cache(1)
+@cache
 def _served() -> str:
     """The driver's folder from which its file server hands files to executors, kept as long as the process."""
     folder = tempfile.mkdtemp(prefix="keyloom-rules-")
@@ -121,13 +121,33 @@ def _opened(name: str) -> DigestArray:
     return DigestArray(SparkFiles.get(name))
 
 
+def ship_rules(spark: SparkSession, rules) -> str:
+    """The name under which executors find the index of rules (host, path, verdict), a list or a table."""
+    if isinstance(rules, DataFrame):
+        most = MAX_INDEX_BYTES // 32  # a rule takes more than that
+        rules = [tuple(r) for r in rules.select("host", "path", "verdict").limit(most + 1).collect()]
+        if len(rules) > most:
+            raise ValueError(f"more than {most} rules")
+    rules = sorted(set(rules))
+    name = f"rules-{xxhash.xxh3_128_hexdigest(repr(rules).encode())}.idx"
+    path = os.path.realpath(f"{_served()}/{name}")
+    if not os.path.exists(path):
+        build_index(rules, f"{path}.part")
+        os.replace(f"{path}.part", path)
+    if path not in _shipped(spark.sparkContext.applicationId):
+        spark.sparkContext.addFile(path)
+        _shipped(spark.sparkContext.applicationId).add(path)
+    return name
+
+
+@cache
+def _shipped(application: str) -> set[str]:
+    return set()
+
+
 def judge_urls(pages: DataFrame, rules=RULES, default: str = "allow") -> DataFrame:
     """pages' columns with host, path, rule and verdict (earlier columns of these names are replaced)."""
-    spark = pages.sparkSession
-    name = f"rules-{uuid.uuid4().hex}.idx"
-    path = os.path.realpath(f"{_served()}/{name}")
-    build_index(rules, path)
-    spark.sparkContext.addFile(path)
+    name = ship_rules(pages.sparkSession, rules)
     url = F.coalesce(F.col("url"), F.lit(""))
     after = F.when(F.contains(url, F.lit("://")), F.expr("substring(coalesce(url, ''), locate('://', coalesce(url, '')) + 3)")).otherwise("")
     own = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
@@ -143,8 +163,8 @@ def judge_urls(pages: DataFrame, rules=RULES, default: str = "allow") -> DataFra
             verdict = pa.array([default if x is None else "allow" if x[:1] == b"+" else "block" for x in best], pa.string())
             yield pa.record_batch([*b.columns, rule, verdict], [*b.schema.names, "rule", "verdict"])
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    return df.mapInArrow(run, f"{ddl}, rule string, verdict string")
+    added = [T.StructField(n, T.StringType()) for n in ("rule", "verdict")]
+    return df.mapInArrow(run, T.StructType([*schema.fields, *added]))
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -526,6 +526,23 @@ def test_url_rules(spark, folder):
     assert got[8][2:] == ("com/de/", "block") and got[9][2:] == (None, "allow") and got[10] == ("org", "", None, "allow") and got[11] == got[12]
 
 
+def test_rules_from_a_table_are_shipped_once(spark):
+    r = random.Random(5)
+    rules = [(f"h{r.randrange(300)}.example", "/" + "".join(r.choices("ab/", k=r.randrange(4))), r.choice(["allow", "block"])) for _ in range(600)]
+    rules = list({(h, p): (h, p, v) for h, p, v in rules}.values())
+    urls = [f"http://{r.choice(['', 'www.', 'x.y.'])}h{r.randrange(320)}.example/{''.join(r.choices('ab/', k=6))}?q" for _ in range(500)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumns({"rule": F.lit("own"), "n": F.lit(1)})
+    table = spark.createDataFrame(rules, "host string, path string, verdict string")
+    got = {x.page_id: (x.rule, x.verdict) for x in url_filter.judge_urls(pages, table, "block").collect()}
+    for i, u in enumerate(urls):
+        host, path = re.match(r"http://([^/]*)([^?]*)", u).groups()
+        fits = [(len(h + p), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        assert got[i] == ((max(fits)[1], max(fits)[2]) if fits else (None, "block"))
+    files = set(url_filter._shipped(spark.sparkContext.applicationId))
+    url_filter.judge_urls(pages, rules, "block").count()
+    assert url_filter._shipped(spark.sparkContext.applicationId) == files
+
+
 def test_digest_collisions_are_settled_by_the_strings(tmp_path):
     path = str(tmp_path / "x")
     url_filter.build_index([("a", "/", "block"), ("b", "/", "allow")], path)
