@@ -393,6 +393,25 @@ def deliveries(spark, sf):
     return pubsub.deliveries(pubs, subs)
 
 
+#: Two days without a command.
+IDLE_US = 172_800_000_000
+
+
+@query(f"""WITH {E}, a AS (SELECT *, lead(ts_us) OVER (PARTITION BY key ORDER BY seq) AS n FROM e),
+d AS (SELECT key, min(ts_us) + {IDLE_US} AS gone FROM a WHERE n IS NULL OR n - ts_us > {IDLE_US} GROUP BY 1),
+c AS (SELECT e.key AS sub, 'c' || (CAST(e.key AS BIGINT) % 4) AS channel, seq, event_type, ts_us, gone FROM e JOIN d ON e.key = d.key),
+x AS (SELECT *, coalesce(lag(event_type) OVER (PARTITION BY sub ORDER BY seq), 'error') AS p FROM c WHERE event_type IN ('signup', 'error') AND ts_us <= gone),
+i AS (SELECT *, lead(seq) OVER (PARTITION BY sub ORDER BY seq) AS b FROM x WHERE event_type <> p)
+SELECT i.sub, c.channel, c.seq, CAST(c.seq AS VARCHAR) AS payload FROM c JOIN i ON i.event_type = 'signup' AND i.channel = c.channel AND i.seq < c.seq AND (i.b IS NULL OR c.seq < i.b)
+AND c.ts_us <= i.gone WHERE c.event_type = 'purchase'""")
+def deliveries_until_idle(spark, sf):
+    """Deliveries to connections that the idle timeout ends; every event is a command of its user's connection."""
+    e = events(spark, sf).withColumn("channel", F.concat(F.lit("c"), (F.col("key").cast("bigint") % 4).cast("string"))).withColumnRenamed("key", "sub")
+    edges = e.filter(F.col("event_type").isin("signup", "error")).select("sub", "channel", "seq", "ts_us", F.when(F.col("event_type") == "signup", "SUB").otherwise("UNSUB").alias("op"))
+    pubs = e.filter("event_type = 'purchase'").select("seq", "ts_us", "channel", F.col("seq").cast("string").alias("payload"))
+    return pubsub.deliveries(pubs, pubsub.intervals_until_idle(edges, e.select("sub", "seq", "ts_us"), IDLE_US))
+
+
 @query(f"WITH {P} SELECT count(DISTINCT channel) AS channels, count(DISTINCT sub) AS subscribers FROM i WHERE event_type = 'signup' AND b IS NULL")
 def hub_stats(spark, sf):
     return pubsub.hub_stats(_pubsub(spark, sf)[0])

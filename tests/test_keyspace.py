@@ -149,6 +149,36 @@ def test_slow_subscribers_are_dropped(spark, seed):
     assert not pubsub.deliveries(p.limit(0), s).count() and not pubsub.publish_counts(p, s.limit(0)).filter("reply <> 0").count()
 
 
+def test_idle_connections_are_dropped(spark):
+    r = random.Random(41)
+    edges, pubs, activity, want = [], [], [], []
+    open_, heard, gone, ts = set(), {}, set(), 0
+    for seq in range(1, 700):
+        ts += r.randrange(0, 30)
+        pick, who, ch = r.random(), f"s{r.randrange(9)}", f"ch{r.randrange(2)}"
+        gone |= {s for s, at in heard.items() if ts - at > 200}
+        open_ = {(s, c) for s, c in open_ if s not in gone}
+        if pick < 0.5:
+            pubs.append((seq, ts, ch, f"m{seq}"))
+            want += [(s, c, seq, f"m{seq}") for s, c in open_ if c == ch]
+            continue
+        activity.append((who, seq, ts))
+        if who not in gone:
+            heard[who] = ts
+        if pick < 0.85:
+            op = "SUB" if pick < 0.75 else "UNSUB"
+            edges.append((who, ch, seq, ts, op))
+            if who not in gone:
+                (open_.add if op == "SUB" else open_.discard)((who, ch))
+    p = spark.createDataFrame(pubs, "seq bigint, ts_us bigint, channel string, payload string")
+    e = spark.createDataFrame(edges, "sub string, channel string, seq bigint, ts_us bigint, op string")
+    a = spark.createDataFrame(activity, "sub string, seq bigint, ts_us bigint")
+    got = pubsub.deliveries(p, pubsub.intervals_until_idle(e, a, 200))
+    assert sorted(map(tuple, got.collect())) == sorted(want) and 0 < len(gone) and want
+    nobody = pubsub.intervals_until_idle(e.limit(0), a.limit(0), 200)
+    assert pubsub.deliveries(p, nobody).count() == 0 and pubsub.deliveries(p.limit(0), pubsub.intervals_until_idle(e, a, 200)).count() == 0
+
+
 def test_batches_subscriptions_and_info(spark):
     log = [
         ("a", "MULTI"), ("b", "SET", "x", "1"), ("a", "SET", "k", "v"), ("a", "SADD", "s", "m"), ("a", "multi"), ("a", "NOPE"), ("b", "GET", "k"), ("a", "SUBSCRIBE", "news", ""), ("a", "EXEC"), ("b", "PUBLISH", "news", "hi"),
