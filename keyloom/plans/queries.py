@@ -543,7 +543,8 @@ SELECT sub, seq, '*3' || {CRLF} || {BULK("'message'")} || {BULK("channel")} || {
 def messages(spark, sf):
     """What each subscriber is sent, as wire text."""
     subs, pubs = _pubsub(spark, sf)
-    return pubsub.deliveries(pubs, subs).select("sub", "seq", encode_message(F.col("channel"), F.col("payload")).alias("message"))
+    encoded = pubs.withColumn("payload", encode_message(F.col("channel"), F.col("payload")))  # once a message, not once a delivery
+    return pubsub.deliveries(encoded, subs).select("sub", "seq", F.col("payload").alias("message"))
 
 
 @query(f"""WITH {P}, d AS (SELECT i.sub, c.channel, c.seq FROM c JOIN i ON i.event_type = 'signup' AND i.channel = c.channel AND i.a < c.seq AND (i.b IS NULL OR c.seq < i.b) WHERE c.event_type = 'purchase'),
