@@ -835,3 +835,15 @@ def test_pipeline_stages_by_brute_force(spark, folder, rows, tmp_path):
         else:
             assert Counter(x.doc_id for x in after) == Counter(x.doc_id for x in before)
     assert json.dumps([n for n, _ in corpus_pipeline.STAGES])
+
+
+def test_stages_begin_with_memory_given_back(spark):
+    import corpus_pipeline
+
+    beans = lambda: spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans() if any(k in b.getName() for k in ("Old", "MarkSweep")))
+    docs = spark.createDataFrame([(1, "a b c", "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES[1:3]:
+        before = full()
+        stage(spark, docs, "")
+        assert full() > before
