@@ -346,3 +346,10 @@ def test_ranges(spark):
         lo, hi = clamp(r.a, r.b, r.n)
         want = list(range(1, r.n + 1))[lo : hi + 1] if lo <= hi else []
         assert r.s == want and (list(range(1, r.n + 1))[r.lo : r.hi + 1] if r.lo <= r.hi else []) == want
+
+
+def test_messages_are_encoded_before_they_are_delivered(spark):
+    from keyloom.plans.queries import messages
+
+    above, below = messages(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().split("Join Inner", 1)
+    assert "concat(*3" not in above and "concat(*3" in below
